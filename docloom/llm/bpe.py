@@ -263,6 +263,11 @@ def digests(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return encoded.mapInPandas(run, f"_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def encode_documents(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256) of documents, encoded and decoded again."""
+    return digests(encode(pick(docs, _id="doc_id", text="text"))).withColumnRenamed("_id", "doc_id")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: every document encoded and decoded again. Null texts count as empty; repeated rows are returned each."""
-    return digests(encode(pick(table(spark, sf_dir, "documents"), _id="doc_id", text="text"))).withColumnRenamed("_id", "doc_id")
+    return encode_documents(table(spark, sf_dir, "documents"))

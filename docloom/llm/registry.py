@@ -6,17 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bpe, mixing, secret_scan, simhash
+from docloom.llm import bpe, brown, flac, language, mixing, secret_scan, simhash, topk, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": warc.query,
         "op2_bpe": bpe.query,
+        "op3_flac": flac.query,
         "op4_secrets": secret_scan.query,
+        "op5_language": language.query,
         "op6_simhash": simhash.query,
+        "op7_toxicity": toxicity.query,
         "op8_mixing": mixing.query,
+        "op9_brown": brown.query,
+        "op10_topk": topk.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": warc.ORACLE, "op10_topk": topk.ORACLE}

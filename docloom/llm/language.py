@@ -124,7 +124,8 @@ def prototypes(rows: DataFrame) -> tuple[list[str], np.ndarray]:
                 flush(lang)
         for lang in list(pending):
             flush(lang)
-        yield pd.DataFrame({"lang": list(sums), "at": [np.arange(WIDTH)] * len(sums), "v": [v.tolist() for v in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "at": [np.arange(WIDTH)] * len(sums), "v": [v.tolist() for v in sums.values()]})
 
     parts = rows.mapInPandas(run, "lang string, at array<int>, v array<double>")
     spread = parts.select("lang", F.explode(F.arrays_zip("at", "v")).alias("x")).groupBy("lang", F.col("x.at").alias("at")).agg(F.sum("x.v").alias("v"))

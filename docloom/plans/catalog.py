@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from docloom.plans import business, detection, relational
+from docloom.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
+GROUPS = (relational.G, business.G, detection.G)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {k: q for g in GROUPS for k, q in g.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for g in GROUPS for k, s in g.oracles.items()}

@@ -170,6 +170,10 @@ def parse_search(text: str) -> list[list[tuple[bool, list[str]]]]:
     return [g for g in groups if g]
 
 
+def _same(word: str):
+    return lambda x: (x == word).cast("int")
+
+
 def message_search(messages: DataFrame, members: DataFrame, user: str, text: str) -> DataFrame:
     """Live messages of a member's conversations that match, with a rank: matches per words of the message.
 
@@ -184,7 +188,7 @@ def message_search(messages: DataFrame, members: DataFrame, user: str, text: str
         for wanted, words in group:
             fits = fits & (has(words) if wanted else ~has(words))
             if wanted:
-                hits = hits + F.size(F.filter("tokens", lambda x, w=words: x == w[0]))
+                hits = hits + F.size(F.array_remove(F.transform("tokens", _same(words[0])), 0))
         match = match | fits
     mine = members.where((F.col("user_id") == user) & (F.col("status") == "active")).select("conversation_id")
     rows = messages.where("not deleted and message_type = 'text'").join(mine, "conversation_id", "left_semi").withColumn("tokens", tokens).where(match)

@@ -37,6 +37,12 @@ DERIVED = {
         || chr(10) || 'Card: 4111 1111 1111 ' || CASE c_custkey % 2 WHEN 0 THEN '1111' ELSE '1112' END || chr(10) || 'Address: ' || CAST(c_custkey AS STRING) || ' Main Street' || chr(10) || 'Lagos, Nigeria'
         || chr(10) || 'Signed by: ' || nm || chr(10) || 'Contact: p' || CAST(c_custkey AS STRING) || '@mail.example.com' AS text FROM (
         SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Ada Obi' WHEN 1 THEN 'Jean Dupont' WHEN 2 THEN 'Maria Santos' ELSE 'Li Wei' END AS nm FROM customer) AS named""",
+    "record_text": """SELECT o_orderkey AS doc_id, 'Invoice No: INV-' || CAST(o_orderkey AS STRING) || chr(10) || 'Customer: C' || CAST(o_custkey AS STRING) || chr(10) || 'Date: ' || CAST(1 + o_orderkey % 28 AS STRING) || '/03/2024'
+        || chr(10) || 'Total: $' || CAST(o_orderkey * 3 AS STRING) || '.50' || chr(10) || 'Widget ' || o_orderpriority || ' ' || CAST(1 + o_orderkey % 9 AS STRING) || ' 10.50 ' || CAST(o_orderkey % 90 AS STRING) || '.00'
+        || chr(10) || '03/04/2024 Transfer fee ' || CAST(o_orderkey % 900 AS STRING) || '.00 1500.00' || chr(10) || '1.' || CAST(o_orderkey % 5 AS STRING) || ' Scope of work' || chr(10)
+        || chr(10) || 'Item' || chr(9) || 'Quantity' || chr(9) || 'Amount' || chr(10) || 'bolt' || chr(9) || CAST(o_orderkey % 7 AS STRING) || chr(9) || '=5' || chr(10) || 'nut' || chr(9) || '2' || chr(9) || CAST(o_orderkey % 11 AS STRING)
+        || chr(10) || chr(10) || 'Name: Ann' || chr(10) || 'Role: clerk' || chr(10) || 'Name: Bob' || chr(10) || 'Role: ' || CASE o_orderkey % 2 WHEN 0 THEN 'cook' ELSE 'clerk' END || chr(10) || chr(10) || 'Delivery Site' || chr(10) || 'Dock ' || CAST(o_custkey % 40 AS STRING)
+        || chr(10) || 'Total: $' || CAST(o_orderkey * 3 + o_orderkey % 2 AS STRING) || '.50' AS text FROM orders""",
     "clock": f"SELECT max(SECONDS(o_orderdate)) - 90 * {DAY} AS now_s FROM orders",
     "collection_jobs": f"""SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS account_id, CASE WHEN l_linenumber % 3 = 0 THEN 'renewal' ELSE 'seat' END AS purpose,
         CASE l_returnflag WHEN 'R' THEN 'review' WHEN 'A' THEN 'open' ELSE 'done' END AS status, SECONDS(l_shipdate) AS next_attempt_s, SECONDS(l_shipdate) + 13 * {DAY} AS deadline_s,

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from docloom.plans import business, detection, extraction, relational, screening
+from docloom.plans import business, detection, extraction, relational, screening, streams, texts
 from docloom.plans.registry import Query
 
-GROUPS = (relational.G, business.G, detection.G, extraction.G, screening.G)
+GROUPS = (relational.G, business.G, detection.G, extraction.G, screening.G, texts.G, streams.G)
 
 
 def queries() -> dict[str, Query]:

@@ -1 +1 @@
-"""See the modules of this package."""
+"""Keyed state over event streams, each with a batch twin that gives the same rows."""

@@ -99,8 +99,12 @@ def admit(events: DataFrame, step) -> DataFrame:
     return events.groupBy("key").applyInPandas(lambda rows: _walk(rows["key"].iloc[0], rows, [], step)[0], ADMITTED)
 
 
-def admit_stream(events: DataFrame, step, idle_ms: int = 86_400_000) -> DataFrame:
-    """Stream: the same, its state kept per key from batch to batch until the key is idle."""
+def admit_stream(events: DataFrame, step, idle_ms: int | None = None) -> DataFrame:
+    """Stream: the same, its state kept per key from batch to batch; a key that is idle for ``idle_ms`` is forgotten.
+
+    A service sets ``idle_ms`` to its longest window, which bounds the keys that are held. A stream
+    with it never ends by itself, as it waits for keys to become idle.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -110,7 +114,9 @@ def admit_stream(events: DataFrame, step, idle_ms: int = 86_400_000) -> DataFram
         held = [tuple(x) if isinstance(x, list) else x for x in json.loads(state.get[0])] if state.exists else []
         out, held = _walk(key[0], rows, held, step)
         state.update((json.dumps(held),))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield out
 
-    return events.groupBy("key").applyInPandasWithState(run, ADMITTED, "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return events.groupBy("key").applyInPandasWithState(run, ADMITTED, "held string", "append", timeout)

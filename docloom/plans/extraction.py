@@ -54,7 +54,7 @@ G.add("x8_extract_tables", "record_text", lambda d: X.tables(d).select("doc_id",
 G.add("x9_class_fields", "record_text", lambda d: X.class_fields(lines(d), "invoice").select("doc_id", "name", "value"),
       f"SELECT doc_id, 'invoice_number' AS name, substr(line, 13) AS value FROM ({LINES}) WHERE line LIKE 'Invoice No%' UNION ALL SELECT doc_id, 'invoice_date', substr(line, 7) FROM ({LINES}) WHERE line LIKE 'Date:%' UNION ALL SELECT doc_id, 'total', substr(min_by(line, line_number), 8) FROM ({LINES}) WHERE line LIKE 'Total:%' GROUP BY doc_id")
 for cls in ("receipt", "bank_statement", "kyc_document", "procurement_document", "hr_record", "ticket", "memo"):
-    G.add(f"x9_{cls}", "record_text forms", lambda r, f, cls=cls: X.class_fields(lines(r.unionByName(f)), cls))
+    G.add(f"x9_{cls}", "record_text forms", lambda r, f, cls=cls: X.class_fields(lines(r.unionByName(f).withColumn("text", F.concat("text", F.lit("\nStatus: open\nPriority: high")))), cls))
 ITEM = r"'^(Widget.*?)\s+(\d+)\s+([0-9.]+)\s+([0-9.]+)$'"
 G.add("x10_line_items", "record_text", lambda d: X.typed_rows(lines(d), "line_item").select("doc_id", "line_number", text().alias("record")),
       f"SELECT doc_id, line_number, 'amount=' || regexp_extract(line, {ITEM}, 4) || ';description=' || regexp_extract(line, {ITEM}, 1) || ';quantity=' || regexp_extract(line, {ITEM}, 2) || ';unit_price=' || regexp_extract(line, {ITEM}, 3) AS record FROM ({LINES}) WHERE regexp_matches(line, {ITEM})")

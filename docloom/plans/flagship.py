@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.operators import detect, spans
-from docloom.sources.tables import load
+from docloom.sources.tables import load, spread
 
 CONTACTS = ("email_address", "phone_number", "card_number")
 
 
 def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    docs = spread(load(spark, sf_dir, "documents"))
     return spans.cover_documents(docs, detect.detect(docs, CONTACTS))

@@ -75,6 +75,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **used)
 
 
+#: Tables of texts, whose rows cost much more than their bytes.
+TEXTS = ("documents", "forms", "record_text", "pages", "conversations")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Scanned rows over all cores: a file that is one partition is dealt out, a table of many stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _reads(text: str, table: str) -> bool:
     return any(f"{word} {table}{end}" in f"{text} " for word in ("FROM", "JOIN") for end in (" ", ")", "\n"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -114,14 +114,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(rows, scratch).select(F.col("_id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def fingerprint_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows (_id, component_id) of documents, as op6 has them."""
+    rows = scratch.write(fingerprints(pick(docs, _id="doc_id", text="text")), "fingerprints")
+    return classes(rows, scratch).select("_id", "component_id")
+
+
+def keep_one(docs: DataFrame, classed: Callable[[DataFrame, Scratch], DataFrame] = fingerprint_classes) -> DataFrame:
     """One document of each component, the one with the smallest doc_id; of repeated rows one, with all their columns.
 
     Documents without an id stay as they are: no id tells them apart.
     """
     scratch, names = Scratch(docs.sparkSession, "dedup"), docs.columns
-    rows = scratch.write(fingerprints(pick(docs, _id="doc_id", text="text")), "fingerprints")
-    gone = classes(rows, scratch).where("_id <> component_id").select(F.col("_id").alias("_gone")).distinct()
+    rows = scratch.write(classed(docs, scratch), "classes")
+    gone = rows.where("_id <> component_id").select(F.col("_id").alias("_gone")).distinct()
     plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     key = f"_c{names.index('doc_id')}"
     kept = plain.join(gone, F.col(key) == F.col("_gone"), "left_anti")

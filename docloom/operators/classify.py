@@ -25,7 +25,6 @@ PRIVACY_TYPES = {
 VETOES = {"resume_cv": ["i am writing to apply", "i am applying for", "lettre de motivation"], "academic_certificate": ["birth", "naissance", "death certificate", "marriage certificate"]}
 BANDS = [("small", 0, 500, 5, 10), ("medium", 501, 2000, 10, 20), ("large", 2001, 1_000_000_000, 20, 40)]
 SCRIPT_NAMES = ("Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Han", "Hiragana", "Katakana", "Hangul", "Devanagari", "Thai")
-MOST_CHARS = 250_000
 
 
 def squeeze(text: str) -> str:
@@ -37,7 +36,7 @@ def squeeze(text: str) -> str:
 def squeezed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "plain": [f" {squeeze((t or '')[:MOST_CHARS])} " for t in b["text"]], "name": [f" {squeeze(n or '')} " for n in b["filename"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "plain": [f" {squeeze(t or '')} " for t in b["text"]], "name": [f" {squeeze(n or '')} " for n in b["filename"]]})
 
     return docs.select("doc_id", "text", "filename").mapInPandas(run, "doc_id long, plain string, name string")
 

@@ -103,7 +103,7 @@ def capitals(piece: str):
 
 G.add("t30_external_findings", "documents", lambda d: D.external_findings(d, capitals, most_bytes=4096))
 G.add("t31_chunk_by_bytes", "documents", lambda d: D.chunk_by_bytes(d, 2048, 64).select("doc_id", "offset", F.length("chunk").alias("n")))
-G.add("t32_text_policy_violations", "documents", lambda d: S.text_policy(d, {"bytes": 60_000, "chars": 30_000, "lines": 60, "line_chars": 4_000, "words": 3_000, "same_run": 200}).where("reason is null or reason like 'too%' or reason like 'line%'"),
+G.add("t32_text_policy_violations", "documents", lambda d: S.text_policy(d, {"bytes": 60_000, "chars": 30_000, "lines": 60, "line_chars": 4_000, "words": 3_000, "same_run": 200}),
       r"""SELECT doc_id, CASE WHEN strlen(text) > 60000 THEN 'too_many_bytes' WHEN length(text) > 30000 THEN 'too_many_characters' WHEN len(string_split(text, chr(10))) > 60 THEN 'too_many_lines'
       WHEN list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) > 4000 THEN 'line_too_long' WHEN len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) > 3000 THEN 'too_many_words' END AS reason FROM documents""")
 G.add("t33_wrap_untrusted", "documents", lambda d: d.select("doc_id", F.sha2(S.wrap_untrusted(F.col("text"), F.col("source")), 256).alias("digest")),

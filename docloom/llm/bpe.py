@@ -16,7 +16,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm.common import pick, small_batches, table
+from docloom.llm.common import kept_columns, map_frames, pick, table
 
 #: The pieces of a text that are encoded on their own: fixed by the vocabulary's public byte-level format.
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -236,16 +236,14 @@ def default_vocabulary() -> str:
 
 def encode(rows: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Rows (_id, ids binary) of rows (_id, text); null and empty texts have no ids."""
-    small_batches(rows.sparkSession)
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load(path)
         for b in batches:
-            yield pd.DataFrame({"_id": b["_id"], "ids": model.encode([t or "" for t in b["text"]])})
+            yield b.drop(columns="text").assign(ids=model.encode([t or "" for t in b["text"]]))
 
-    kind = rows.schema["_id"].dataType.simpleString()
-    return rows.select("_id", "text").mapInPandas(run, f"_id {kind}, ids binary")
+    return map_frames(rows.select("_id", "text"), run, kept_columns(rows.select("_id"), "text") + "ids binary")
 
 
 def digests(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -259,8 +257,7 @@ def digests(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
             decoded = [hexed(model.decode(i).encode()) for i in b["ids"]]
             yield pd.DataFrame({"_id": b["_id"], "n_tokens": [len(i) // 4 for i in b["ids"]], "ids_sha256": [hexed(i) for i in b["ids"]], "decoded_sha256": decoded})
 
-    kind = encoded.schema["_id"].dataType.simpleString()
-    return encoded.mapInPandas(run, f"_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_frames(encoded, run, kept_columns(encoded, "ids") + "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_documents(docs: DataFrame) -> DataFrame:

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: A word is a run of anything but blank and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,11 +37,34 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+#: Integers and truth values that keep their nulls in pandas; by default a null turns a column of ids into floats.
+NULLABLE = {pa.int8(): pd.Int8Dtype(), pa.int16(): pd.Int16Dtype(), pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype(), pa.bool_(): pd.BooleanDtype()}
+
+
+def map_frames(rows: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """``mapInPandas`` whose integer columns stay integers beside nulls, whatever their size; batches are small."""
+    small_batches(rows.sparkSession)
+    made = to_arrow_schema(StructType.fromDDL(schema))
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(b.to_pandas(types_mapper=NULLABLE.get) for b in batches):
+            yield from pa.Table.from_pandas(out, schema=made, preserve_index=False).combine_chunks().to_batches()
+
+    return rows.mapInArrow(over, schema)
+
+
+def kept_columns(rows: DataFrame, *without: str) -> str:
+    """The schema of rows without some columns, to be continued."""
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields if f.name not in without)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; an own one only where none is set."""
+    """The folder that driver and executors share, as the cluster names it; an own one only in local mode where none is set."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="docloom-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -52,17 +80,26 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{self.n:02d}-{name}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         path = self.path(name)
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
+        return self._read(df, path)
+
+    def again(self, df: DataFrame) -> DataFrame:
+        """A written table read anew, to be joined with itself."""
+        return self._read(df, df._written_at)
+
+    def _read(self, df: DataFrame, path: str) -> DataFrame:
         out = self.spark.read.schema(df.schema).parquet(path)
         out._written_at = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
-        path.getFileSystem(self.spark._jsc.sparkContext().hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Delete tables that nothing reads any more."""
+        for df in tables:
+            if df is not None:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
+                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def with_key_value(rows: DataFrame, key: str, spread: Column, partial: dict[str, Column], final: dict[str, Column], salts: int = SALTS) -> DataFrame:
@@ -79,30 +116,45 @@ def with_key_value(rows: DataFrame, key: str, spread: Column, partial: dict[str,
     return salted.join(carried, [key, "_salt"]).drop("_salt")
 
 
+def _compressed(hook: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pointers (a, to) of a forest, each to a smaller node or itself, led on to their roots: their lengths double each round."""
+    while True:
+        h, g = hook.alias("h"), hook.alias("g")
+        far = h.join(g, F.col("h.to") == F.col("g.a")).select(F.col("h.a").alias("a"), F.col("g.to").alias("to"), (F.col("g.to") != F.col("h.to")).alias("moved"))
+        far = scratch.write(far, "pointers")
+        scratch.drop(hook)
+        hook = far
+        if hook.where("moved").isEmpty():
+            return hook
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of edges (a, b): one row (node, component) per node, component its smallest node.
 
-    Each round every node hooks to its smallest neighbour if that is smaller, and the edges
-    are renamed; a renamed graph has at most half as many nodes, so rounds are logarithmic.
-    Only minima are aggregated, so the edges of a hub are never gathered.
+    Each round every node hooks to its smallest neighbour if that is smaller; the hooks form a
+    forest, whose pointers are led to the roots in logarithmic steps, and the edges are renamed to
+    roots. A root has at least one other node under it, so a renamed graph has at most half as
+    many nodes and rounds are logarithmic too; a path with rising labels needs one. Only minima
+    are aggregated, so the edges of a hub are never gathered.
     """
-    spark = scratch.spark
     a, b = F.least("a", "b"), F.greatest("a", "b")
     live = scratch.write(edges.where("a <> b").select(a.alias("a"), b.alias("b")).distinct(), "edges")
     members = None
     while not live.isEmpty():
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = scratch.write(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")), "hooks")
+        hook = _compressed(scratch.write(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")), "hooks"), scratch)
         if members is None:
             grown = hook.select(F.col("a").alias("node"), F.col("to").alias("component"))
         else:
             m, h = members.alias("m"), hook.alias("h")
             grown = m.join(h, F.col("m.component") == F.col("h.a"), "left").select("node", F.coalesce("to", "component").alias("component"))
-        members = scratch.write(grown, "members")
+        before, members = members, scratch.write(grown, "members")
         h1, h2 = hook.alias("h1"), hook.alias("h2")
         renamed = live.alias("e").join(h1, F.col("e.a") == F.col("h1.a")).select(F.col("h1.to").alias("x"), F.col("e.b").alias("y"))
         renamed = renamed.join(h2, F.col("y") == F.col("h2.a")).select("x", F.col("h2.to").alias("y")).where("x <> y")
-        live = scratch.write(renamed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        renamed = scratch.write(renamed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        scratch.drop(before, hook, live)
+        live = renamed
     if members is None:
         return edges.where("false").select(F.col("a").alias("node"), F.col("a").alias("component"))
     return members

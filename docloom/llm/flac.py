@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import pick, small_batches, table
+from docloom.llm.common import Scratch, kept_columns, map_frames, pick, table
 
 #: Samples of a frame; payloads are padded to a multiple of UNIT.
 BLOCK, UNIT = 1152, 192
@@ -353,52 +353,59 @@ def features(pcm: bytes) -> str:
 
 def encode_texts(rows: DataFrame) -> DataFrame:
     """Media rows (_id, n_bytes, media) of rows (_id, text): each text's payload as a FLAC stream."""
-    small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             made = [payload(t) for t in b["text"]]
             yield pd.DataFrame({"_id": b["_id"], "n_bytes": [n for _, n in made], "media": encode([p for p, _ in made])})
 
-    kind = rows.schema["_id"].dataType.simpleString()
-    return rows.select("_id", "text").mapInPandas(run, f"_id {kind}, n_bytes long, media binary")
+    rows = rows.select("_id", "text")
+    return map_frames(rows, run, kept_columns(rows, "text") + "n_bytes long, media binary")
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
-    """Decoded blocks (_id, sample_offset, pcm) of media rows (_id, media)."""
-    small_batches(media.sparkSession)
+    """Decoded blocks of media rows (.., media): their columns but media, its size and digest, sample_offset, pcm, and whether it is the last.
+
+    The blocks of a stream follow each other in the order of their offsets.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, s, x) for i, blocks in zip(b["_id"], decode([bytes(m) for m in b["media"]])) for s, x in blocks]
-            yield pd.DataFrame(rows, columns=["_id", "sample_offset", "pcm"])
+            stored = [bytes(m) for m in b["media"]]
+            about = b.drop(columns="media").assign(media_bytes=[len(m) for m in stored], media_sha256=[hashlib.sha256(m).hexdigest() for m in stored])
+            decoded = decode(stored)
+            out = about.iloc[np.repeat(np.arange(len(b)), [len(x) for x in decoded])]
+            flat = [(s, x, i == len(blocks) - 1) for blocks in decoded for i, (s, x) in enumerate(blocks)]
+            offsets, pcm, last = zip(*flat) if flat else ((), (), ())
+            yield out.assign(sample_offset=np.array(offsets, np.int64), pcm=list(pcm), last=np.array(last, bool))
 
-    kind = media.schema["_id"].dataType.simpleString()
-    return media.select("_id", "media").mapInPandas(run, f"_id {kind}, sample_offset long, pcm binary")
+    return map_frames(media, run, kept_columns(media, "media") + "media_bytes long, media_sha256 string, sample_offset long, pcm binary, last boolean")
 
 
-def digests(media: DataFrame) -> DataFrame:
-    """Decode media rows and describe them; a stream's blocks are joined where they were decoded."""
+def digests(blocks: DataFrame) -> DataFrame:
+    """Describe streams by their decoded blocks, which follow each other and are joined here, stream by stream."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[bytes] = []
         for b in batches:
-            stored = [bytes(m) for m in b["media"]]
-            read = [b"".join([x for _, x in blocks]) for blocks in decode(stored)]
-            yield pd.DataFrame({
-                "_id": b["_id"],
-                "n_bytes": b["n_bytes"],
-                "payload_bytes": [len(p) for p in read],
-                "payload_sha256": [hashlib.sha256(p).hexdigest() for p in read],
-                "tail_crc32": [zlib.crc32(p[-16:]) for p in read],
-                "media_bytes": [len(m) for m in stored],
-                "media_sha256": [hashlib.sha256(m).hexdigest() for m in stored],
-                "feature": [features(p) for p in read],
-            })
-
-    kind = media.schema["_id"].dataType.simpleString()
-    return media.mapInPandas(run, f"_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            rows = []
+            for pcm, last in zip(b["pcm"], b["last"]):
+                held.append(bytes(pcm))
+                if last:
+                    p = b"".join(held)
+                    held.clear()
+                    rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), features(p)))
+            ends = b[b["last"].to_numpy(bool)]
+            size, digest, tail, feature = zip(*rows) if rows else ((), (), (), ())
+            yield ends.drop(columns=["pcm", "last", "sample_offset"]).assign(payload_bytes=np.array(size, np.int64), payload_sha256=list(digest), tail_crc32=np.array(tail, np.int64), feature=list(feature))
+
+    kept = kept_columns(blocks, "pcm", "last", "sample_offset")
+    return map_frames(blocks, run, kept + "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op3: every document stored as FLAC and read back. Null texts are empty; repeated rows are returned each."""
-    return digests(encode_texts(pick(table(spark, sf_dir, "documents"), _id="doc_id", text="text"))).withColumnRenamed("_id", "doc_id")
+    """op3: every document stored as FLAC, read back and decoded to blocks. Null texts are empty; repeated rows are returned each."""
+    docs = pick(table(spark, sf_dir, "documents"), _id="doc_id", text="text")
+    media = Scratch(spark, "op3").write(encode_texts(docs), "media", "zstd")
+    told = digests(pcm_blocks(media))
+    return told.select(F.col("_id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import pick, small_batches, table
+from docloom.llm.common import kept_columns, map_frames, pick, table
 
 #: Components of a vector, letters of an n-gram, seed of the letter vectors.
 WIDTH, GRAM, SEED = 1024, 3, 5
@@ -101,7 +101,6 @@ def prototypes(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     the square root of its length, and bundles only the sums: one row per language and partition.
     The driver gets one vector per language.
     """
-    small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -127,7 +126,7 @@ def prototypes(rows: DataFrame) -> tuple[list[str], np.ndarray]:
         if sums:
             yield pd.DataFrame({"lang": list(sums), "at": [np.arange(WIDTH)] * len(sums), "v": [v.tolist() for v in sums.values()]})
 
-    parts = rows.mapInPandas(run, "lang string, at array<int>, v array<double>")
+    parts = map_frames(rows, run, "lang string, at array<int>, v array<double>")
     spread = parts.select("lang", F.explode(F.arrays_zip("at", "v")).alias("x")).groupBy("lang", F.col("x.at").alias("at")).agg(F.sum("x.v").alias("v"))
     each = spread.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("x")).orderBy("lang").collect()
     made = np.array([[p["v"] for p in r["x"]] for r in each], np.float32).reshape(len(each), WIDTH if each else 0)
@@ -140,7 +139,6 @@ def predict(rows: DataFrame, names: list[str], made: np.ndarray) -> DataFrame:
     Null texts, texts without a letter and texts that no prototype can be compared with are UNKNOWN
     with score 0; of equal cosines the first language in order wins.
     """
-    small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vectors = Grams()
@@ -156,9 +154,7 @@ def predict(rows: DataFrame, names: list[str], made: np.ndarray) -> DataFrame:
                 score, lang = np.zeros(len(b)), [UNKNOWN] * len(b)
             yield b.drop(columns="text").assign(lang_pred=lang, score=np.where(norm > 0, score, 0.0))
 
-    kept = [f for f in rows.schema.fields if f.name != "text"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["lang_pred string", "score double"])
-    return rows.mapInPandas(run, schema)
+    return map_frames(rows, run, kept_columns(rows, "text") + "lang_pred string, score double")
 
 
 def held_out(doc_id: str) -> Column:

@@ -14,8 +14,8 @@ HEX = r"[0-9a-f]{24,}"
 #: A loose credential: a long run of key characters that holds a digit.
 LOOSE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+"
 KINDS = ("assign", "access", "hex", "live")
-#: A value found with this many distinct owners is a copied example, not a credential of one of them.
-EXAMPLE_OWNERS = 3
+#: A value of so many distinct owners is a copied example, and so is one of several owners in so many distinct repositories; one owner's is live, however many repositories it is in.
+EXAMPLE_OWNERS, EXAMPLE_REPOS = 3, 4
 
 
 def _found(text: Column, pattern: str, kind: str, value_group: int = 0, least: int = 0) -> Column:
@@ -60,13 +60,19 @@ def scan(rows: DataFrame) -> DataFrame:
     return found.withColumn("loose", _apart("loose", "base"))
 
 
-def ownership(found: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def repository(owner: Column, lang: Column) -> Column:
+    """The repository of a document: an owner keeps one per language."""
+    return F.concat_ws("/", F.coalesce(owner, F.lit("")), F.coalesce(lang, F.lit("")))
+
+
+def ownership(found: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """Rows (row, span, n_owners, n_repos, live) for all spans of rows (row, repo, owner, base, loose).
 
     Values are hashed and counted by distinct repositories and owners over the whole corpus:
-    first per value, owner and repository, which removes the copies, then per value. A value of
-    fewer than ``example_owners`` owners is live. Null owners count as one owner. A value that a
-    third of the rows hold is counted and handed back in salted parts.
+    first per value, owner and repository, which removes the copies, then per value. A value is a
+    copied example if it has ``example_owners`` owners, or several and ``example_repos``
+    repositories; else it is live. Null owners count as one owner. A value that a third of the
+    rows hold is counted and handed back in salted parts.
     """
     each = found.select("row", "repo", "owner", F.explode(F.concat("base", "loose")).alias("span")).withColumn("value", F.col("span.value"))
     known = each.groupBy("value", F.coalesce(F.concat(F.lit("o"), "owner"), F.lit("")).alias("owner"), F.coalesce(F.concat(F.lit("r"), "repo"), F.lit("")).alias("repo")).agg(F.count("*").alias("n"))
@@ -75,7 +81,8 @@ def ownership(found: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFra
     salt = F.pmod(F.xxhash64("row"), F.lit(64)).cast("int")
     carried = each.groupBy("value", salt.alias("salt")).agg(F.count("*").alias("n")).join(spread, "value").select("value", "salt", "n_owners", "n_repos")
     out = each.withColumn("salt", salt).join(carried, ["value", "salt"])
-    return out.select("row", "span", "n_owners", "n_repos", (F.col("n_owners") < example_owners).alias("live"))
+    copied = (F.col("n_owners") >= example_owners) | ((F.col("n_owners") > 1) & (F.col("n_repos") >= example_repos))
+    return out.select("row", "span", "n_owners", "n_repos", (~copied).alias("live"))
 
 
 def _digest(spans: Column) -> Column:
@@ -84,13 +91,13 @@ def _digest(spans: Column) -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op4: base spans and verdicts of all documents; the repository and the owner of a document are its source.
+    """op4: base spans and verdicts of all documents; the owner of a document is its source, with a repository per language.
 
     ``spans`` has the base spans and, as kind live, loose credentials of few owners that touch no
     base span. n_live and n_example count base and loose values by verdict. Repeated rows are
     scanned and returned each; a null text has no span.
     """
-    docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text", repo="source").withColumn("owner", F.col("repo"))
+    docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text", owner="source", lang="lang").withColumn("repo", repository(F.col("owner"), F.col("lang"))).drop("lang")
     found = Scratch(spark, "op4").write(scan(docs).withColumn("row", F.monotonically_increasing_id()), "found")
     told = ownership(found).groupBy("row").agg(
         F.count_if("live").alias("n_live"),
@@ -111,12 +118,12 @@ def redact_live(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """
     spark, names = docs.sparkSession, docs.columns
     rows = docs.toDF(*[f"_c{i}" for i in range(len(names))])
-    at = {n: F.col(f"_c{names.index(n)}") for n in ("doc_id", "text", "source")}
+    at = {n: F.col(f"_c{names.index(n)}") for n in ("doc_id", "text", "source", "lang")}
     rows = rows.withColumn("_key", F.xxhash64(F.coalesce(at["doc_id"].cast("string"), F.lit("")), at["text"]))
     text = F.coalesce(at["text"], F.lit(""))
     suspect = text.rlike(ASSIGN) | text.rlike(ACCESS) | text.rlike(HEX) | text.rlike(LOOSE)
     few = rows.where(suspect)
-    found = scan(few.select(F.col("_key").alias("row"), at["source"].alias("repo"), at["source"].alias("owner"), text.alias("text")))
+    found = scan(few.select(F.col("_key").alias("row"), repository(at["source"], at["lang"]).alias("repo"), at["source"].alias("owner"), text.alias("text")))
     found = Scratch(spark, "secrets").write(found.select("row", "repo", "owner", "base", "loose"), "found")
     live = ownership(found).where("live").groupBy("row").agg(F.array_sort(F.collect_set("span")).alias("cuts"))
     changed = few.join(live, few["_key"] == live["row"], "left")

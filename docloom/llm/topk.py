@@ -6,18 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch, pick, small_batches, table
+from docloom.llm.common import Scratch, map_frames, pick, table
 
 K, EVERY, SCALE = 20, 20, 64
-#: Vectors of a block, queries of a pack, blocks whose bounds one task row holds.
-BLOCK, PACK, PAGE = 256, 128, 1024
-#: Blocks with the highest bounds that give a query its first k-th score.
-FIRST = 8
-#: Leading components whose signs order the documents, so that a block holds similar ones.
-SIGNS = 10
+#: Vectors of a block, blocks of a page, queries of a pack, packs that meet a page in one task, pages whose summaries meet a pack in one row.
+BLOCK, PAGE, PACK, MEET, CHUNK = 256, 64, 128, 64, 64
+#: Vectors of a sample by hash that order the documents, so that a block holds similar ones; they change the work, not the results.
+GUIDES = 256
 NONE = -(2**62)
 
 
@@ -48,126 +47,197 @@ def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64) if most < 2**53 else a @ b.T
 
 
-def make_blocks(vectors: DataFrame, width: int) -> DataFrame:
-    """Forward indexes (block, ids, data, low, high) of ranges of the documents by leading signs and id.
+def guides(vectors: DataFrame, width: int, most: int = GUIDES) -> np.ndarray:
+    """At most so many vectors of the table, chosen by the hash of their id."""
+    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(most).select("v").collect()
+    return _matrix([r["v"] for r in rows], width)
 
-    Ranges split equal signs by id, so a group of like vectors fills many blocks.
+
+def in_order(rows: DataFrame, near: np.ndarray, width: int) -> DataFrame:
+    """Rows (asked, vec_id, v) dealt out by their two nearest guides and id, in order within a partition.
+
+    Equal vectors are dealt by id, so a large group of them fills many pages.
     """
-    code = F.lit(0).cast("long")
-    for i in range(min(SIGNS, width)):
-        code = code * 2 + F.when(F.get(F.col("v"), F.lit(i)) >= 0, 1).otherwise(0)
-    ranged = vectors.withColumn("code", code).repartitionByRange("code", "vec_id").sortWithinPartitions("code", "vec_id").drop("code")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for i in range(0, len(b), BLOCK):
-                m = _matrix(b["v"].iloc[i : i + BLOCK].tolist(), width)
-                ids = b["vec_id"].to_numpy(np.int64)[i : i + BLOCK]
-                rows.append((ids.tobytes(), m.tobytes(), m.min(axis=0).tobytes(), m.max(axis=0).tobytes()))
-            yield pd.DataFrame(rows, columns=["ids", "data", "low", "high"])
+            if not len(b):
+                continue
+            x = _matrix(b["v"].tolist(), width).astype(float)
+            far = (near.astype(float) ** 2).sum(axis=1) - 2 * x @ near.T.astype(float) if len(near) else np.zeros((len(b), 1))
+            first = far.argmin(axis=1)
+            far[np.arange(len(b)), first] = np.inf
+            yield b.assign(code=first * (GUIDES + 1) + far.argmin(axis=1))
 
-    made = ranged.mapInPandas(run, "ids binary, data binary, low binary, high binary")
-    return made.withColumn("block", F.monotonically_increasing_id())
+    coded = map_frames(rows, run, "asked boolean, vec_id long, v array<bigint>, code long")
+    return coded.repartitionByRange("code", "vec_id").sortWithinPartitions("code", "vec_id").drop("code")
 
 
-def make_packs(queries: DataFrame, width: int) -> DataFrame:
-    """Packs (ids, q, least) of queries (vec_id, v, least); least is the score that a result must reach."""
+def make_pages(ordered: DataFrame, width: int, k: int) -> DataFrame:
+    """Pages and packs of rows (asked, vec_id, v) in their order, in one table (kind, ids, data, ..).
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            parts = [b.iloc[i : i + PACK] for i in range(0, len(b), PACK)]
-            packed = [(p["vec_id"].to_numpy(np.int64).tobytes(), _matrix(p["v"].tolist(), width).tobytes(), p["least"].to_numpy(np.int64).tobytes()) for p in parts]
-            yield pd.DataFrame(packed, columns=["ids", "q", "least"])
+    A page holds the forward indexes of its blocks and for each the low and high of every term, a
+    centre, and a radius. Queries in the range of a page score its documents first, so their packs
+    have a k-th score from the start (``least``). A page and its packs are all that is held.
+    """
 
-    return queries.mapInPandas(run, "ids binary, q binary, least binary")
+    def cut(docs: list[tuple], asked: list[tuple]) -> Iterator[tuple]:
+        ids, data = np.array([i for i, _ in docs], np.int64), _matrix([v for _, v in docs], width)
+        if len(docs):
+            parts = [data[i : i + BLOCK] for i in range(0, len(docs), BLOCK)]
+            centres = np.array([p.mean(axis=0) for p in parts]).reshape(len(parts), width)
+            radius = np.array([np.sqrt(((p - c) ** 2).sum(axis=1).max()) for p, c in zip(parts, centres)])
+            low, high = np.array([p.min(axis=0) for p in parts]), np.array([p.max(axis=0) for p in parts])
+            yield "page", ids.tobytes(), data.tobytes(), low.tobytes(), high.tobytes(), centres.tobytes(), radius.tobytes(), None
+        for i in range(0, len(asked), PACK):
+            own = np.array([x for x, _ in asked[i : i + PACK]], np.int64)
+            q = _matrix([v for _, v in asked[i : i + PACK]], width)
+            least = np.full(len(own), NONE)
+            if len(ids) > k:
+                s = np.where(own[:, None] == ids[None, :], NONE, dot(q, data))
+                least = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+            yield "pack", own.tobytes(), q.tobytes(), None, None, None, None, least.tobytes()
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        docs, asked = [], []
+        table_of = lambda: pd.DataFrame(list(cut(docs, asked)), columns=["kind", "ids", "data", "low", "high", "centre", "radius", "least"])
+        for b in batches:
+            for is_query, i, v in zip(b["asked"], b["vec_id"], b["v"]):
+                (asked if is_query else docs).append((i, v))
+                if len(docs) >= PAGE * BLOCK or len(asked) >= PAGE * BLOCK:
+                    yield table_of()
+                    docs, asked = [], []
+        yield table_of()
 
-def bounds(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """For each query and block the sum over terms of the most that a vector of the block can add."""
-    return dot(np.maximum(q, 0), high) + dot(np.minimum(q, 0), low)
+    made = map_frames(ordered, run, "kind string, ids binary, data binary, low binary, high binary, centre binary, radius binary, least binary")
+    return made.withColumn("n", F.monotonically_increasing_id())
 
 
 def _longs(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.int64)
 
 
-def visits(packs: DataFrame, pages: DataFrame, page_count: int, width: int, first: int | None) -> DataFrame:
-    """Rows (block, ids, q, least): the queries of a pack that visit a block.
+def bounds(q: np.ndarray, low: np.ndarray, high: np.ndarray, centre: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """The most that a vector of a block can score for each query and block: by the sums of its terms' maxima, or by its centre and radius."""
+    terms = dot(np.maximum(q, 0), high) + dot(np.minimum(q, 0), low)
+    ball = q @ centre.T + np.sqrt((q.astype(float) ** 2).sum(axis=1))[:, None] * radius[None, :]
+    return np.minimum(terms, np.floor(ball + 1e-6 * np.abs(ball)).astype(np.int64) + 1)
 
-    With ``first`` set, the blocks of a query's highest bounds in each page of summaries; else all
-    blocks whose bound reaches what the query needs.
+
+def _summary(low: bytes, high: bytes, centre: bytes, radius: bytes, width: int) -> tuple[np.ndarray, ...]:
+    r = np.frombuffer(radius, float)
+    return _of(low, width), _of(high, width), np.frombuffer(centre, float).reshape(len(r), width), r
+
+
+def visits(packs: DataFrame, pages: DataFrame, width: int) -> DataFrame:
+    """Rows (page, pack): the pages of which a block's bound reaches what some query of the pack needs.
+
+    A pack meets the summaries of the pages, CHUNK of them in a row; no forward index takes part.
     """
+    chunks = max(1, -(-pages.count() // CHUNK))
+    at = F.pmod(F.xxhash64("n"), F.lit(chunks)).cast("int")
+    parts = pages.groupBy(at.alias("chunk")).agg(F.collect_list(F.struct("n", "low", "high", "centre", "radius")).alias("p"))
+    met = packs.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).join(parts, "chunk")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for ids, data, least, page, low, high in zip(b["ids"], b["q"], b["least"], b["blocks"], b["low"], b["high"]):
-                q, ids, least = _of(data, width), _longs(ids), _longs(least)
-                bound = bounds(q, _of(b"".join(low), width), _of(b"".join(high), width)) if width else np.zeros((len(ids), len(page)), np.int64)
-                need = least
-                if first is not None:
-                    at = min(first, bound.shape[1]) - 1
-                    need = -np.partition(-bound, at, axis=1)[:, at]
-                for block, on in zip(page, (bound >= need[:, None]).T):
-                    if on.any():
-                        rows.append((block, ids[on].tobytes(), q[on].tobytes(), least[on].tobytes()))
-            yield pd.DataFrame(rows, columns=["block", "ids", "q", "least"])
+            for pack, data, least, page, low, high, centre, radius in zip(*[b[c] for c in ("n", "data", "least", "page", "low", "high", "centre", "radius")]):
+                q, need = _of(data, width), _longs(least)[:, None]
+                rows += [(p, pack) for p, *s in zip(page, low, high, centre, radius) if (bounds(q, *_summary(*s, width)) >= need).any()]
+            yield pd.DataFrame(rows, columns=["page", "pack"])
 
-    met = packs.withColumn("page", F.explode(F.sequence(F.lit(0), F.lit(page_count - 1)))).join(pages, "page").drop("page")
-    return met.mapInPandas(run, "block long, ids binary, q binary, least binary")
+    rows = met.select("n", "data", "least", F.col("p.n").alias("page"), *[F.col(f"p.{c}").alias(c) for c in ("low", "high", "centre", "radius")])
+    return map_frames(rows, run, "page long, pack long")
 
 
-def scored(visited: DataFrame, blocks: DataFrame, width: int, k: int) -> DataFrame:
-    """Rows (query_id, vec_id, score) of visited blocks that reach what the query needs, the k best of each query and batch."""
+def _in_page(ids: np.ndarray, data: np.ndarray, summary: tuple, asked: np.ndarray, q: np.ndarray, least: np.ndarray, k: int, size: int) -> tuple[np.ndarray, int]:
+    """Results (query, vec_id, score) of one page of blocks of ``size``, and how many blocks were scored, over all queries.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [np.zeros((0, 3), np.int64)]
-            for docs, data, asked, q, least in zip(b["doc_ids"], b["data"], b["ids"], b["q"], b["least"]):
-                docs, asked = _longs(docs), _longs(asked)
-                s = dot(_of(q, width), _of(data, width)) if width else np.zeros((len(asked), len(docs)), np.int64)
-                keep = (s >= _longs(least)[:, None]) & (asked[:, None] != docs[None, :])
-                if len(docs) > k:
-                    kth = -np.partition(-np.where(keep, s, NONE), k - 1, axis=1)[:, k - 1 : k]
-                    keep &= s >= kth
-                row, column = np.nonzero(keep)
-                found.append(np.column_stack((asked[row], docs[column], s[row, column])))
-            f = np.concatenate(found)
-            f = f[np.lexsort((f[:, 1], -f[:, 2], f[:, 0]))]
-            begins = np.ones(len(f), bool)
-            begins[1:] = f[1:, 0] != f[:-1, 0]
-            place = np.arange(len(f)) - np.maximum.accumulate(np.where(begins, np.arange(len(f)), 0)) if len(f) else np.zeros(0)
-            f = f[place < k]
-            yield pd.DataFrame({"query_id": f[:, 0], "vec_id": f[:, 1], "score": f[:, 2]})
-
-    joined = visited.join(blocks.select("block", F.col("ids").alias("doc_ids"), "data"), "block")
-    return joined.select("doc_ids", "data", "ids", "q", "least").mapInPandas(run, "query_id long, vec_id long, score long")
-
-
-def search(vectors: DataFrame, queries: DataFrame, scratch: Scratch, k: int = K) -> DataFrame:
+    Each query visits the blocks from the highest bound down until the bound falls below its k-th
+    score, which rises on the way. In a step every query goes to its next block; those at the same
+    block are scored together.
+    """
+    bound = bounds(q, *summary)
+    order = np.argsort(-bound, axis=1, kind="stable")
+    need, best = least.copy(), np.full((len(q), k), NONE)
+    live, found, scored = np.arange(len(q)), [np.zeros((0, 3), np.int64)], 0
+    for step in range(bound.shape[1]):
+        at = order[live, step]
+        on = bound[live, at] >= need[live]
+        live, at = live[on], at[on]
+        if not len(live):
+            break
+        scored += len(live)
+        for block in np.unique(at).tolist():
+            rows = live[at == block]
+            own = ids[block * size : (block + 1) * size]
+            s = dot(q[rows], data[block * size : (block + 1) * size])
+            s = np.where(asked[rows][:, None] == own[None, :], NONE, s)
+            r, c = np.nonzero(s >= np.maximum(need[rows], NONE + 1)[:, None])
+            found.append(np.column_stack((asked[rows[r]], own[c], s[r, c])))
+            best[rows] = -np.partition(-np.concatenate((best[rows], s), axis=1), k - 1, axis=1)[:, :k]
+            need[rows] = np.maximum(need[rows], best[rows].min(axis=1))
+    return _top(np.concatenate(found), k), scored
+
+
+def _top(f: np.ndarray, k: int) -> np.ndarray:
+    """The k best rows (query, vec_id, score) of each query, ties to the smaller vec_id."""
+    f = f[np.lexsort((f[:, 1], -f[:, 2], f[:, 0]))]
+    if not len(f):
+        return f
+    begins = np.concatenate(([True], f[1:, 0] != f[:-1, 0]))
+    at = np.arange(len(f))
+    return f[at - np.maximum.accumulate(np.where(begins, at, 0)) < k]
+
+
+def scored(visited: DataFrame, same: DataFrame, packs: DataFrame, pages: DataFrame, width: int, k: int, seen: tuple[Accumulator, Accumulator] | None = None) -> DataFrame:
+    """Rows (query_id, vec_id, score): the k best of each visited page for the queries of its packs.
+
+    A page meets its packs in groups of MEET or so, so a task holds one page and a bounded number
+    of queries. ``same`` is the table of visits read once more.
+    """
+    groups = max(1, -(-packs.count() // MEET))
+    asked = visited.join(packs.select(F.col("n").alias("pack"), "ids", "data", "least"), "pack").withColumn("part", F.pmod(F.xxhash64("pack"), F.lit(groups)).cast("int"))
+    wanted = same.select("page", F.pmod(F.xxhash64("pack"), F.lit(groups)).cast("int").alias("part")).distinct()
+    whole = wanted.join(pages.select(F.col("n").alias("page"), "ids", "data", "low", "high", "centre", "radius"), "page")
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = np.zeros((0, 3), np.int64)
+        if len(left) and len(right):
+            p = left.iloc[0]
+            summary = _summary(p["low"], p["high"], p["centre"], p["radius"], width)
+            ids, q, least = _longs(b"".join(right["ids"])), np.concatenate([_of(d, width) for d in right["data"]]), _longs(b"".join(right["least"]))
+            docs = _longs(p["ids"])
+            data = _of(p["data"], width) if width else np.zeros((len(docs), 0), np.int64)
+            found, n = _in_page(docs, data, summary, ids, q if width else np.zeros((len(ids), 0), np.int64), least, k, BLOCK)
+            if seen:
+                seen[0].add(n)
+                seen[1].add(len(ids) * len(summary[3]))
+        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+
+    cells = whole.groupBy("page", "part").cogroup(asked.groupBy("page", "part"))
+    return cells.applyInPandas(meet, "query_id long, vec_id long, score long")
+
+
+def search(vectors: DataFrame, queries: DataFrame, scratch: Scratch, k: int = K, seen: tuple[Accumulator, Accumulator] | None = None) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k best of vectors for each query but itself, ties to the smaller id.
 
-    Every pack of queries meets every page of block summaries. First each query scores the few
-    blocks of its highest bounds, which gives a k-th score; then it visits all blocks whose bound
-    reaches that score, and no others. What a batch finds is merged there, so at most k rows per
-    query and batch are shuffled. A vector shorter than others counts as filled with zeros; rows
-    with the id of the query count as its own; queries of equal id are asked once.
+    Documents and queries are ordered by similarity and cut to pages of blocks. A query scores its
+    own page first, which gives it a k-th score; then its pack goes to the pages with a block whose
+    bound reaches that score, and there it visits blocks from the highest bound down. At most k
+    rows per query and page are shuffled. A vector shorter than others counts as filled with
+    zeros; rows with the id of the query count as its own; queries of equal id are asked once.
+    ``seen`` counts the blocks that queries scored, and those of all pages that they went to.
     """
-    small_batches(vectors.sparkSession)
     width = vectors.agg(F.max(F.size("v"))).first()[0] or 0
-    blocks = scratch.write(make_blocks(vectors, width), "blocks")
-    page_count = max(1, -(-blocks.count() // PAGE))
-    page = F.pmod(F.xxhash64("block"), F.lit(page_count)).cast("int")
-    gathered = blocks.groupBy(page.alias("page")).agg(F.collect_list(F.struct("block", "low", "high")).alias("x"))
-    pages = scratch.write(gathered.select("page", F.col("x.block").alias("blocks"), F.col("x.low").alias("low"), F.col("x.high").alias("high")), "pages")
-    asked = scratch.write(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    asked = queries.groupBy("vec_id").agg(F.min("v").alias("v")).select(F.lit(True).alias("asked"), "vec_id", "v")
+    both = vectors.select(F.lit(False).alias("asked"), "vec_id", "v").unionByName(asked)
+    made = scratch.write(make_pages(in_order(both, guides(vectors, width), width), width, k), "pages")
+    pages, packs = made.where("kind = 'page'"), scratch.again(made).where("kind = 'pack'").select("n", "ids", "data", "least")
+    visited = scratch.write(visits(packs, pages, width), "visits")
+    found = scored(visited, scratch.again(visited), packs, pages, width, k, seen)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    unknown = make_packs(asked.withColumn("least", F.lit(NONE)), width)
-    seeds = scored(visits(unknown, pages, page_count, width, FIRST), blocks, width, k).withColumn("rank", rank).where(F.col("rank") == k)
-    seeds = scratch.write(seeds.select("query_id", "score"), "seeds")
-    known = asked.join(seeds, asked["vec_id"] == seeds["query_id"], "left").select("vec_id", "v", F.coalesce("score", F.lit(NONE)).alias("least"))
-    found = scored(visits(make_packs(known, width), pages, page_count, width, None), blocks, width, k)
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

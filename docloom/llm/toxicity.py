@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch, pick, small_batches, table
+from docloom.llm.common import Scratch, kept_columns, map_frames, pick, small_batches, table
 
 #: Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
 HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ԁ": "d", "к": "k", "т": "t", "м": "m", "н": "h", "в": "b", "ο": "o", "α": "a", "ε": "e", "ι": "i", "ρ": "p", "τ": "t", "υ": "u", "ν": "v", "ı": "i", "ł": "l"}
@@ -21,13 +22,13 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@":
 #: Zero-width characters that hide a word.
 DROPPED = ["​", "‌", "‍", "⁠", "­", "﻿"]
 FOLD = str.maketrans(HOMOGLYPHS | SUBSTITUTES | dict.fromkeys(DROPPED, ""))
-#: Phrases in which a lexicon word is harmless.
-EXCEPTIONS = ("trash can", "trash bin", "clown fish", "pond scum", "idiot light", "moron test")
 #: The lexicon is fitted on this many labelled documents at most, those with the smallest hash of their id.
 LABELLED_ROWS = 20_000
 STEMS = range(3, 10)
 #: A stem needs this evidence in nats, and these odds against clean documents.
 EVIDENCE, ODDS, LEXICON = 11.0, 10.0, 2_000
+#: A phrase of two words makes the lexicon word in it harmless if so many clean documents have it and no toxic one; phrases kept.
+HARMLESS, EXCEPTIONS = 3, 2_000
 TOXIC_AT = 0.7
 
 
@@ -35,15 +36,19 @@ def fold(text: str) -> str:
     return text.lower().translate(FOLD)
 
 
+def folded_words(text: str) -> list[str]:
+    return re.findall(r"[^\W_]+", fold(text))
+
+
 def stems(text: str) -> set[str]:
     """Beginnings of the folded words, whole ones included."""
-    return {w[:n] for w in set(re.findall(r"\w+", fold(text))) for n in STEMS if n <= len(w)}
+    return {w[:n] for w in set(folded_words(text)) for n in STEMS if n <= len(w)}
 
 
 class Lexicon:
     """Weights of stems, exception phrases, and the logistic curve that turns a weighted sum into a score."""
 
-    def __init__(self, weights: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS, curve: tuple[float, ...] = (-4.0, 1.0, 0.5)):
+    def __init__(self, weights: dict[str, float], exceptions: tuple[str, ...] = (), curve: tuple[float, ...] = (-4.0, 1.0, 0.5)):
         self.weights, self.exceptions, self.curve, self.found = weights, exceptions, curve, None
 
     def __getstate__(self):
@@ -54,21 +59,27 @@ class Lexicon:
             self.found = ahocorasick.Automaton()
             for stem, weight in self.weights.items():
                 self.found.add_word(stem, (len(stem), weight))
-            for phrase in map(fold, self.exceptions):
+            for phrase in self.exceptions:
                 self.found.add_word(phrase, (len(phrase), 0.0))
             self.found.make_automaton()
         return self.found
 
     def hits(self, text: str) -> list[tuple[int, int, float]]:
-        """Matches (start, end, weight) in the folded text that begin a word and lie in no exception phrase."""
+        """Matches (start, end, weight) in the folded words, one blank between them, that begin a word and lie in no exception phrase."""
         if not self.weights:
             return []
-        folded = fold(text)
+        folded = " ".join(folded_words(text))
         found = [(e + 1 - n, e + 1, w) for e, (n, w) in self._automaton().iter(folded)]
-        found = [x for x in found if not x[0] or not folded[x[0] - 1].isalnum()]
-        safe = [x for x in found if x[2] == 0.0 and not folded[x[1] : x[1] + 1].isalnum()]
+        found = [x for x in found if not x[0] or folded[x[0] - 1] == " "]
+        safe = [x for x in found if x[2] == 0.0 and folded[x[1] : x[1] + 1] in ("", " ")]
         return [x for x in found if x[2] and not any(s[0] <= x[0] and x[1] <= s[1] for s in safe)]
 
+    def phrases(self, text: str) -> set[str]:
+        """Pairs of neighbouring words of which one begins with a stem of the lexicon."""
+        words = folded_words(text)
+        at = [i for i, w in enumerate(words) if any(w[:n] in self.weights for n in STEMS if n <= len(w))]
+        return {" ".join(words[i : i + 2]) for k in at for i in (k - 1, k) if 0 <= i < len(words) - 1}
+
     def features(self, text: str | None) -> tuple[float, float, float]:
         """1, the weighted sum, and the weighted sum per hundred words, both dampened. Null: as empty."""
         text = text or ""
@@ -94,41 +105,60 @@ def _first_shingle(text: str | None, seed: int) -> int:
     return min((xxhash.xxh64_intdigest(" ".join(words[i : i + 3]), seed) >> 1 for i in range(max(1, len(words) - 2))), default=0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows: int = LABELLED_ROWS) -> Lexicon:
-    """Learn a lexicon from rows (_id, text) and labels (_id, toxic).
+def _labelled(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows: int) -> DataFrame:
+    """Texts (toxic, text) of at most ``rows`` labelled documents, without near copies.
 
-    Labels are bounded by ``rows``; near copies among the labelled documents count once, as far
-    as their first shingles agree. Stems are counted by toxic and clean documents; the strongest
-    by evidence go in, unless one that is in already begins them or begins with them. Without
-    toxic or clean labels nothing is learned and every score is the same low one.
+    A document counts if no smaller id with its label shares one of its two first shingles. This is
+    decided on ids and hashes, at most ``rows`` of them, so texts stay where they are. Of rows with
+    equal ids the smallest text counts.
     """
     chosen = labels.where("_id is not null and toxic in (0, 1)").groupBy("_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    small_batches(docs.sparkSession)
 
     def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(m1=[_first_shingle(t, 1) for t in b["text"]], m2=[_first_shingle(t, 2) for t in b["text"]])
+            yield b[["_id", "toxic"]].assign(m1=[_first_shingle(t, 1) for t in b["text"]], m2=[_first_shingle(t, 2) for t in b["text"]])
+
+    # at most LABELLED_ROWS ids are broadcast and come back
+    known = docs.where("text is not null").join(F.broadcast(chosen), "_id").select("_id", "toxic", "text")
+    marks = map_frames(known, shingled, kept_columns(known.select("_id")) + "toxic int, m1 long, m2 long")
+    marks = marks.groupBy("_id", "toxic").agg(F.count("*").alias("n"), F.min("m1").alias("m1"), F.min("m2").alias("m2")).toPandas().sort_values("_id")
+    marks = marks[~marks.duplicated(["toxic", "m1"]) & ~marks.duplicated(["toxic", "m2"])]
+    spark = docs.sparkSession
+    ids = lambda m: F.broadcast(spark.createDataFrame([(int(i),) for i in m["_id"]], f"_id {docs.schema['_id'].dataType.simpleString()}"))
+    once = known.join(ids(marks[marks["n"] == 1]), "_id").select("toxic", "text")
+    again = known.join(ids(marks[marks["n"] > 1]), "_id").groupBy("_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
+    return scratch.write(once.unionByName(again), "labelled")
+
+
+def _count_by_document(known: DataFrame, of: Callable[[str], set[str]], column: str) -> DataFrame:
+    """Rows (column, pos, neg): in how many toxic and clean documents of rows (toxic, text) each string occurs."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        for b in batches:
+            for toxic, text in zip(b["toxic"], b["text"]):
+                seen[toxic].update(of(text))
+        both = list(seen[0].keys() | seen[1].keys())
+        yield pd.DataFrame({column: both, "pos": [seen[1][s] for s in both], "neg": [seen[0][s] for s in both]})
 
-    # at most LABELLED_ROWS ids are broadcast; the texts stay where they are
-    known = docs.join(F.broadcast(chosen), "_id").where("text is not null").select("toxic", "text")
-    known = known.mapInPandas(shingled, "toxic int, text string, m1 long, m2 long").dropDuplicates(["toxic", "m1"]).dropDuplicates(["toxic", "m2"])
-    known = scratch.write(known.select("toxic", "text"), "labelled")
+    return map_frames(known, counted, f"{column} string, pos long, neg long").groupBy(column).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows: int = LABELLED_ROWS) -> Lexicon:
+    """Learn a lexicon from rows (_id, text) and labels (_id, toxic).
+
+    Labels are bounded by ``rows``; near copies among the labelled documents count once. Stems are
+    counted by toxic and clean documents; the strongest by evidence go in, unless one that is in
+    already begins them or begins with them. Phrases of clean documents only that hold a stem are
+    exceptions. Without toxic or clean labels nothing is learned and every score is the same low one.
+    """
+    known = _labelled(docs, labels, scratch, rows)
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
         return Lexicon({})
     least = EVIDENCE / np.log((toxic + clean) / toxic)
-
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
-        for b in batches:
-            for t in b["text"]:
-                seen.update(stems(t))
-        yield pd.DataFrame({"stem": list(seen.keys()), "n": list(seen.values())})
-
-    count = lambda rows: rows.select("text").mapInPandas(counted, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
-    often = count(known.where("toxic = 1")).where(F.col("n") >= float(least)).withColumnRenamed("n", "pos")
-    both = often.join(count(known.where("toxic = 0")), "stem", "left").select("stem", "pos", F.coalesce("n", F.lit(0)).alias("neg"))
+    both = _count_by_document(known, stems, "stem").where(F.col("pos") >= float(least))
     precision = F.col("pos") / (F.col("pos") + F.col("neg"))
     both = both.withColumn("evidence", F.col("pos") * F.log(precision * (toxic + clean) / toxic))
     both = both.withColumn("weight", F.log((F.col("pos") + 0.5) / (toxic + 1) / ((F.col("neg") + 0.5) / (clean + 1))))
@@ -141,14 +171,16 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows: int = LABELL
             continue
         weights[s] = float(r["weight"])
         inside.update(s[:k] for k in STEMS)
-    lexicon = Lexicon(weights)
+    harmless = _count_by_document(known, Lexicon(weights).phrases, "phrase").where(f"pos = 0 and neg >= {HARMLESS}")
+    safe = harmless.orderBy(F.desc("neg"), "phrase").limit(EXCEPTIONS).collect()
+    lexicon = Lexicon(weights, tuple(r["phrase"] for r in safe))
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = np.array([lexicon.features(t) for t in b["text"]]).reshape(-1, 3)
             yield pd.DataFrame({"toxic": b["toxic"], "a": x[:, 1], "b": x[:, 2]})
 
-    shape = known.mapInPandas(featured, "toxic int, a double, b double").toPandas()  # LABELLED_ROWS at most
+    shape = map_frames(known, featured, "toxic int, a double, b double").toPandas()  # LABELLED_ROWS at most
     lexicon.curve = _curve(np.column_stack((np.ones(len(shape)), shape["a"], shape["b"])), shape["toxic"].to_numpy(float))
     return lexicon
 
@@ -159,16 +191,13 @@ def held_out(doc_id: str) -> Column:
 
 def score(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Replace the column text of rows by score and predicted; texts are scored whole."""
-    small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             s = np.array([lexicon.score(t) for t in b["text"]], float)
             yield b.drop(columns="text").assign(score=s, predicted=(s >= TOXIC_AT).astype("int32"))
 
-    kept = [f for f in rows.schema.fields if f.name != "text"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["score double", "predicted int"])
-    return rows.mapInPandas(run, schema)
+    return map_frames(rows, run, kept_columns(rows, "text") + "score double, predicted int")
 
 
 def trained(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Lexicon:
@@ -191,9 +220,9 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     text, names = docs.columns.index("text"), docs.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b[[lexicon.score(t) < TOXIC_AT for t in b.iloc[:, text]]]
+            yield b.filter(pa.array([lexicon.score(t) < TOXIC_AT for t in b.column(text).to_pylist()], pa.bool_()))
 
     plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
-    return plain.mapInPandas(run, plain.schema).toDF(*names)
+    return plain.mapInArrow(run, plain.schema).toDF(*names)

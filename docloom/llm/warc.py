@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 import zlib
@@ -13,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch, pick, small_batches, table, with_key_value
+from docloom.llm.common import Scratch, map_frames, pick, table, with_key_value
 
 #: Bytes of payload and records after which a task begins another archive.
 ARCHIVE_BYTES, ARCHIVE_RECORDS = 16_000_000, 20_000
@@ -98,7 +99,7 @@ def _uri(folder: str) -> str:
 
 
 def _name(page) -> str:
-    return "none" if page is None or page != page else str(int(page))
+    return "none" if page is None or page is pd.NA else str(page)
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
@@ -107,7 +108,6 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     A partition writes its own archives, named after it, so nothing is shuffled and a task that
     runs again writes the same files. Null html is an empty payload.
     """
-    small_batches(pages.sparkSession)
     folder = _uri(folder)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,27 +115,27 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         size = count = 0
         for b in batches:
             listed = []
-            for page, html, digest in zip(b["page_id"].tolist(), b["html"], b["digest"]):
+            for page, html, digest in zip(b["page_id"], b["html"], b["digest"]):
                 if file is None:
                     path = f"{folder}/crawl-{part:06d}-{n:05d}.warc.gz"
                     file, gz, size, count = _File(path), zlib.compressobj(1, zlib.DEFLATED, GZIP), 0, 0
                 html = bytes(html)
                 file.out.write(gz.compress(record("response", _name(page), _http(html), len(html), digest)))
-                listed.append((path, count, None if page != page else page, len(html), digest))
+                listed.append((path, count, len(html)))
                 size, count = size + len(html), count + 1
                 if size >= ARCHIVE_BYTES or count >= ARCHIVE_RECORDS:
                     file.out.write(gz.flush())
                     file.close()
                     file, n = None, n + 1
-            made = pd.DataFrame(listed, columns=["archive", "n", "page_id", "payload_bytes", "payload_digest"])
-            yield made.astype({"page_id": "Int64"})
+            made = pd.DataFrame(listed, columns=["archive", "n", "payload_bytes"])
+            yield made.assign(page_id=b["page_id"].to_numpy(), payload_digest=b["digest"].to_numpy())[["archive", "n", "page_id", "payload_bytes", "payload_digest"]]
         if file is not None:
             file.out.write(gz.flush())
             file.close()
 
     html = F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), html.alias("html")).withColumn("digest", F.sha2("html", 256))
-    return rows.mapInPandas(run, "archive string, n long, page_id long, payload_bytes long, payload_digest string")
+    return map_frames(rows, run, "archive string, n long, page_id long, payload_bytes long, payload_digest string")
 
 
 def decide(listed: DataFrame) -> DataFrame:
@@ -153,86 +153,102 @@ def decide(listed: DataFrame) -> DataFrame:
     return first.unionByName(small)
 
 
-INDEX = "archive string, member_offset long, member_bytes long, n long, record_type string"
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows with an archive, each archive in one task, in as many tasks as there are archives."""
+    return rows.repartition(max(1, rows.select("archive").distinct().count()), "archive")
+
+
+def _sidecar(archive: str) -> str:
+    return archive.replace(".warc.gz", ".idx.jsonl")
+
+
+def _read_all(path: str) -> Iterator[bytes]:
+    files, at = _open(path)
+    with files.open_input_stream(at, compression=None) as f:
+        while chunk := f.read(CHUNK):
+            yield chunk
 
 
 def normalise(decided: DataFrame) -> DataFrame:
-    """Rewrite each monolithic archive with a member per record and return the offset index, which is also written beside it.
+    """Rewrite each monolithic archive with a member per record and write its offset index beside it.
 
-    An archive, of bounded size, is one group: its decisions meet it in one task, which inflates
-    the stream once. Only decisions are shuffled, never payloads.
+    Returns a row (archive, records, bytes) per archive. Its decisions, at most ARCHIVE_RECORDS
+    short rows, meet it in one task, which inflates the stream once. Payloads are never shuffled.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        source = group["archive"].iloc[0]
-        files, path = _open(source)
+    def rewrite(source: str, fate: list[tuple[str, object]]) -> tuple[str, int, int]:
         target = source.replace("/crawl-", "/normal-")
-        fate = {n: (k, r) for n, k, r in zip(group["n"], group["record_type"], group["refers_to"].astype("Int64"))}
-        out, at, index = _File(target), 0, []
-
-        def chunks() -> Iterator[bytes]:
-            with files.open_input_stream(path, compression=None) as f:
-                while chunk := f.read(CHUNK):
-                    yield chunk
-
-        for n, (head, block) in enumerate(records(chunks())):
+        out, beside, at = _File(target), _File(_sidecar(target)), 0
+        for n, (head, block) in enumerate(records(_read_all(source))):
             kind, to = fate[n]
             page = head["WARC-Record-ID"].removeprefix("<urn:page:").removesuffix(">")
             size, digest = int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha256:")
-            made = _gzip(record(kind, page, block if kind == "response" else b"", size, digest, None if kind == "response" else _name(None if to is pd.NA else to)))
+            made = _gzip(record(kind, page, block, size, digest) if kind == "response" else record(kind, page, b"", size, digest, _name(to)))
             out.out.write(made)
-            index.append((target, at, len(made), n, kind))
+            beside.out.write((json.dumps({"offset": at, "bytes": len(made), "n": n, "type": kind}) + "\n").encode())
             at += len(made)
         out.close()
-        beside = _File(target.replace(".warc.gz", ".idx.jsonl"))
-        beside.out.write("".join(json.dumps(dict(zip(("offset", "bytes", "n", "type"), x[1:]))) + "\n" for x in index).encode())
         beside.close()
-        return pd.DataFrame(index, columns=["archive", "member_offset", "member_bytes", "n", "record_type"])
+        return target, len(fate), at
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, fate = None, []
+        made = []
+        for b in batches:
+            for archive, kind, to in zip(b["archive"], b["record_type"], b["refers_to"]):
+                if archive != source and fate:
+                    made.append(rewrite(source, fate))
+                    fate = []
+                source = archive
+                fate.append((kind, to))
+        if fate:
+            made.append(rewrite(source, fate))
+        yield pd.DataFrame(made, columns=["archive", "records", "bytes"])
 
-    return decided.select("archive", "n", "record_type", "refers_to").groupBy("archive").applyInPandas(run, INDEX)
+    rows = _spread(decided.select("archive", "n", "record_type", "refers_to")).sortWithinPartitions("archive", "n")
+    return map_frames(rows.select("archive", "record_type", "refers_to"), run, "archive string, records long, bytes long")
 
 
-def read_members(index: DataFrame) -> DataFrame:
-    """Read records by their offsets: rows with page_id, payload_bytes, payload_digest, record_type and refers_to.
+def read_archives(normalised: DataFrame) -> DataFrame:
+    """Read the records of normalised archives (archive), each member at the offset that the index beside the archive gives.
 
+    Rows have page_id, payload_bytes, payload_digest, record_type, refers_to and the member's place.
     The payload of a response is hashed and measured anew and held against its record's head.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
-
-        files: dict[str, object] = {}
-        page_of = lambda x: None if x is None or x == "<urn:page:none>" else int(x[10:-1])
-        for b in batches:
-            rows = []
-            for archive, offset, size in zip(b["archive"], b["member_offset"], b["member_bytes"]):
-                if archive not in files:
-                    for f in files.values():
-                        f.close()
-                    system, path = _open(archive)
-                    files = {archive: system.open_input_file(path)}
-                files[archive].seek(offset)
-                (head, block), = records(iter([files[archive].read(size)]))
+    page_of = lambda x: pd.NA if x is None or x == "<urn:page:none>" else int(x[10:-1])
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "member_offset", "member_bytes"]
+
+    def members(archive: str) -> Iterator[tuple]:
+        index = [json.loads(x) for x in b"".join(_read_all(_sidecar(archive))).splitlines()]
+        files, path = _open(archive)
+        with files.open_input_file(path) as f:
+            for x in index:
+                f.seek(x["offset"])
+                (head, block), = records(iter([f.read(x["bytes"])]))
                 digest, n = head["WARC-Payload-Digest"].removeprefix("sha256:"), int(head["X-Payload-Length"])
                 if head["WARC-Type"] == "response":
                     payload = block[block.index(b"\r\n\r\n") + 4 :]
                     if (hashlib.sha256(payload).hexdigest(), len(payload)) != (digest, n):
-                        raise ValueError(f"payload of {archive} at {offset} differs from its head")
-                rows.append((page_of(head["WARC-Record-ID"]), n, digest, head["WARC-Type"], page_of(head.get("WARC-Refers-To")), archive, offset, size))
-            made = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "member_offset", "member_bytes"])
-            yield made.astype({"page_id": "Int64", "refers_to": "Int64"})
+                        raise ValueError(f"payload of {archive} at {x['offset']} differs from its head")
+                yield page_of(head["WARC-Record-ID"]), n, digest, head["WARC-Type"], page_of(head.get("WARC-Refers-To")), archive, x["offset"], x["bytes"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for archive in b["archive"]:
+                rows = pd.DataFrame(list(members(archive)), columns=columns)
+                yield rows.astype({"page_id": "Int64", "refers_to": "Int64"})
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, member_offset long, member_bytes long"
-    return index.select("archive", "member_offset", "member_bytes").mapInPandas(run, schema)
+    return map_frames(_spread(normalised.select("archive")), run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op1: every page written to archives, normalised, and read back by offset. Repeated rows are records of their own."""
+    """op1: every page written to archives, normalised, and read back by the offset indexes. Repeated rows are records of their own."""
     scratch = Scratch(spark, "op1")
     pages = pick(table(spark, sf_dir, "pages"), page_id="page_id", html="html")
     listed = scratch.write(write_archives(pages, f"{scratch.root}/archives"), "listed")
-    index = scratch.write(normalise(decide(listed)), "index")
-    return read_members(index.repartition("archive").sortWithinPartitions("archive", "member_offset"))
+    normalised = scratch.write(normalise(decide(listed)), "normalised")
+    return read_archives(normalised).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = f"""

@@ -1,6 +1,7 @@
 """Archives, media, models and search against brute force, round trips and held-out accuracy."""
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -68,18 +69,31 @@ def test_normaliser_makes_members_and_an_index(spark, tmp_path):
     rows = [(i, "u", f"<p>{i}</p>" * 50, "a", 1) for i in range(20)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, archive string, n int").coalesce(1)
     listed = Scratch(spark, "t").write(warc.write_archives(pages, f"file://{tmp_path}"), "listed")
-    index = warc.normalise(warc.decide(listed)).collect()
+    normalised = Scratch(spark, "t").write(warc.normalise(warc.decide(listed)), "normalised")
     crawl, = tmp_path.glob("crawl-*.gz")
     z = zlib.decompressobj(31)
     z.decompress(crawl.read_bytes())
     assert z.eof and not z.unused_data
     normal, = tmp_path.glob("normal-*.gz")
     data = normal.read_bytes()
+    index = [json.loads(x) for x in (tmp_path / normal.name.replace(".warc.gz", ".idx.jsonl")).read_text().splitlines()]
+    assert len(index) == 20 and [tuple(r)[1:] for r in normalised.collect()] == [(20, len(data))]
     for r in index:
         z = zlib.decompressobj(31)
-        body = z.decompress(data[r["member_offset"] : r["member_offset"] + r["member_bytes"]])
+        body = z.decompress(data[r["offset"] : r["offset"] + r["bytes"]])
         assert z.eof and not z.unused_data and body.startswith(b"WARC/1.1\r\n") and f"<p>{r['n']}</p>".encode() in body
-    assert len((tmp_path / normal.name.replace(".warc.gz", ".idx.jsonl")).read_text().splitlines()) == 20
+    read = warc.read_archives(normalised).orderBy("page_id").collect()
+    assert [(r["page_id"], r["member_offset"], r["member_bytes"]) for r in read] == [(r["n"], r["offset"], r["bytes"]) for r in index]
+
+
+def test_archives_are_dealt_out_to_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_RECORDS", 5)
+    pages = spark.range(60).selectExpr("id as page_id", "repeat('text ', 40) as html").repartition(3)
+    listed = Scratch(spark, "t").write(warc.write_archives(pages, f"file://{tmp_path}"), "listed")
+    normalised = Scratch(spark, "t").write(warc.normalise(warc.decide(listed)), "normalised")
+    assert normalised.count() == 12 and warc.read_archives(normalised).rdd.getNumPartitions() == 12
+    got = warc.read_archives(normalised).collect()
+    assert sorted(r["page_id"] for r in got) == list(range(60)) and sum(r["record_type"] == "response" for r in got) == 1
 
 
 # FLAC
@@ -289,32 +303,61 @@ def test_brown_scores(spark, sf, odd, empty):
 
 
 def test_brown_model_is_a_distribution_and_joins_rare_words(spark, sf, monkeypatch):
-    monkeypatch.setattr(brown, "NUMBERED", 300)
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    texts = docs.selectExpr("cast(text as binary) as text")
+    monkeypatch.setattr(brown, "ANCHORS", 50)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id as _id", "false as held_out", "cast(text as binary) as text")
     scratch = Scratch(spark, "t")
-    vocab = scratch.write(brown.count_words(texts), "w")
-    least = brown.numbered_from(vocab, 300)
-    assert 0 < vocab.where(f"n >= {least}").count() <= 302
-    model = brown.train(texts, vocab)
+    vocab = scratch.write(brown.count_words(docs.select("text")), "w")
+    top, least = brown.numbered_words(vocab, 300)
+    assert 0 < len(top) <= 300
+    numbered = scratch.write(brown.number(docs, top["word"].tolist()), "n")
+    model = brown.train(numbered, vocab, top, least)
     assert np.allclose((10 ** model["log_transition"]).sum(axis=1), 1)
-    place = {w: i for i, w in enumerate(model["words"])}
+    place, end = {w: i for i, w in enumerate(top["word"])}, len(top)
     n = {bytes(r["word"]): r["n"] for r in vocab.collect()}
-    of = lambda w: model["classes"] if w == b"" else model["class_of"][place[w]] if w in place else model["by_ending"][brown.ending(w)]
+    of = lambda w: model["class_of"][end if w == b"" else place[w] if w in place else end + 1 + brown.ending(w)]
     mass = defaultdict(float)
     for w, k in n.items():
         mass[of(w)] += (k + 0.1) / 10 ** model["log_class"][of(w)]
     for k, m in mass.items():
         assert abs(m + 0.1 / 10 ** model["log_class"][k] - 1) < 1e-9
-    rows = docs.selectExpr("doc_id as _id", "false as held_out", "text")
-    for r in brown.score(rows, vocab, model, scratch).limit(30).collect():
-        text = docs.where(f"doc_id = {r['_id']}").first()["text"]
-        tokens = [*brown.words(text.encode()), b""]
+    texts = {r["_id"]: bytes(r["text"]) for r in docs.collect()}
+    for r in brown.score(numbered, vocab, model, scratch).limit(30).collect():
+        tokens = [*brown.words(texts[r["_id"]]), b""]
         before = [b"", *tokens[:-1]]
         want = sum(model["log_transition"][of(a), of(b)] + math.log10(n.get(b, 0) + 0.1) - model["log_class"][of(b)] for a, b in zip(before, tokens))
         assert abs(r["score"] - want) < 1e-6 * max(1, -want)
 
 
+def test_words_move_to_the_classes_of_their_contexts(spark):
+    """All words beyond the first are moved as one pass over their neighbours by hand moves them."""
+    rng = random.Random(2)
+    texts = [" ".join(x for _ in range(20) for x in (f"a{min(rng.randrange(60), rng.randrange(60))}", f"b{min(rng.randrange(60), rng.randrange(60))}")) for _ in range(120)]
+    docs = spark.createDataFrame([(i, False, t.encode()) for i, t in enumerate(texts)], "_id long, held_out boolean, text binary").repartition(3)
+    scratch = Scratch(spark, "moves")
+    vocab = scratch.write(brown.count_words(docs.select("text")), "w")
+    top, least = brown.numbered_words(vocab, 80)
+    numbered = scratch.write(brown.number(docs, top["word"].tolist()), "n")
+    end, k = len(top), 3
+    class_of = np.full(end + 1 + brown.ENDINGS, -1)
+    class_of[:20], class_of[end] = [int(w.startswith(b"b")) for w in top["word"][:20]], 2
+    n = np.array([[1.0, 90.0, 1.0], [80.0, 1.0, 9.0], [9.0, 1.0, 0.0]])
+    got = brown.move(numbered, class_of, n, 20, end, 2)
+    unit = {w: i for i, w in enumerate(top["word"])}
+    table = defaultdict(lambda: np.zeros(2 * k))
+    for t in texts:
+        ids = [end, *[unit.get(w, end + 1 + brown.ending(w)) for w in t.encode().split()], end]
+        for left, x, right in zip(ids, ids[1:], ids[2:]):
+            for c, at in ((class_of[left], 0), (class_of[right], k)):
+                if x >= 20 and c >= 0:
+                    table[x][at + c] += 1
+    for x, row in table.items():
+        assert got[x] == brown.place(row[None, :], n, 2)[0]
+    assert np.array_equal(got[:20], class_of[:20])
+    whole = brown.train(numbered, vocab, top, least, classes=2)["class_of"]
+    sides = [{whole[i] for w, i in unit.items() if w.startswith(side)} for side in (b"a", b"b")]
+    assert all(len(x) == 1 for x in sides) and sides[0] != sides[1]
+
+
 def test_exchange_finds_alternating_classes():
     rng = random.Random(1)
     bigrams = np.zeros((21, 21))
@@ -343,9 +386,26 @@ def test_top_k(spark, sf, tmp_path, monkeypatch):
     rows += [(1000 + i, [0.5] * 5, 1, "x") for i in range(300)] + [(2000, None, 1, "x"), (2020, [1.0, None, 1.0, 1.0, 1.0], 1, "x"), (2040, [float("nan")] * 5, 1, "x"), (2060, [float("inf")] * 5, 1, "x"), (None, [1.0] * 5, 1, "x")]
     for name, data in (("odd", rows), ("few", rows[:7]), ("none", [])):
         spark.createDataFrame(data, "vec_id long, embedding array<float>, label int, score string").repartition(3).write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
-    monkeypatch.setattr(topk, "BLOCK", 32)
-    monkeypatch.setattr(topk, "FIRST", 2)
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "PAGE", 4)
+    monkeypatch.setattr(topk, "PACK", 8)
+    monkeypatch.setattr(topk, "MEET", 2)
+    monkeypatch.setattr(topk, "CHUNK", 3)
     for folder in (sf, f"{tmp_path}/odd", f"{tmp_path}/few", f"{tmp_path}/none"):
         data = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
         got = topk.query(spark, folder).collect()
         assert {tuple(r) for r in got} == brute_top(data) and len(got) == len({tuple(r) for r in got})
+
+
+def test_top_k_prunes_where_vectors_are_clustered(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 32)
+    monkeypatch.setattr(topk, "PAGE", 8)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 16))
+    rows = [(i, (centres[i % 40] + rng.normal(size=16) / 20).tolist()) for i in range(4000)]
+    vectors = topk.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    sc = spark.sparkContext
+    seen = (sc.accumulator(0), sc.accumulator(0))
+    got = topk.search(vectors, vectors.where("vec_id % 20 = 0"), Scratch(spark, "clustered"), seen=seen).collect()
+    assert {tuple(r) for r in got} == brute_top(rows)
+    assert 0 < seen[0].value < 0.3 * 200 * -(-4000 // 32)

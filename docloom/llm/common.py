@@ -42,13 +42,14 @@ NULLABLE = {pa.int8(): pd.Int8Dtype(), pa.int16(): pd.Int16Dtype(), pa.int32():
 
 
 def map_frames(rows: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
-    """``mapInPandas`` whose integer columns stay integers beside nulls, whatever their size; batches are small."""
+    """``mapInPandas`` whose integer columns stay integers beside nulls, whatever their size; batches are small and empty frames are left out."""
     small_batches(rows.sparkSession)
     made = to_arrow_schema(StructType.fromDDL(schema))
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in run(b.to_pandas(types_mapper=NULLABLE.get) for b in batches):
-            yield from pa.Table.from_pandas(out, schema=made, preserve_index=False).combine_chunks().to_batches()
+            if len(out):
+                yield from pa.Table.from_pandas(out, schema=made, preserve_index=False).combine_chunks().to_batches()
 
     return rows.mapInArrow(over, schema)
 

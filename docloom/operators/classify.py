@@ -10,19 +10,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Phrases of privacy document types: strong, supporting, of file names, and priority.
-PRIVACY_TYPES = {
-    "id_document": (["national identification number", "national identity card", "identity card", "identity document", "passport number", "drivers license", "driver license", "driving licence", "residence permit", "carte d identite", "permis de conduire"], ["date of birth", "place of birth", "sex", "gender", "nationality", "surname"], ["passport", "identity card", "national id"], 120),
-    "medical_record": (["medical certificate", "medical record", "clinical report", "laboratory report", "discharge summary", "patient record", "prescription", "dossier medical"], ["hospital", "patient", "diagnosis", "doctor", "clinic"], ["medical", "prescription"], 110),
-    "bank_statement": (["bank statement", "statement of account", "account statement", "releve bancaire"], ["opening balance", "closing balance", "account number", "transaction"], ["statement"], 100),
-    "invoice": (["tax invoice", "invoice number", "amount due", "facture"], ["subtotal", "total", "due date", "bill to"], ["invoice"], 95),
-    "contract": (["this agreement", "terms and conditions", "governing law", "the parties agree", "contrat"], ["party", "clause", "termination", "effective date"], ["contract", "agreement"], 90),
-    "resume_cv": (["curriculum vitae", "work experience", "professional experience"], ["education", "skills", "references", "languages"], ["cv", "resume"], 80),
-    "academic_certificate": (["degree certificate", "statement of result", "academic transcript"], ["degree", "registrar", "university", "graduation"], ["certificate", "transcript"], 75),
-    "license_text": (["apache license", "mit license", "general public license"], ["license", "warranty", "copyright", "permission"], ["license"], 70),
-    "correspondence": (["yours sincerely", "yours faithfully", "dear sir"], ["dear", "regards", "sincerely", "subject"], ["letter"], 60),
-}
+from docloom.operators import fixed
+
+#: Types of privacy documents in the order of their priority: name, strong phrases, supporting phrases. Callers may pass their own.
+PRIVACY_TYPES = fixed.PRIVACY_TYPES
 VETOES = {"resume_cv": ["i am writing to apply", "i am applying for", "lettre de motivation"], "academic_certificate": ["birth", "naissance", "death certificate", "marriage certificate"]}
+#: A certificate without a strong phrase needs one of each of these.
+CERTIFICATE = (
+    ["degree", "bachelor of", "master of", "doctor of philosophy", "diploma"],
+    ["registrar", "chancellor", "graduation"],
+    ["this is to certify", "having fulfilled all requirements", "has successfully completed"],
+)
 BANDS = [("small", 0, 500, 5, 10), ("medium", 501, 2000, 10, 20), ("large", 2001, 1_000_000_000, 20, 40)]
 SCRIPT_NAMES = ("Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Han", "Hiragana", "Katakana", "Hangul", "Devanagari", "Thai")
 
@@ -51,16 +49,34 @@ def confidence(top: Column, second: Column, signals: Column) -> Column:
     return F.when(top <= 0, 0.2).otherwise(F.least(F.lit(0.99), 0.48 + 0.30 * F.least(F.lit(1.0), top / 20) + 0.17 * margin + 0.05 * F.least(F.lit(1.0), signals / 5)))
 
 
-def privacy_type(docs: DataFrame) -> DataFrame:
-    """Type and confidence of rows (doc_id, text, filename): phrases score, strong ones are needed, and a close second is a draw."""
+def document_types(lines: str) -> list[tuple[str, list[str], list[str]]]:
+    """Types (name, strong phrases, supporting phrases) of lines ``name: a, b | c, d``."""
+    out = []
+    for line in lines.strip().splitlines():
+        name, _, phrases = line.partition(":")
+        strong, _, support = phrases.partition("|")
+        out.append((name.strip(), *[[p.strip() for p in part.split(",") if p.strip()] for part in (strong, support)]))
+    return out
+
+
+def privacy_type(docs: DataFrame, types: list[tuple[str, list[str], list[str]]] | None = None) -> DataFrame:
+    """Type and confidence of rows (doc_id, text, filename): phrases score, strong ones are needed, and a close second is a draw.
+
+    A type's file name phrases are its own name and its strong phrases. Of equal scores and signals the earlier type wins.
+    """
+    types = types or document_types(PRIVACY_TYPES)
     scored = []
-    for name, (strong, support, files, priority) in PRIVACY_TYPES.items():
-        s, p, f = _hits("plain", strong), _hits("plain", support), _hits("name", files)
-        open_ = (s > 0) | ((p >= 2) if name == "correspondence" else F.lit(False))
+    for rank, (name, strong, support) in enumerate(types):
+        s, p, f = _hits("plain", strong), _hits("plain", support), _hits("name", [name.replace("_", " "), *strong])
+        open_ = s > 0
+        if name == "correspondence":
+            open_ = open_ | (p >= 2)
+        if name == "academic_certificate":
+            open_ = open_ | ((_hits("plain", CERTIFICATE[0]) > 0) & (_hits("plain", CERTIFICATE[1]) > 0) & (_hits("plain", CERTIFICATE[2]) > 0))
         if name in VETOES:
             open_ = open_ & (_hits("plain", VETOES[name]) == 0)
         score = 6.0 * F.least(s, F.lit(4)) + 1.75 * F.least(p, F.lit(7)) + F.least(f, F.lit(2))
-        scored.append(F.struct(F.when(open_, score).otherwise(0.0).alias("score"), F.when(open_, s + p + f).otherwise(0).alias("signals"), F.lit(priority).alias("priority"), F.lit(name).alias("name")))
+        scored.append(F.struct(F.when(open_, score).otherwise(0.0).alias("score"), F.when(open_, s + p + f).otherwise(0).alias("signals"), F.lit(-rank).alias("priority"), F.lit(name).alias("name")))
     rows = squeezed(docs).select("doc_id", F.sort_array(F.array(*scored), asc=False).alias("s"))
     top, second = F.get("s", F.lit(0)), F.get("s", F.lit(1))
     draw = (top["score"] < 4) | ((second["score"] >= 4) & (top["score"] - second["score"] < 1.5))

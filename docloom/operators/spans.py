@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.operators import fixed
+
 ITEM = "array<struct<start:int,end:int,label:string,source:string>>"
 
 
@@ -18,21 +20,30 @@ def exclude_reviewed(spans: DataFrame, quotes: DataFrame) -> DataFrame:
 def merged_spans(spans: Column) -> Column:
     """Fold an array of spans: strictly overlapping ones become one, touching ones stay apart.
 
-    Different labels become sensitive_data and different sources merged.
+    Different labels become sensitive_data and different sources merged. A span begins a new group
+    if it starts where the spans before it have ended, which a running maximum tells; the places
+    of the beginnings cut the array, so each span is handled once.
     """
-
-    def step(out: Column, s: Column) -> Column:
-        last = F.try_element_at(out, F.lit(-1))
-        one = F.struct(
-            last["start"].alias("start"),
-            F.greatest(last["end"], s["end"]).alias("end"),
-            F.when(last["label"] == s["label"], s["label"]).otherwise("sensitive_data").alias("label"),
-            F.when(last["source"] == s["source"], s["source"]).otherwise("merged").alias("source"),
+    item = "struct<start:int,end:int,label:string,source:string>"
+    ordered = F.array_sort(spans)
+    begin = F.struct(F.lit(-1).alias("reach"), F.lit("").alias("marks"))
+    step = lambda acc, s: F.struct(F.greatest(acc["reach"], s["end"]).alias("reach"), F.concat(acc["marks"], F.when(s["start"] < acc["reach"], "0").otherwise("1")).alias("marks"))
+    marks = F.aggregate(ordered, begin, step, lambda acc: acc["marks"])
+    # a mark per span, 1 where a group begins: its runs are the groups
+    sizes = F.transform(F.filter(F.split(marks, "(?=1)"), lambda x: x != ""), F.length)
+    ends = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["all"], F.array(acc["at"] + n)).alias("all")), lambda acc: acc["all"])
+
+    def one(end: Column, size: Column) -> Column:
+        group = F.slice(ordered, end - size + 1, size)
+        labels, sources = F.array_distinct(F.transform(group, lambda s: s["label"])), F.array_distinct(F.transform(group, lambda s: s["source"]))
+        return F.struct(
+            F.element_at(group, 1)["start"].alias("start"),
+            F.array_max(F.transform(group, lambda s: s["end"])).alias("end"),
+            F.when(F.size(labels) == 1, F.element_at(labels, 1)).otherwise("sensitive_data").alias("label"),
+            F.when(F.size(sources) == 1, F.element_at(sources, 1)).otherwise("merged").alias("source"),
         )
-        head = F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))
-        return F.when(s["start"] < last["end"], F.concat(head, F.array(one))).otherwise(F.concat(out, F.array(s)))
 
-    return F.aggregate(F.array_sort(spans), F.array().cast(ITEM), step)
+    return F.when(F.size(ordered) > 0, F.zip_with(ends, sizes, one)).otherwise(F.array().cast(f"array<{item}>"))
 
 
 def gather(spans: DataFrame) -> DataFrame:
@@ -91,19 +102,22 @@ def terms_not_found(terms: DataFrame, spans: DataFrame) -> DataFrame:
     return terms.withColumn("_key", key(F.col("term"))).join(seen, "_key", "left_anti").select("term")
 
 
-#: Names of an outside detector's types and the labels that own them.
-EXTERNAL_LABELS = {
-    "PERSON_NAME": "name", "FIRST_NAME": "name", "LAST_NAME": "name", "EMAIL_ADDRESS": "email_address", "PHONE_NUMBER": "phone_number", "CREDIT_CARD_NUMBER": "card_number",
-    "IBAN_CODE": "account_number", "SWIFT_CODE": "account_number", "US_SOCIAL_SECURITY_NUMBER": "national_id", "UK_NATIONAL_INSURANCE_NUMBER": "national_id", "US_EMPLOYER_IDENTIFICATION_NUMBER": "tax_id",
-    "PASSPORT": "passport_number", "DATE_OF_BIRTH": "date_of_birth", "AGE": "age", "STREET_ADDRESS": "contact_address", "LOCATION": "contact_address",
-}
+def external_owners(types: dict[str, str] = fixed.EXTERNAL_TYPES) -> dict[str, str]:
+    """The label that owns each type of an outside detector; a type with two owners is an error."""
+    pairs = [(name, label) for label, names in types.items() for name in names.split()]
+    owners = dict(pairs)
+    if len(owners) < len(pairs):
+        raise ValueError("an external type has several owners")
+    return owners
 
 
-def canonical_labels(findings: DataFrame, selected: list[str]) -> DataFrame:
+def canonical_labels(findings: DataFrame, selected: list[str], types: dict[str, str] = fixed.EXTERNAL_TYPES) -> DataFrame:
     """Findings of an outside detector with the one label that owns their type; unknown and unselected owners drop them."""
-    owner = F.create_map(*[F.lit(x) for kv in EXTERNAL_LABELS.items() for x in kv])
-    label = F.coalesce(owner[F.col("label")], F.when(F.col("label").endswith("_PASSPORT"), "passport_number"))
-    return findings.withColumn("label", label).where(F.col("label").isin(selected))
+    # a row per type of a fixed table: far below any broadcast limit
+    owners = findings.sparkSession.createDataFrame(list(external_owners(types).items()), "_type string, _owner string")
+    told = findings.withColumn("_type", F.upper("label")).join(F.broadcast(owners), "_type", "left")
+    label = F.coalesce("_owner", F.when(F.col("_type").endswith("_PASSPORT"), "passport_number"))
+    return told.withColumn("label", label).where(F.col("label").isin(selected)).drop("_type", "_owner")
 
 
 def ambiguous_owners(pairs: DataFrame) -> DataFrame:

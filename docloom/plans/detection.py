@@ -37,10 +37,10 @@ G.add("t8_detect_dob", "forms", quotes("date_of_birth"), extracted("Birth: (.+)"
 G.add("t9_detect_age", "forms", lambda d: D.detect(d, ["age"]).select("doc_id", "quote"), r"SELECT doc_id, quote FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\bage\s*[:#-]?\s*(\d{1,3})\b', 1)) AS quote FROM forms) WHERE CAST(quote AS INTEGER) <= 130")
 G.add("t10_detect_address", "forms", quotes("contact_address"))
 G.add("t11_detect_signature", "forms", quotes("signature"))
-G.add("t12_detect_name_labelled", "forms", lambda d: D.spans_of(d, lambda t: D.by_patterns(t, ["name"])))
+G.add("t12_detect_name_labelled", "forms", lambda d: D.found_by_rules(d, ["name"]))
 G.add("t13_detect_name_multiline", "forms", lambda d: D.spans_of(d, D.names_over_lines))
-G.add("t14_detect_name_contextual", "documents", lambda d: D.spans_of(d.select("doc_id", F.concat(F.lit("Jane Roe\nmail me: a@b.example.com\n"), "text").alias("text")), D.names_in_context))
-G.add("t17_trim_place_prefix", "forms", lambda d: D.spans_of(d.select("doc_id", F.regexp_replace("text", "Lagos", "Federal Ministry Lagos").alias("text")), lambda t: [s for s in D.by_patterns(t, ["contact_address"]) if s[2].endswith("Nigeria")]))
+G.add("t14_detect_name_contextual", "documents", lambda d: D.contextual_names(d.select("doc_id", F.concat(F.lit("Jane Roe\nmail me: a@b.example.com\n"), "text").alias("text"))))
+G.add("t17_trim_place_prefix", "forms", lambda d: D.found_by_rules(d.select("doc_id", F.regexp_replace("text", "Lagos", "Federal Ministry Lagos").alias("text")), ["contact_address"]).where("endswith(quote, 'Nigeria')"))
 G.add("t18_id_document_fields", "forms", lambda d: D.spans_of(d, D.id_document_fields))
 
 
@@ -84,7 +84,7 @@ def fixed_spans(d: DataFrame) -> DataFrame:
 AT = "CAST(doc_id % 9 AS INTEGER)"
 G.add("t26_redact_text", "documents", lambda d: S.cover_documents(d, fixed_spans(d)).select("doc_id", "n_findings", F.sha2("redacted_text", 256).alias("digest")),
       f"SELECT doc_id, CASE WHEN length(text) > 20 THEN 1 ELSE 0 END AS n_findings, sha256(CASE WHEN length(text) > 20 THEN substr(text, 1, {AT}) || repeat('█', 6) || substr(text, {AT} + 7) ELSE text END) AS digest FROM documents")
-G.add("t26_redacted_documents", "documents", lambda d: S.cover_documents(d, D.detect(d, CONTACTS)))
+G.add("t26_redacted_documents", "documents", lambda d: D.redacted(d, CONTACTS))
 G.add("t27_mask_text", "documents", lambda d: S.cover_documents(d, fixed_spans(d), S.mask, "masked").select("doc_id", F.sha2("masked", 256).alias("digest")),
       f"SELECT doc_id, sha256(CASE WHEN length(text) > 20 THEN substr(text, 1, {AT}) || regexp_replace(substr(text, {AT} + 1, 6), '\\S', '*', 'g') || substr(text, {AT} + 7) ELSE text END) AS digest FROM documents")
 G.add("t28_mask_metadata_columns", "pages", lambda p: S.mask_columns(p.select("page_id", "url"), ["url"], "[0-9]"), "SELECT page_id, trim(regexp_replace(url, '[0-9]', '*', 'g')) AS url FROM pages")

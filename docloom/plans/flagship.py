@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.operators import detect, spans
+from docloom.operators import detect
 from docloom.sources.tables import load, spread
 
 CONTACTS = ("email_address", "phone_number", "card_number")
@@ -12,4 +12,4 @@ CONTACTS = ("email_address", "phone_number", "card_number")
 
 def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(load(spark, sf_dir, "documents"))
-    return spans.cover_documents(docs, detect.detect(docs, CONTACTS))
+    return detect.redacted(docs, CONTACTS)

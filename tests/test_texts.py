@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 CARD = "4111 1111 1111 1111"
 
 
+PLACES = detect.Places(["Nigeria", "France", "United Kingdom", "U.K.", "Guinea"])
+
+
 def found(text, *labels):
-    return [(s[2], s[3]) for s in detect.find(text, labels or detect.LABELS)]
+    return [(s[2], s[3]) for s in detect.find(text, labels or detect.LABELS, places=PLACES)]
 
 
 @pytest.mark.parametrize(
@@ -48,6 +51,44 @@ def test_names():
     assert not detect.name_like("John [redacted]") and detect.name_like("Jean-Luc d’Arc")
     fields = {(s[3], s[2]) for s in detect.id_document_fields("Surname: Obi\nGiven Names: Ada\nDate of Birth: 01/02/1990\nNIN: 12345678901")}
     assert fields == {("name", "Obi"), ("name", "Ada"), ("date_of_birth", "01/02/1990"), ("national_id", "12345678901")}
+    fields = {(s[3], s[2]) for s in detect.id_document_fields("REPUBLIC\nAB12CD34EF56\n12 Main Street, Ota\nNo. 1234 567 8901")}
+    assert fields == {("national_id", "AB12CD34EF56"), ("contact_address", "12 Main Street, Ota"), ("national_id", "1234 567 8901")}
+    assert ("Ann Lee\nSurname", "name") in found("Name: Ann Lee\nSurname\nMoe: x", "name")
+    far = "\n".join(["Jane Roe", *["filler 1"] * 7, "mail: j@x.example.com"])
+    assert found(far, "name") == [] and found("France Guinea\nJane Roe\nphone", "name") == [("France Guinea", "name"), ("Jane Roe", "name")]
+
+
+@pytest.mark.parametrize("value, fits", [("Jean-Luc d’Arc", True), ("X", False), ("Ann XXX", False), ("ann_lee", False), ("Bank Lee", False), ("-- .", False), ("A. 'Bo'", False), ("A. Bo", True), (" : Ann , ", True)])
+def test_name_shapes(value, fits):
+    assert detect.name_like(value) is fits
+
+
+def test_places():
+    assert PLACES.fit("Paris, France") and not PLACES.fit("Paris") and not PLACES.fit("MTN Nigeria, Lagos, Nigeria") and not PLACES.fit("Ministry Ota, Nigeria")
+    assert PLACES.within("Gov Canaan Land, Ota, Nigeria") == (4, "Canaan Land, Ota, Nigeria") and PLACES.within("Gov, Nigeria") is None
+    assert [q for q, _ in found("He left Port Harcourt, Nigeria for London, U.K.", "contact_address")] == ["Port Harcourt, Nigeria", "London, U.K."]
+
+
+def test_countries_are_a_parameter(spark):
+    names = detect.country_names(spark)
+    assert {"Congo", "Cote d'Ivoire", "Eritrea", "Laos", "Myanmar", "North Korea", "Uzbekistan", "Dominican Republic", "Saint Lucia", "Antigua and Barbuda", "Czech Republic", "UAE", "U.S."} <= set(names)
+    docs = spark.createDataFrame([(1, "He lives in Asmara, Eritrea now."), (2, "Born in Mordor, Gondor.")], "doc_id long, text string")
+    assert [r["quote"] for r in detect.detect(docs, ["contact_address"]).collect()] == ["Asmara, Eritrea"]
+    assert [r["quote"] for r in detect.detect(docs, ["contact_address"], countries=["Gondor"]).collect()] == ["Mordor, Gondor"]
+
+
+def test_redaction_in_one_pass_is_that_of_rows(spark):
+    text = "mail a@b.example.com, card 4111 1111 1111 1111, Phone: 0801 234 5678"
+    docs = spark.createDataFrame([(1, text), (2, "clean"), (3, None)], "doc_id long, text string")
+    labels = ["email_address", "card_number", "phone_number"]
+    assert sorted(detect.redacted(docs, labels).collect()) == sorted(spans.cover_documents(docs, detect.detect(docs, labels)).collect())
+
+
+def test_external_types(spark):
+    owners = spans.external_owners()
+    assert owners["FRANCE_NIR"] == "national_id" and owners["VAT_NUMBER"] == "tax_id" and owners["OBJECT_TYPE/PERSON/SIGNATURE"] == "signature"
+    with pytest.raises(ValueError):
+        spans.external_owners({"a": "X Y", "b": "Y"})
 
 
 @settings(max_examples=60, deadline=None)
@@ -147,5 +188,15 @@ def test_privacy_types(spark):
     rows = [(1, "This AGREEMENT, the parties agree; governing law", None), (2, "Carte d’identité, date of birth, surname", None), (3, "hello", "invoice.pdf")]
     got = {r["doc_id"]: r["document_type"] for r in classify.privacy_type(spark.createDataFrame(rows, "doc_id long, text string, filename string")).collect()}
     assert got == {1: "contract", 2: "id_document", 3: "general_document"}
+    types = classify.document_types(classify.PRIVACY_TYPES)
+    assert len(types) == len({t[0] for t in types}) == 30 and all(t[1] and t[2] for t in types)
+    rows = [(i, ". ".join(t[1][:3] + t[2][:3]), None) for i, t in enumerate(types)]
+    rows += [(100, "This is to certify that she, bachelor of arts, ... the Registrar", None), (101, "plain gizmo text", None)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, filename string")
+    got = {r["doc_id"]: r["document_type"] for r in classify.privacy_type(made).collect()}
+    assert [types[i][0] for i in range(30) if got[i] not in (types[i][0], "general_document")] == [] and sum(v == "general_document" for v in got.values()) <= 6
+    assert got[100] == "academic_certificate" and got[101] == "general_document"
+    own = classify.privacy_type(made, classify.document_types("toy: gizmo | plain"))
+    assert {r["doc_id"]: r["document_type"] for r in own.collect()}[101] == "toy"
     langs = classify.section_languages(spark.createDataFrame([(1, "a\nb")], "doc_id long, text string"), lambda s: {"en": 0.9, "fr": 0.1} if s == "a" else {"de": 0.5, "fr": 0.5})
     assert langs.select(F.array_join("languages", ",").alias("x")).first()["x"] == "en"

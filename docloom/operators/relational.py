@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.ordered import walk
+
 def role_rank() -> Column:
     return F.when(F.col("role") == "owner", 0).when(F.col("role") == "admin", 1).otherwise(2)
 
@@ -91,20 +92,15 @@ def verify_chain(events: DataFrame, hashed: Column) -> DataFrame:
 def build_chain(events: DataFrame) -> DataFrame:
     """Seal events (organization_id, id, canonical): each hash covers the one before, in order of id.
 
-    A chain can only be sealed in order, so an organisation is a group; its rows are short.
+    A chain can only be sealed in order, so an organisation stays in one task, which holds the last hash.
     """
 
-    def seal(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        before, previous, hashes = "", [], []
-        for text in rows["canonical"]:
-            previous.append(before or None)
-            before = hashlib.sha256(f"{before}|{text}".encode()).hexdigest()
-            hashes.append(before)
-        return rows.assign(previous_hash=previous, event_hash=hashes)
+    def seal(before: str, row: tuple) -> tuple[str, list[tuple]]:
+        sealed = hashlib.sha256(f"{before}|{row[2]}".encode()).hexdigest()
+        return sealed, [(*row, before or None, sealed)]
 
     schema = "organization_id long, id long, canonical string, previous_hash string, event_hash string"
-    return events.select("organization_id", "id", "canonical").groupBy("organization_id").applyInPandas(seal, schema)
+    return walk(events.select("organization_id", "id", "canonical"), ["organization_id"], ["id"], str, seal, schema)
 
 
 def chained_hash() -> Column:

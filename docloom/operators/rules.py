@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -200,11 +201,31 @@ def dedupe_references(hits: DataFrame) -> DataFrame:
     return hits.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+#: Signals that are put into one expression; more are searched by an automaton in each task.
+FEW_SIGNALS = 200
+
+
 def signal_hits(docs: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rows (doc_set, signal) of substring signals that occur in a set, found by the text's own functions."""
+    """Rows (doc_set, signal) of substring signals that occur in a set; texts are folded once and sets are aggregated where they are."""
     signals = [s for s, mode, case, _, _ in _signal_list(rules) if mode == "substring"]
-    found = F.filter(F.array(*map(F.lit, signals)).cast("array<string>"), lambda s: F.lower("text").contains(s))
-    return docs.select("doc_set", F.explode(found).alias("signal")).distinct()
+    if len(signals) > FEW_SIGNALS:
+        return _many_hits(docs, signals)
+    low = F.lower("text")
+    has = docs.groupBy("doc_set").agg(*[F.bool_or(low.contains(s)).alias(f"s{i}") for i, s in enumerate(signals)])
+    return has.select("doc_set", F.explode(F.array_compact(F.array(*[F.when(F.col(f"s{i}"), F.lit(s)) for i, s in enumerate(signals)]).cast("array<string>"))).alias("signal"))
+
+
+def _many_hits(docs: DataFrame, signals: list[str]) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = ahocorasick.Automaton()
+        for s in signals:
+            found.add_word(s, s)
+        found.make_automaton()
+        for b in batches:
+            hits = {(doc_set, s) for doc_set, text in zip(b["doc_set"], b["low"]) for _, s in found.iter(text or "")}
+            yield pd.DataFrame(list(hits), columns=["doc_set", "signal"])
+
+    return docs.select("doc_set", F.lower("text").alias("low")).mapInPandas(run, "doc_set string, signal string").distinct()
 
 
 def _kind(name: str) -> Column:
@@ -215,8 +236,11 @@ def evaluate(rules: DataFrame, hits: DataFrame, sets: DataFrame) -> DataFrame:
     """A row per set and rule: status, matched and missing signals.
 
     ``hits`` has (doc_set, signal), ``sets`` (doc_set, complete): whether all content could be read.
-    Every set meets every rule; both are few next to the texts, whose hits are joined.
+    Every set meets every rule, as the result has a row for each; a run has MOST_RULES rules at most,
+    which bounds what is broadcast. The texts' hits are joined.
     """
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError("too many rules")
     r = normal_rules(rules)
     each = r.select("rule_id", F.explode(F.concat(*[_kind(k) for k in ("required", "optional", "prohibited")])).alias("s")).select("rule_id", "s.kind", "s.signal")
     got = hits.select("doc_set", "signal").distinct().join(F.broadcast(each), "signal").groupBy("doc_set", "rule_id")
@@ -280,8 +304,15 @@ def quality_warnings(docs: DataFrame) -> DataFrame:
 
 
 def report_id(documents: DataFrame, packs: Column, at: Column) -> DataFrame:
-    """An id of each set's report from its documents' digests, the packs and the time."""
-    sums = documents.groupBy("doc_set").agg(F.array_join(F.sort_array(F.collect_list(F.sha2("text", 256))), "|").alias("sums"))
+    """An id of each set's report from its documents' digests, the packs and the time.
+
+    Equal digests are counted first; those that begin alike are hashed in order to a part, and the
+    parts, 4,096 at most, to the id, so no set is gathered whole.
+    """
+    each = documents.select("doc_set", F.sha2("text", 256).alias("d")).groupBy("doc_set", "d").agg(F.count("*").alias("n"))
+    part = F.array_join(F.sort_array(F.collect_list(F.concat_ws("*", "d", "n"))), "|")
+    parts = each.groupBy("doc_set", F.left("d", F.lit(3)).alias("at")).agg(F.sha2(part, 256).alias("d"))
+    sums = parts.groupBy("doc_set").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "d"))), lambda x: x["d"]), "|").alias("sums"))
     digest = F.sha2(F.concat_ws("|", "sums", packs, at), 256)
     return sums.select("doc_set", F.concat(F.lit("cmp_"), at, F.lit("_"), F.left(digest, F.lit(20))).alias("report_id"))
 

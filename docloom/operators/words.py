@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import textwrap
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.ordered import walk
+
 PAYLOAD = (
     "struct<results:struct<channels:array<struct<alternatives:array<struct<transcript:string,words:array<struct<word:string,start:double,end:double,speaker:int>>>>>>,"
     "utterances:array<struct<transcript:string,speaker:int,words:array<struct<word:string,start:double,end:double,speaker:int>>>>>>"
@@ -41,31 +42,52 @@ def choose_transcript(labelled: Column, channel: Column, words: Column) -> Colum
     return F.when((n(labelled) > 0) & (n(labelled) >= n(channel)), labelled).when((n(words) > 0) & (n(words) >= n(channel)), words).otherwise(channel)
 
 
-def cues_of(words: list[tuple[str, float, float, int | None]]) -> list[tuple[float, float, str, int | None]]:
-    """Subtitles of words in order: a speaker, a pause, a length, a frame, a number of words or a sentence ends one."""
-    cues: list[list] = []
-    for text, start, end, speaker in words:
-        text = text.strip()
-        if not text:
-            continue
-        if cues:
-            begin, last, said, who, n = cues[-1]
-            turn = who is not None and speaker is not None and who != speaker
-            done = said.endswith((".", "?", "!", "…")) and last - begin >= SENTENCE
-            wide = len(textwrap.wrap(f"{said} {text}", LINE)) > LINES
-            if not (turn or start - last >= PAUSE or end - begin > LONGEST or wide or n >= MOST_WORDS or done):
-                cues[-1] = [begin, end, f"{said} {text}", speaker if speaker is not None else who, n + 1]
-                continue
-        cues.append([start, end, text, speaker, 1])
-    return [(round(a, 3), round(b, 3), "\n".join(textwrap.wrap(t, LINE)), s) for a, b, t, s, _ in cues if a >= 0 and b > a]
+Cue = list  # start, end, text, speaker, number of words
 
 
-def subtitle_cues(words: DataFrame) -> DataFrame:
-    """Cues (media_id, n, start_s, end_s, text, speaker); a recording is one group, as a cue depends on the one before."""
+def extended(cue: Cue | None, word: tuple[str, float, float, int | None]) -> tuple[Cue | None, Cue | None]:
+    """The open cue after a word, and the one that the word ended: a speaker, a pause, a length, a frame, a number of words or a sentence does."""
+    text, start, end, speaker = word
+    text = text.strip()
+    if not text:
+        return cue, None
+    if cue:
+        begin, last, said, who, n = cue
+        turn = who is not None and speaker is not None and who != speaker
+        done = said.endswith((".", "?", "!", "…")) and last - begin >= SENTENCE
+        full = turn or done or n >= MOST_WORDS or start - last >= PAUSE or end - begin > LONGEST
+        longer = f"{said} {text}"
+        if not full and (len(longer) <= LINE or len(textwrap.wrap(longer, LINE)) <= LINES):
+            return [begin, end, longer, speaker if speaker is not None else who, n + 1], None
+    return [start, end, text, speaker, 1], cue
+
+
+def shown(cue: Cue | None) -> list[tuple[float, float, str, int | None]]:
+    """A cue as it is shown, if it lasts."""
+    if not cue or cue[0] < 0 or cue[1] <= cue[0]:
+        return []
+    return [(round(cue[0], 3), round(cue[1], 3), "\n".join(textwrap.wrap(cue[2], LINE)), cue[3])]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["start_s", "end_s", "text"])
-        found = cues_of([(t, a, b, None if s != s else int(s)) for t, a, b, s in zip(rows["text"], rows["start_s"], rows["end_s"], rows["speaker"].astype(float))])
-        return pd.DataFrame([(rows["media_id"].iloc[0], n, *c) for n, c in enumerate(found, 1)], columns=["media_id", "n", "start_s", "end_s", "text", "speaker"]).astype({"speaker": "Int32"})
 
-    return words.groupBy("media_id").applyInPandas(run, "media_id string, n int, start_s double, end_s double, text string, speaker int")
+def cues_of(words: list[tuple[str, float, float, int | None]]) -> list[tuple[float, float, str, int | None]]:
+    """Subtitles of words in order."""
+    cue, out = None, []
+    for word in words:
+        cue, closed = extended(cue, word)
+        out += shown(closed)
+    return out + shown(cue)
+
+
+def subtitle_cues(words: DataFrame) -> DataFrame:
+    """Cues (media_id, n, start_s, end_s, text, speaker) of recordings; a task holds one open cue."""
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        n, cue = state
+        media, start, end, text, speaker = row
+        cue, closed = extended(cue, (text, start, end, None if speaker is None or speaker != speaker else int(speaker)))
+        found = shown(closed)
+        return (n + len(found), cue), [(media, n + 1, *c) for c in found]
+
+    rows = words.select("media_id", "start_s", "end_s", "text", "speaker")
+    schema = "media_id string, n int, start_s double, end_s double, text string, speaker int"
+    return walk(rows, ["media_id"], ["start_s", "end_s", "text"], lambda: (0, None), step, schema, lambda state, last: [(last[0], state[0] + 1, *c) for c in shown(state[1])])

@@ -64,8 +64,8 @@ G.add("e9_usage_cost", "events", usage_cost,
 G.add("e10_backoff_seconds", "outbox", lambda o: o.select("id", B.backoff_seconds(F.col("attempts") * 2).alias("delay_s"), B.push_backoff_seconds(F.col("attempts")).alias("push_s")),
       "SELECT id, CAST(least(pow(2, least(greatest(attempts * 2 - 1, 0), 8)), 300) AS BIGINT) AS delay_s, CAST(least(3600, 30 * pow(2, least(attempts, 7))) AS BIGINT) AS push_s FROM outbox")
 G.add("e11_word_count", "documents", lambda d: d.select("doc_id", F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("words")), r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS INTEGER) AS words FROM documents")
-G.add("e12_array_order_dedupe", "conversations", lambda c: c.select("conv_id", "turn", F.array_join(F.array_distinct(F.split(F.lower(F.substring("text", 1, 80)), " ")), " ").alias("words")),
-      "SELECT conv_id, turn, array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda p: list_position(w, p[1]) = p[2]), lambda p: p[1]), ' ') AS words FROM (SELECT *, string_split(lower(substr(text, 1, 80)), ' ') AS w FROM conversations)")
+G.add("e12_array_order_dedupe", "conversations", lambda c: c.select("conv_id", "turn", F.array_join(F.array_distinct(F.split(F.lower("text"), " ")), " ").alias("words")),
+      "SELECT conv_id, turn, array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda p: list_position(w, p[1]) = p[2]), lambda p: p[1]), ' ') AS words FROM (SELECT *, string_split(lower(text), ' ') AS w FROM conversations)")
 G.add("e13_preview_text", "messages policies", lambda m, p: m.join(p, "organization_id", "left").select("id", B.preview_text(F.col("body"), F.col("previews_enabled")).alias("preview")), "SELECT id, CASE WHEN previews_enabled THEN left(body, 180) END AS preview FROM messages m LEFT JOIN policies p USING (organization_id)")
 G.add("e14_canonical_string", "calls", lambda c: c.select("id", F.sha2(B.canonical(F.col("id"), F.col("created_by"), F.col("scheduled_end_s"), F.col("provider_finished_s")), 256).alias("hash")),
       "SELECT id, sha256(concat_ws('|', CAST(id AS VARCHAR), created_by, coalesce(CAST(scheduled_end_s AS VARCHAR), ''), coalesce(CAST(provider_finished_s AS VARCHAR), ''))) AS hash FROM calls")

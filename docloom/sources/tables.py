@@ -79,10 +79,18 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 TEXTS = ("documents", "forms", "record_text", "pages", "conversations")
 
 
+#: A table of at most so many files and bytes is small; a single row group of it would keep one core busy.
+SMALL_FILES, SMALL_BYTES = 64, 256 * 2**20
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """Scanned rows over all cores: a file that is one partition is dealt out, a table of many stays as it is."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    """Texts of a small table dealt out over the cores; larger ones are split by the reader and stay where they are."""
+    spark, files = rows.sparkSession, rows.inputFiles()
+    if len(files) > SMALL_FILES:
+        return rows
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    size = sum(path(f).getFileSystem(conf).getFileStatus(path(f)).getLen() for f in files)
+    return rows.repartition(min(spark.sparkContext.defaultParallelism, 64)) if size <= SMALL_BYTES else rows
 
 
 def _reads(text: str, table: str) -> bool:

@@ -20,6 +20,28 @@ def read_text_corpus(spark: SparkSession, path: str, drop_mark: bool = False) ->
     return rows.withColumn("text", strict).select("path", "text", "checksum", F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("words"))
 
 
+def write_text_corpus(rows: DataFrame, path: str, key: str, text: str) -> None:
+    """A folder <key>=<value> with a text file for each row; the file ends with a line's end."""
+    rows.select(key, F.coalesce(F.col(text), F.lit("")).alias("value")).repartition(key).write.partitionBy(key).text(path)
+
+
+def write_named(files: DataFrame, root: str) -> DataFrame:
+    """Write rows (path, content) to files under a root and list them (path, bytes); a file is replaced whole if a task runs again."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root.removeprefix('file:')}")
+        for b in batches:
+            for path, content in zip(b["path"], b["content"]):
+                system.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(f"{base}/{path}") as out:
+                    out.write(content.encode())
+            yield pd.DataFrame({"path": b["path"], "bytes": [len(c.encode()) for c in b["content"]]})
+
+    return files.select("path", "content").mapInPandas(run, "path string, bytes long")
+
+
 class _Visible(HTMLParser):
     SKIPPED = {"script", "style", "head", "template", "noscript"}
     VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}

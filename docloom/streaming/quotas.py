@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from docloom.operators.ordered import walk
+
 ADMITTED = "key string, event_id long, ts long, admitted boolean, retry_s long"
 
 
@@ -95,8 +97,14 @@ def _walk(key: str, rows: pd.DataFrame, held: list, step) -> tuple[pd.DataFrame,
 
 
 def admit(events: DataFrame, step) -> DataFrame:
-    """Batch: rows (key, event_id, ts, cost) with their admission."""
-    return events.groupBy("key").applyInPandas(lambda rows: _walk(rows["key"].iloc[0], rows, [], step)[0], ADMITTED)
+    """Batch: rows (key, event_id, ts, cost) with their admission; a task holds what can still count of one key."""
+
+    def one(held: list, row: tuple) -> tuple[list, list[tuple]]:
+        key, ts, event_id, cost = row
+        held, ok, retry = step(held, (int(event_id), int(ts), int(cost)))
+        return held, [(key, event_id, ts, ok, retry)]
+
+    return walk(events.select("key", "ts", "event_id", "cost"), ["key"], ["ts", "event_id"], list, one, ADMITTED)
 
 
 def admit_stream(events: DataFrame, step, idle_ms: int | None = None) -> DataFrame:

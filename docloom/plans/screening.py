@@ -155,7 +155,6 @@ G.add("r4_legal_review_valid", "orders", reviews, "SELECT o_orderkey, o_orderkey
 G.add("r5_normalize_signals", "conversations", lambda c: c.select("conv_id", "turn", F.array_join(R.fold_signals(F.split("text", "[,.]"), F.col("turn") % 2 == 0), "|").alias("signals")),
       "SELECT conv_id, turn, array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda p: list_position(w, p[1]) = p[2]), lambda p: p[1]), '|') AS signals FROM (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(text, '[,.]'), lambda x: CASE WHEN turn % 2 = 0 THEN trim(x, ' ') ELSE lower(trim(x, ' ')) END), lambda x: x <> '') AS w FROM conversations)")
 G.add("r6_search_signal", "documents", lambda d: R.signal_hits(sets(d), table(d.sparkSession)), HITS_SQL)
-G.add("r6_signal_spans", "documents", lambda d: R.search(sets(d), table(d.sparkSession)).select("doc_id", "signal", "start", "end"))
 G.add("r7_phrase_and_word", "documents", lambda d: R.search(sets(d), table(d.sparkSession, EXTRA[:2])).select("doc_id", "signal").distinct(),
       r"SELECT doc_id, s AS signal FROM documents, (VALUES ('the  and', '(?i)the\s+and'), ('of', '(?i)(^|[^\p{L}\p{N}_])of($|[^\p{L}\p{N}_])')) t(s, p) WHERE regexp_matches(text, p)")
 G.add("r8_regex_signal", "documents", lambda d: R.search(sets(d), table(d.sparkSession, EXTRA[2:])).groupBy("doc_id").agg(F.count("*").alias("n")), r"SELECT doc_id, least(3, len(regexp_extract_all(text, '(?i)[a-z]{2,10}@example\.com'))) AS n FROM documents WHERE regexp_matches(text, '(?i)[a-z]{2,10}@example\.com')")
@@ -193,7 +192,12 @@ G.add("r10_cap_matches", "documents", lambda d: R.cap_matches(R.search(sets(d),
       f"SELECT doc_set, doc_id, s AS start FROM (SELECT *, row_number() OVER (PARTITION BY doc_set ORDER BY doc_id, s) AS n FROM ({occurrences(['example.com'])})) WHERE n <= 2")
 G.add("r11_excerpt", "documents", lambda d: R.search(sets(d), table(d.sparkSession, RULES[:2])).select("doc_id", "signal", "excerpt"),
       rf"SELECT doc_id, signal, trim(regexp_replace(substr(text, greatest(0, s - 60) + 1, s + length(signal) + 60 - greatest(0, s - 60)), '\s+', ' ', 'g')) AS excerpt FROM ({occurrences(['apache license', 'license', 'version'])})")
-G.add("r12_section_label", "documents", lambda d: R.search(sets(d), table(d.sparkSession, RULES[:2])).select("doc_id", "signal", "start", "section"))
+ALL_SIGNALS = sorted({x.strip().lower() for r in RULES for x in [*r[13], *r[14], *r[15]]})
+G.add("r6_signal_spans", "documents", lambda d: R.search(sets(d), table(d.sparkSession)).select("doc_id", "signal", "start", "end"), f"SELECT doc_id, signal, s AS start, CAST(s + length(signal) AS INTEGER) AS \"end\" FROM ({occurrences(ALL_SIGNALS)})")
+WORDS_IN = "list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '')"
+HEADING = f"length(x) <= 120 AND (x LIKE '%:' OR (regexp_matches(x, '\\p{{Lu}}') AND NOT regexp_matches(x, '\\p{{Ll}}') AND length(x) <= 80) OR (len({WORDS_IN}) <= 10 AND len(list_filter({WORDS_IN}, lambda w: regexp_matches(w, '^\\p{{Lu}}'))) >= greatest(1, len({WORDS_IN}) // 2)))"
+G.add("r12_section_label", "documents", lambda d: R.search(sets(d), table(d.sparkSession, RULES[:2])).select("doc_id", "signal", "start", "section"),
+      f"SELECT doc_id, signal, s AS start, left(list_filter(list_reverse(list_filter(list_transform(string_split(left(text, s), chr(10)), lambda x: trim(x)), lambda x: x <> '')[-8:]), lambda x: {HEADING})[1], 200) AS section FROM ({occurrences(['apache license', 'license', 'version'])})")
 
 
 def references(l: DataFrame) -> DataFrame:
@@ -229,4 +233,6 @@ G.add("r25_report_id", "documents", lambda d: R.report_id(sets(d), F.lit("packs-
       """SELECT doc_set, 'cmp_20240101T000000Z_' || left(sha256(string_agg(p, '|' ORDER BY k) || '|packs-1|20240101T000000Z'), 20) AS report_id FROM (
       SELECT doc_set, left(d, 3) AS k, sha256(string_agg(d || '*' || n, '|' ORDER BY d)) AS p FROM (SELECT source AS doc_set, sha256(text) AS d, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY 1, 2) GROUP BY 1""")
 G.add("r26_screening_limits", "documents", lambda d: R.within_limits(sets(d), table(d.sparkSession)).select("doc_set", "characters", "fits"), "SELECT source AS doc_set, CAST(sum(length(text)) AS BIGINT) AS characters, sum(length(text)) <= 25000000 AS fits FROM documents GROUP BY 1")
-G.add("r27_report_rows", "documents", lambda d: R.report_rows(results(d), overall(d)))
+G.add("r27_report_rows", "documents", lambda d: R.report_rows(results(d), overall(d)),
+      f"""SELECT doc_set, concat_ws(chr(10), 'Screening of ' || doc_set, 'Overall: ' || CASE WHEN risk_detected + warning + evidence_missing > 0 THEN 'changes_recommended' ELSE 'manual_review_needed' END, {" || ', ' || ".join(f"'{x}: ' || {x}" for x in R.STATUSES)}, checks) AS preview
+      FROM ({COUNTS_SQL}) JOIN (SELECT doc_set, string_agg(concat_ws(' - ', rule_id, status, title), chr(10) ORDER BY concat_ws(' - ', rule_id, status, title)) AS checks FROM ({RESULTS_SQL}) GROUP BY 1) USING (doc_set)""")

@@ -97,12 +97,16 @@ G.add("q14_cell_retention", "lineitem", kept_cells,
 WORDS4 = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: length(x) >= 4))"
 G.add("q15_source_anchor", "documents", lambda d: pairs(d).select("doc_id", Q.source_anchor(F.col("source"), F.concat(F.lit("zzzz "), F.when(F.col("doc_id") % 3 != 0, F.col("output")).otherwise(F.regexp_replace("output", r"[A-Za-z]{4}", "q")))).alias("anchored")),
       f"SELECT doc_id, len({WORDS4.format('text')}) < 8 OR list_has_any({WORDS4.format('text')}, {WORDS4.format('o')}) AS anchored FROM (SELECT doc_id, text, 'zzzz ' || CASE WHEN doc_id % 3 <> 0 THEN {CHANGED} ELSE regexp_replace({CHANGED}, '[A-Za-z][A-Za-z][A-Za-z][A-Za-z]', 'q', 'g') END AS o FROM documents)")
-G.add("q16_apply_text_model", "documents", lambda d: Q.apply_text_model(d, lambda t: t[: max(1, len(t) * 2 // 3)], lambda s, o: len(o) * 2 <= len(s) + 2).select("doc_id", F.length("output").alias("n"), "tries"))
+G.add("q16_apply_text_model", "documents", lambda d: Q.apply_text_model(d, lambda t: t[: max(1, len(t) * 2 // 3)], lambda s, o: len(o) * 2 <= len(s) + 2).select("doc_id", F.length("output").alias("n"), "tries"),
+      "SELECT doc_id, CAST(CASE WHEN a * 2 <= n + 2 THEN a WHEN b * 2 <= n + 2 THEN b END AS INTEGER) AS n, CASE WHEN a * 2 <= n + 2 THEN 1 ELSE 2 END AS tries FROM (SELECT *, least(a, greatest(1, a * 2 // 3)) AS b FROM (SELECT doc_id, length(text) AS n, least(length(text), greatest(1, length(text) * 2 // 3)) AS a FROM documents))")
 G.add("q17_latin_target_gate", "documents", lambda d: d.select("doc_id", Q.latin_target_ok(F.length(F.regexp_replace("text", r"[^\p{L}]", "")), Q.words_of(F.col("text")), (F.col("doc_id") % 10) / 10, F.lit(0.5)).alias("fine")),
       r"SELECT doc_id, NOT (length(regexp_replace(text, '[^\p{L}]', '', 'g')) >= 120 AND len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) >= 20 AND doc_id % 10 >= 8) AS fine FROM documents")
 G.add("q18_citation_coverage", "lineitem", lambda l: Q.citation_coverage(l.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("unit_id")), l.where("l_linenumber % 3 <> 0").select(F.col("l_orderkey").alias("doc_id"), F.when(F.col("l_linenumber") == 5, 99).otherwise(F.col("l_linenumber")).alias("unit_id"))),
       "SELECT doc_id, CAST(sum(m) AS BIGINT) AS missing, CAST(sum(i) AS BIGINT) AS invented FROM (SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS u, 1 AS m, 0 AS i FROM lineitem WHERE l_linenumber % 3 = 0 OR l_linenumber = 5 UNION ALL SELECT DISTINCT l_orderkey, 99, 0, 1 FROM lineitem WHERE l_linenumber = 5) GROUP BY 1")
-G.add("q19_missing_paragraphs", "documents", lambda d: Q.missing_paragraphs(pairs(d)).select("doc_id", "pos", F.sha2("paragraph", 256).alias("digest")))
+SQUEEZED = r"' ' || trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' '"
+G.add("q19_missing_paragraphs", "documents", lambda d: Q.missing_paragraphs(pairs(d)).select("doc_id", "pos", F.sha2("paragraph", 256).alias("digest")),
+      f"""SELECT doc_id, CAST(pos AS INTEGER) AS pos, sha256(p) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, w ORDER BY pos) AS n FROM (SELECT doc_id, o, p, pos, {SQUEEZED.format('p')} AS w FROM (
+      SELECT doc_id, o, unnest(l) AS p, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, {SQUEEZED.format(CHANGED)} AS o, regexp_split_to_array(text, '\\n+') AS l FROM documents))) WHERE trim(w) <> '' AND NOT contains(o, w)) WHERE n = 1""")
 
 
 # Classification

@@ -8,7 +8,7 @@ def test_phrases_far_into_a_text_count(spark):
     assert len(far) > 250_000
     rows = [(1, far + "tax invoice, amount due", ""), (2, "curriculum vitae, work experience " + far + "I am writing to apply", "")]
     got = classify.privacy_type(spark.createDataFrame(rows, "doc_id long, text string, filename string")).collect()
-    assert {r["doc_id"]: r["document_type"] for r in got} == {1: "invoice", 2: "general_document"}
+    assert {r["doc_id"]: r["document_type"] for r in got} == {1: "invoice", 2: "correspondence"}
 
 
 def test_queries_return_every_document(spark, tmp_path):

@@ -10,8 +10,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
-from docloom.llm.common import Scratch, components, pick, small_batches, table, with_key_value
+from docloom.llm.common import Scratch, components, kept_columns, map_frames, pick, table, with_key_value
 
 SHINGLE, SEED, NEAR = 3, 42, 2
 BLOCKS, BLOCK_BITS = 4, 16
@@ -42,17 +43,14 @@ def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(rows: DataFrame) -> DataFrame:
-    """Replace the column text of rows (_id, text) by fp, a signed 64-bit fingerprint."""
-    small_batches(rows.sparkSession)
+def fingerprints(rows: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """Replace the column text of rows by fp, a signed 64-bit fingerprint; the other columns stay."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fp = np.array([fingerprint(t) for t in b["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"_id": b["_id"], "fp": fp})
+            yield b.drop(columns="text").assign(fp=np.array([fingerprint(t, width) for t in b["text"]], np.uint64).view(np.int64))
 
-    kind = rows.schema["_id"].dataType.simpleString()
-    return rows.select("_id", "text").mapInPandas(run, f"_id {kind}, fp long")
+    return map_frames(rows, run, kept_columns(rows, "text") + "fp long")
 
 
 def _signed(x: int) -> int:
@@ -91,19 +89,23 @@ def links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     return small.unionByName(large)
 
 
+def rooted(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows (fp, root) for all fingerprints of rows (.., fp): the smallest fingerprint that links reach."""
+    unique = scratch.write(rows.select("fp").distinct(), "unique")
+    linked = components(links(unique, scratch), scratch)
+    return unique.join(linked, unique["fp"] == linked["node"], "left").select("fp", F.coalesce("component", "fp").alias("root"))
+
+
 def classes(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Add component_id, the smallest _id reachable by links, to rows (_id, fp).
 
     Equal fingerprints are collapsed first, so copies of a text make no pairs. Null ids take part;
     a component of null ids alone has a null component_id.
     """
-    unique = scratch.write(rows.groupBy("fp").agg(F.min("_id").alias("_least")), "unique")
-    linked = components(links(unique.select("fp"), scratch), scratch)
-    root = F.coalesce("component", "fp")
-    rooted = unique.join(linked, unique["fp"] == linked["node"], "left").select("fp", "_least", root.alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
-    by_fp = rooted.join(smallest, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp")
+    least = rows.groupBy("fp").agg(F.min("_id").alias("_least"))
+    roots = scratch.write(least.join(rooted(rows, scratch), "fp"), "roots")
+    smallest = roots.groupBy("root").agg(F.min("_least").alias("component_id"))
+    return rows.join(roots.join(smallest, "root").select("fp", "component_id"), "fp")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,25 +116,44 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(rows, scratch).select(F.col("_id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def fingerprint_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows (_id, component_id) of documents, as op6 has them."""
-    rows = scratch.write(fingerprints(pick(docs, _id="doc_id", text="text")), "fingerprints")
-    return classes(rows, scratch).select("_id", "component_id")
+def fingerprint_groups(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows (_id, _h, root) of rows (_id, _h, text): documents of equal root are linked, as in op6."""
+    found = scratch.write(fingerprints(rows), "fingerprints")
+    return found.join(rooted(found, scratch), "fp").select("_id", "_h", "root")
+
+
+def _hashable(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (MapType, VariantType))
 
 
-def keep_one(docs: DataFrame, classed: Callable[[DataFrame, Scratch], DataFrame] = fingerprint_classes) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id; of repeated rows one, with all their columns.
+def keep_one(docs: DataFrame, grouped: Callable[[DataFrame, Scratch], DataFrame] = fingerprint_groups) -> DataFrame:
+    """One document of each group, the one with the smallest doc_id, with all its columns.
 
-    Documents without an id stay as they are: no id tells them apart.
+    A document is told by its id and text: if an id repeats with different texts, each is judged by
+    its own group. Of equal ids in a group the smallest text hash stays; of rows alike in id and
+    text the one with the smallest hash of all columns. Null ids come last, so such a document
+    stays only where its group has no other.
     """
     scratch, names = Scratch(docs.sparkSession, "dedup"), docs.columns
-    rows = scratch.write(classed(docs, scratch), "classes")
-    gone = rows.where("_id <> component_id").select(F.col("_id").alias("_gone")).distinct()
     plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
-    key = f"_c{names.index('doc_id')}"
-    kept = plain.join(gone, F.col(key) == F.col("_gone"), "left_anti")
-    twice = scratch.write(rows.where("_id is not null").groupBy("_id").count().where("count > 1").select("_id"), "twice")
-    if not twice.isEmpty():
-        once = kept.join(twice, F.col(key) == F.col("_id"), "left_anti")
-        kept = once.unionByName(kept.join(twice, F.col(key) == F.col("_id"), "left_semi").dropDuplicates([key]))
-    return kept.toDF(*names)
+    key = [F.col(f"_c{names.index('doc_id')}").alias("_id"), F.xxhash64(F.col(f"_c{names.index('text')}")).alias("_h")]
+    rows = scratch.write(grouped(plain.select(*key, F.col(f"_c{names.index('text')}").alias("text")), scratch), "groups")
+    order = F.struct(F.col("_id").isNull().alias("last"), F.col("_id"), F.col("_h"))
+    first = rows.groupBy("root").agg(F.min(order).alias("first"))
+    told = rows.join(first, "root").select("_id", "_h", (order == F.col("first")).alias("stays"))
+    told = scratch.write(told.groupBy("_id", "_h").agg(F.bool_or("stays").alias("stays"), F.count("*").alias("rows")), "told")
+    keyed = plain.withColumns({"_id": key[0], "_h": key[1]})
+    same = lambda other: keyed["_id"].eqNullSafe(other["_id"]) & (keyed["_h"] == other["_h"])
+    gone, twice = told.where("not stays"), scratch.write(told.where("stays and rows > 1"), "twice")
+    columns = [F.col(c) for c in plain.columns]
+    if twice.isEmpty():
+        return keyed.join(gone, same(gone), "left_anti").select(*columns).toDF(*names)
+    once = keyed.join(told.where("not stays or rows > 1"), same(told), "left_anti").select(*columns)
+    again = keyed.join(twice, same(twice), "left_semi")
+    by = F.xxhash64(*[F.col(f.name) for f in plain.schema.fields if _hashable(f.dataType)])
+    again = again.groupBy("_id", "_h").agg(F.min_by(F.struct(*columns), by).alias("row")).select("row.*")
+    return once.unionByName(again).toDF(*names)

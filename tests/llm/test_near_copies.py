@@ -3,7 +3,8 @@
 import random
 
 import corpus_pipeline
-from docloom.llm import common, jaccard
+from docloom.llm import common, jaccard, simhash
+from pyspark.sql import functions as F
 
 from tests.llm.fixtures import odd_documents, write_documents
 
@@ -71,9 +72,49 @@ def test_odd_documents(spark, tmp_path):
     assert sorted(i for i in got if i is not None) == want and got.count(None) == 1
 
 
-def test_moved_shingles_lose_no_pair(spark, monkeypatch):
+def test_crowded_buckets_lose_no_pair(spark, monkeypatch):
     texts = corpus()[:250]
-    rows = spark.createDataFrame([(i, t) for i, t in texts], "doc_id long, text string")
+    rows = spark.createDataFrame([(i, t) for i, t in texts], "_id long, text string")
     monkeypatch.setattr(jaccard, "BUCKET_ROWS", 3)
-    got = jaccard.classes(rows, common.Scratch(spark, "t")).collect()
-    assert sorted({r["component_id"] for r in got}) == brute_kept(texts)
+    got = {}
+    for r in jaccard.groups(rows, common.Scratch(spark, "t")).collect():
+        got.setdefault(r["root"], []).append(r["_id"])
+    assert sorted(map(min, got.values())) == brute_kept(texts)
+
+
+def test_sketches_never_exceed_the_difference():
+    rng = random.Random(3)
+    for _ in range(200):
+        base = [f"w{rng.randrange(500)}" for _ in range(rng.randrange(1, 400))]
+        a, b = jaccard.shingles(" ".join(base)), jaccard.shingles(" ".join(edited(rng, base, rng.randrange(min(len(base), 9) + 1)) + base[: rng.randrange(60)]))
+        assert jaccard.apart(jaccard.sketch(a), jaccard.sketch(b)) <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_a_repeated_id_loses_no_other_text(spark, tmp_path):
+    a, b = "one two three four five six seven", "quite another text of its own that stays"
+    rows = [(1, a), (8, a), (8, b), (8, b), (None, a), (None, "without an id")]
+    folder = write_documents(spark, tmp_path, [(i, t, "en", "s", 1, 1, "", 1, "") for i, t in rows])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for stage in (dict(corpus_pipeline.STAGES)["near_dedup"], lambda spark, docs, folder: simhash.keep_one(docs)):
+        got = [(r["doc_id"], r["text"]) for r in stage(spark, docs, folder).collect()]
+        assert sorted(got, key=str) == [(1, a), (8, b), (None, "without an id")]
+
+
+def test_components_of_long_paths_take_few_rounds(spark):
+    scratch = common.Scratch(spark, "path")
+    edges = spark.range(1, 1000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = common.components(edges, scratch)
+    assert got.count() == 1000 and got.where("component <> 1").isEmpty()
+    assert scratch.n <= 25
+
+
+def test_components_against_brute_force(spark):
+    rng = random.Random(5)
+    pairs = [(rng.randrange(400) * 2**50, rng.randrange(400) * 2**50) for _ in range(350)]
+    least = {x: x for p in pairs for x in p}
+    for _ in least:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    got = common.components(spark.createDataFrame(pairs, "a long, b long"), common.Scratch(spark, "random"))
+    nodes = {x for a, b in pairs if a != b for x in (a, b)}
+    assert {r["node"]: r["component"] for r in got.collect()} == {x: least[x] for x in nodes}

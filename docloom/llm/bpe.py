@@ -24,7 +24,7 @@ PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\
 USUAL = re.compile(r" ?[^\W\d_]++|'(?:[sdmt]|ll|ve|re)| ?\d++| ?(?:[^\s\w]|_)++|\s+(?!\S)|\s++")
 ODD = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and not c.isalpha()) | frozenset("\x1c\x1d\x1e\x1f")
 #: Words and pairs that a worker remembers; beyond, it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Words up to this length are merged side by side.
 SIDE_BY_SIDE = 32
 UNSET = 1 << 30
@@ -246,23 +246,37 @@ def encode(rows: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return map_frames(rows.select("_id", "text"), run, kept_columns(rows.select("_id"), "text") + "ids binary")
 
 
+def _told(model: Bpe, ids: list[bytes]) -> dict[str, list]:
+    """What a document's ids and the text that they decode to come to."""
+    hexed = lambda b: hashlib.sha256(b).hexdigest()
+    return {"n_tokens": [len(i) // 4 for i in ids], "ids_sha256": [hexed(i) for i in ids], "decoded_sha256": [hexed(model.decode(i).encode()) for i in ids]}
+
+
+TOLD = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
 def digests(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Decode rows (_id, ids) and add n_tokens, ids_sha256 and decoded_sha256."""
     path = vocabulary or default_vocabulary()
-    hexed = lambda b: hashlib.sha256(b).hexdigest()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = load(path)
         for b in batches:
-            decoded = [hexed(model.decode(i).encode()) for i in b["ids"]]
-            yield pd.DataFrame({"_id": b["_id"], "n_tokens": [len(i) // 4 for i in b["ids"]], "ids_sha256": [hexed(i) for i in b["ids"]], "decoded_sha256": decoded})
+            yield b.drop(columns="ids").assign(**_told(load(path), [bytes(i) for i in b["ids"]]))
 
-    return map_frames(encoded, run, kept_columns(encoded, "ids") + "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_frames(encoded, run, kept_columns(encoded, "ids") + TOLD)
 
 
-def encode_documents(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256) of documents, encoded and decoded again."""
-    return digests(encode(pick(docs, _id="doc_id", text="text"))).withColumnRenamed("_id", "doc_id")
+def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256) of documents, encoded and decoded again by one encoder a worker."""
+    path = vocabulary or default_vocabulary()
+    rows = pick(docs, doc_id="doc_id", text="text")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load(path)
+        for b in batches:
+            yield b.drop(columns="text").assign(**_told(model, model.encode([t or "" for t in b["text"]])))
+
+    return map_frames(rows, run, kept_columns(rows, "text") + TOLD)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.frames import map_frames
 from docloom.operators import fixed
 
 #: Types of privacy documents in the order of their priority: name, strong phrases, supporting phrases. Callers may pass their own.
@@ -36,7 +37,7 @@ def squeezed(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "plain": [f" {squeeze(t or '')} " for t in b["text"]], "name": [f" {squeeze(n or '')} " for n in b["filename"]]})
 
-    return docs.select("doc_id", "text", "filename").mapInPandas(run, "doc_id long, plain string, name string")
+    return map_frames(docs.select("doc_id", "text", "filename"), run, "doc_id long, plain string, name string")
 
 
 def _hits(text: str, phrases: list[str]) -> Column:
@@ -102,10 +103,9 @@ def section_languages(docs: DataFrame, detector: Callable[[str], dict[str, float
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, n, k, v) for i, t in zip(b["doc_id"], b["text"]) for n, s in enumerate(re.split(r"\n+", t or "")) if s.strip() for k, v in detector(s).items()]
-            yield pd.DataFrame(rows, columns=["doc_id", "section", "language", "score"])
+            yield [(i, n, k, v) for i, t in zip(b["doc_id"], b["text"]) for n, s in enumerate(re.split(r"\n+", t or "")) if s.strip() for k, v in detector(s).items()]
 
-    scores = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, section int, language string, score double")
+    scores = map_frames(docs.select("doc_id", "text"), run, "doc_id long, section int, language string, score double")
     top = scores.groupBy("doc_id", "section").agg(F.sort_array(F.collect_list(F.struct("score", "language")), asc=False).alias("s"))
     best, second = F.get("s", F.lit(0)), F.get("s", F.lit(1))
     sure = F.when((best["score"] >= least) & (best["score"] - F.coalesce(second["score"], F.lit(0.0)) >= lead), best["language"])

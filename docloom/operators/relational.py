@@ -7,7 +7,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.operators.ordered import walk
+from docloom.operators.ordered import earlier, joined, split, walk, within
+
 
 def role_rank() -> Column:
     return F.when(F.col("role") == "owner", 0).when(F.col("role") == "admin", 1).otherwise(2)
@@ -77,15 +78,16 @@ def duplicate_content(files: DataFrame, order: str = "id") -> DataFrame:
 # Windows
 
 
-def verify_chain(events: DataFrame, hashed: Column) -> DataFrame:
+def verify_chain(events: DataFrame, hashed: Column, pieces: int | None = None) -> DataFrame:
     """Per organisation: events, invalid ones and the first invalid id of a hash chain.
 
     An event is valid if its stored previous hash is the hash of the event before it and its own
-    hash is that of its canonical string.
+    hash is that of its canonical string. A crowded organisation is checked in pieces.
     """
-    before = F.lag("event_hash").over(Window.partitionBy("organization_id").orderBy("id"))
-    bad = ~(F.col("previous_hash").eqNullSafe(before) & (F.col("event_hash") == hashed))
-    rows = events.withColumn("bad", bad)
+    key = ["organization_id"]
+    rows = earlier(split(events, key, "id", pieces), key, _last=(F.max_by(F.struct("event_hash"), "id"), F.last))
+    before = F.coalesce(F.lag(F.struct("event_hash")).over(within(key, "id")), "_last")["event_hash"]
+    rows = rows.withColumn("bad", ~(F.col("previous_hash").eqNullSafe(before) & (F.col("event_hash") == hashed)))
     return rows.groupBy("organization_id").agg(F.count("*").alias("total"), F.count_if("bad").alias("invalid"), F.min(F.when(F.col("bad"), F.col("id"))).alias("first_invalid"))
 
 
@@ -115,26 +117,44 @@ def first_per_key(rows: DataFrame, keys: list[str], order: str, taken: DataFrame
     return first if taken is None else first.join(taken, keys, "left_anti")
 
 
-def islands(rows: DataFrame, keys: list[str], order: str, value: str, name: str = "island") -> DataFrame:
-    """Number runs of equal neighbouring values within a key."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    change = (~F.col(value).eqNullSafe(F.lag(value).over(w))).cast("int")
-    marked = rows.withColumn("_change", F.when(F.row_number().over(w) == 1, 1).otherwise(change))
-    return marked.withColumn(name, F.sum("_change").over(w)).drop("_change")
-
+def islands(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str = "island", pieces: int | None = None) -> DataFrame:
+    """Number runs of equal neighbouring values within a key, from 1; a crowded key is numbered in pieces along the first of ``order``."""
+    place = F.struct(*order)
+    rows = earlier(split(rows, keys, order[0], pieces), keys, _last=(F.max_by(F.struct(F.col(value).alias("v")), place), F.last))
+    before = F.coalesce(F.lag(F.struct(F.col(value).alias("v"))).over(within(keys, *order)), "_last")
+    marked = rows.withColumn("_change", F.when(before.isNotNull() & F.col(value).eqNullSafe(before["v"]), 0).otherwise(1)).drop("_last")
+    marked = earlier(marked, keys, _changes=(F.sum("_change"), F.sum))
+    number = F.coalesce("_changes", F.lit(0)) + F.sum("_change").over(within(keys, *order))
+    return joined(marked.withColumn(name, number)).drop("_change", "_changes")
 
-def usage_in_window(events: DataFrame, key: str, seconds: str, width: int) -> DataFrame:
-    """Events of a key in the trailing window of each event, itself included."""
-    w = Window.partitionBy(key).orderBy(seconds).rangeBetween(-width + 1, 0)
-    return events.withColumn("in_window", F.count("*").over(w))
 
+def usage_in_window(events: DataFrame, key: str, seconds: str, width: int, pieces: int | None = None) -> DataFrame:
+    """Events of a key in the trailing window of each event, itself included; those without a time count each other.
 
-def sweep_merge(spans: DataFrame, key: str) -> DataFrame:
-    """Merge strictly overlapping spans (key, start, end); touching spans stay apart."""
-    w = Window.partitionBy(key).orderBy("start", F.desc("end"))
-    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.withColumn("_new", F.coalesce((F.col("start") >= before).cast("int"), F.lit(1)))
-    groups = marked.withColumn("_group", F.sum("_new").over(w))
+    What a window holds is the number of events up to its end less those up to its beginning. Both
+    are running counts of the times of a key and the beginnings of their windows, in one order, so
+    a window may be longer than a piece of a crowded key.
+    """
+    counted = events.groupBy(F.col(key).alias("_key"), F.col(seconds).alias("_at")).agg(F.count("*").alias("_n"))
+    timed = counted.where("_at is not null")
+    ends = timed.select("_key", "_at", F.col("_at").alias("_of"), "_n")
+    begins = timed.select("_key", (F.col("_at") - width).alias("_at"), F.col("_at").alias("_of"), F.lit(0).cast("long").alias("_n"))
+    marks = earlier(split(ends.unionByName(begins), ["_key"], "_at", pieces), ["_key"], _before=(F.sum("_n"), F.sum))
+    running = F.coalesce("_before", F.lit(0)) + F.sum("_n").over(within(["_key"], "_at"))
+    marks = marks.withColumn("_up_to", running)
+    held = marks.groupBy("_key", F.col("_of").alias("_at")).agg((F.max("_up_to") - F.min("_up_to")).alias("in_window"))
+    held = held.unionByName(counted.where("_at is null").select("_key", "_at", F.col("_n").alias("in_window")))
+    return events.join(held, F.col(key).eqNullSafe(F.col("_key")) & F.col(seconds).eqNullSafe(F.col("_at"))).drop("_key", "_at")
+
+
+def sweep_merge(spans: DataFrame, key: str, pieces: int | None = None) -> DataFrame:
+    """Merge strictly overlapping spans (key, start, end); touching spans stay apart. A crowded key is swept in pieces."""
+    w = within([key], "start", F.desc("end"))
+    rows = earlier(split(spans, [key], "start", pieces), [key], _reach=(F.max("end"), F.max))
+    before = F.greatest("_reach", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    marked = rows.withColumn("_new", F.coalesce((F.col("start") >= before).cast("int"), F.lit(1)))
+    marked = earlier(marked, [key], _groups=(F.sum("_new"), F.sum))
+    groups = marked.withColumn("_group", F.coalesce("_groups", F.lit(0)) + F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return groups.groupBy(key, "_group").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("_group")
 
 

@@ -11,6 +11,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docloom.frames import map_frames
+
 RULE = """rule_id string, version string, title string, regulatory_domain string, strategy string, search_mode string, case_sensitive boolean, excerpt_window int,
 max_matches int, min_count int, on_missing string, on_partial string, on_prohibited string, required array<string>, optional array<string>, prohibited array<string>, actions array<string>"""
 # Status words and their aliases, strategies, search modes, order of severity, limits.
@@ -179,9 +181,9 @@ def search(pages: DataFrame, rules: DataFrame, timeout: float = 0.2) -> DataFram
                         if not m[0].strip():
                             raise ValueError(f"signal {s!r} matches nothing")
                         rows.append((doc_set, doc, page, s, m.start(), m.end(), m[0].strip(), excerpt(text, m.start(), m.end(), window), section_label(text, m.start())))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in MATCH.split(", ")])
+            yield rows
 
-    return pages.select("doc_set", "doc_id", "page_number", "text").mapInPandas(run, MATCH)
+    return map_frames(pages.select("doc_set", "doc_id", "page_number", "text"), run, MATCH)
 
 
 def page_then_document(page_hits: DataFrame, document_hits: DataFrame) -> DataFrame:
@@ -222,10 +224,9 @@ def _many_hits(docs: DataFrame, signals: list[str]) -> DataFrame:
             found.add_word(s, s)
         found.make_automaton()
         for b in batches:
-            hits = {(doc_set, s) for doc_set, text in zip(b["doc_set"], b["low"]) for _, s in found.iter(text or "")}
-            yield pd.DataFrame(list(hits), columns=["doc_set", "signal"])
+            yield list({(doc_set, s) for doc_set, text in zip(b["doc_set"], b["low"]) for _, s in found.iter(text or "")})
 
-    return docs.select("doc_set", F.lower("text").alias("low")).mapInPandas(run, "doc_set string, signal string").distinct()
+    return map_frames(docs.select("doc_set", F.lower("text").alias("low")), run, "doc_set string, signal string").distinct()
 
 
 def _kind(name: str) -> Column:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import textwrap
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators.ordered import walk
+from docloom.operators.relational import islands
 
 PAYLOAD = (
     "struct<results:struct<channels:array<struct<alternatives:array<struct<transcript:string,words:array<struct<word:string,start:double,end:double,speaker:int>>>>>>,"
@@ -28,10 +29,12 @@ def explode_words(payloads: DataFrame) -> DataFrame:
 
 
 def speaker_blocks(words: DataFrame) -> DataFrame:
-    """Words on end of one speaker as blocks (media_id, block, speaker, text), in order of time."""
-    w = Window.partitionBy("media_id").orderBy("start_s", "end_s", "text")
-    change = (~F.col("speaker").eqNullSafe(F.lag("speaker").over(w))) | (F.row_number().over(w) == 1)
-    rows = words.withColumn("_c", change.cast("int")).withColumn("block", F.sum("_c").over(w))
+    """Words on end of one speaker as blocks (media_id, block, speaker, text), in order of time.
+
+    A long recording is numbered in pieces. A block is one text, so its words meet in one row: a
+    speaker who never stops makes a row as long as the speech.
+    """
+    rows = islands(words, ["media_id"], ["start_s", "end_s", "text"], "speaker", "block")
     item = F.sort_array(F.collect_list(F.struct("start_s", "end_s", "text")))
     return rows.groupBy("media_id", "block", "speaker").agg(F.array_join(F.transform(item, lambda x: x["text"]), " ").alias("text"))
 
@@ -84,7 +87,7 @@ def subtitle_cues(words: DataFrame) -> DataFrame:
     def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
         n, cue = state
         media, start, end, text, speaker = row
-        cue, closed = extended(cue, (text, start, end, None if speaker is None or speaker != speaker else int(speaker)))
+        cue, closed = extended(cue, (text, start, end, speaker))
         found = shown(closed)
         return (n + len(found), cue), [(media, n + 1, *c) for c in found]
 

@@ -92,7 +92,7 @@ G.add("n2_audit_chain_build", "audit_events", lambda e: R.build_chain(e).select(
 G.add("n2_built_chain_verifies", "audit_events", lambda e: R.verify_chain(R.build_chain(e), R.chained_hash()), "SELECT organization_id, count(*) AS total, 0 AS invalid, NULL::BIGINT AS first_invalid FROM audit_events GROUP BY 1")
 G.add("n3_first_per_key", "messages", lambda m: R.first_per_key(m, ["conversation_id", "sender_user_id", "client_message_id"], "id", m.where("id % 1000 >= 900").select("conversation_id", "sender_user_id", "client_message_id")).select("id", "client_message_id"),
       "SELECT min(id) AS id, client_message_id FROM messages m WHERE NOT EXISTS (SELECT 1 FROM messages t WHERE t.id % 1000 >= 900 AND t.conversation_id = m.conversation_id AND t.sender_user_id = m.sender_user_id AND t.client_message_id = m.client_message_id) GROUP BY conversation_id, sender_user_id, client_message_id")
-G.add("n4_running_islands", "messages", lambda m: R.islands(m, ["conversation_id"], "id", "message_type").groupBy("conversation_id", "island").agg(F.min("id").alias("first"), F.count("*").alias("n")).select("conversation_id", "first", "n"),
+G.add("n4_running_islands", "messages", lambda m: R.islands(m, ["conversation_id"], ["id"], "message_type").groupBy("conversation_id", "island").agg(F.min("id").alias("first"), F.count("*").alias("n")).select("conversation_id", "first", "n"),
       """SELECT conversation_id, min(id) AS first, count(*) AS n FROM (SELECT *, sum(c) OVER (PARTITION BY conversation_id ORDER BY id) AS island FROM (
       SELECT *, CASE WHEN message_type IS NOT DISTINCT FROM lag(message_type) OVER (PARTITION BY conversation_id ORDER BY id) THEN 0 ELSE 1 END AS c FROM messages)) GROUP BY conversation_id, island""")
 G.add("n5_window_usage_count", "outbox", lambda o: R.usage_in_window(o, "aggregate_id", "available_s", 86_400).select("id", "in_window"),

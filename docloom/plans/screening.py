@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import rules as R
+from docloom.frames import map_frames
 from docloom.plans.registry import Group
 from docloom.sources import text as T
 from docloom.sources.scratch import folder
@@ -134,12 +135,10 @@ def probes(e: DataFrame) -> DataFrame:
     shapes = ["{}+", "(?<={})x", "({}+)+", "{}|", r"({})\1", "(a|{})*", ".*.*{}"]
 
     def run(batches):
-        import pandas as pd
-
         for b in batches:
-            yield pd.DataFrame({"event_id": b["event_id"], "safe": [R.safe_regex(shapes[i % len(shapes)].format(t)) for i, t in zip(b["event_id"], b["event_type"])]})
+            yield [(i, R.safe_regex(shapes[i % len(shapes)].format(t))) for i, t in zip(b["event_id"], b["event_type"])]
 
-    return e.select("event_id", "event_type").mapInPandas(run, "event_id long, safe boolean")
+    return map_frames(e.select("event_id", "event_type"), run, "event_id long, safe boolean")
 
 
 G.add("r2_safe_regex_check", "events", probes, "SELECT event_id, event_id % 7 = 0 AS safe FROM events")

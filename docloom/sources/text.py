@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.frames import map_frames
+
 
 def read_text_corpus(spark: SparkSession, path: str, drop_mark: bool = False) -> DataFrame:
     """Files as rows (path, text, checksum, words); a file that isn't UTF-8 fails the read."""
@@ -39,7 +41,7 @@ def write_named(files: DataFrame, root: str) -> DataFrame:
                     out.write(content.encode())
             yield pd.DataFrame({"path": b["path"], "bytes": [len(c.encode()) for c in b["content"]]})
 
-    return files.select("path", "content").mapInPandas(run, "path string, bytes long")
+    return map_frames(files.select("path", "content"), run, "path string, bytes long")
 
 
 class _Visible(HTMLParser):
@@ -84,7 +86,7 @@ def html_visible_text(pages: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"page_id": b["page_id"], "text": [visible_text(h) for h in b["html"]]})
 
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, text string")
+    return map_frames(pages.select("page_id", "html"), run, "page_id long, text string")
 
 
 def tokens_to_text(tokens: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.billing import backoff_seconds
+from docloom.operators.ordered import earlier, joined, split, within
 
 
 def idempotent(events: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -19,10 +20,12 @@ def idempotent_stream(events: DataFrame, keys: list[str], time: str, late: str =
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def reject_stale(events: DataFrame, key: str, arrival: str, time: str) -> DataFrame:
-    """Events that aren't older than one of their key that arrived before."""
-    newest = F.max(time).over(Window.partitionBy(key).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1))
-    return events.withColumn("_m", newest).where(F.col("_m").isNull() | (F.col(time) >= F.col("_m"))).drop("_m")
+def reject_stale(events: DataFrame, key: str, arrival: str, time: str, pieces: int | None = None) -> DataFrame:
+    """Batch: events that aren't older than one of their key that arrived before; a crowded key is read in pieces."""
+    rows = earlier(split(events, [key], arrival, pieces), [key], _before=(F.max(time), F.max))
+    newest = F.greatest("_before", F.max(time).over(within([key], arrival).rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("_newest", newest).where(F.col("_newest").isNull() | (F.col(time) >= F.col("_newest")))
+    return joined(rows).drop("_newest", "_before")
 
 
 def read_marks(events: DataFrame, keys: list[str], mark: str) -> DataFrame:

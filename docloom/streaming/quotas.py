@@ -97,11 +97,14 @@ def _walk(key: str, rows: pd.DataFrame, held: list, step) -> tuple[pd.DataFrame,
 
 
 def admit(events: DataFrame, step) -> DataFrame:
-    """Batch: rows (key, event_id, ts, cost) with their admission; a task holds what can still count of one key."""
+    """Batch: rows (key, event_id, ts, cost) with their admission; a task holds what can still count of one key.
+
+    A null time counts as 0 and a null cost as none; a null key is a key, a null id stays null and comes first.
+    """
 
     def one(held: list, row: tuple) -> tuple[list, list[tuple]]:
         key, ts, event_id, cost = row
-        held, ok, retry = step(held, (int(event_id), int(ts), int(cost)))
+        held, ok, retry = step(held, (event_id, ts or 0, cost or 0))
         return held, [(key, event_id, ts, ok, retry)]
 
     return walk(events.select("key", "ts", "event_id", "cost"), ["key"], ["ts", "event_id"], list, one, ADMITTED)

@@ -4,19 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+
+from docloom.frames import map_frames, small_batches
+
+__all__ = ["Scratch", "components", "kept_columns", "map_frames", "pick", "running", "shared_folder", "small_batches", "table", "with_key_value", "word_count"]
 
 #: A word is a run of anything but blank and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of one Arrow batch: texts are long, so few rows make a batch.
-BATCH_ROWS = 512
 SALTS = 64
 
 
@@ -31,29 +28,6 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return plain.select(*[F.col(f"_c{names.index(old)}").alias(new) for new, old in columns.items()])
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of Python workers: an Arrow batch holds at most BATCH_ROWS texts."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
-#: Integers and truth values that keep their nulls in pandas; by default a null turns a column of ids into floats.
-NULLABLE = {pa.int8(): pd.Int8Dtype(), pa.int16(): pd.Int16Dtype(), pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype(), pa.bool_(): pd.BooleanDtype()}
-
-
-def map_frames(rows: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
-    """``mapInPandas`` whose integer columns stay integers beside nulls, whatever their size; batches are small and empty frames are left out."""
-    small_batches(rows.sparkSession)
-    made = to_arrow_schema(StructType.fromDDL(schema))
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in run(b.to_pandas(types_mapper=NULLABLE.get) for b in batches):
-            if len(out):
-                yield from pa.Table.from_pandas(out, schema=made, preserve_index=False).combine_chunks().to_batches()
-
-    return rows.mapInArrow(over, schema)
-
-
 def kept_columns(rows: DataFrame, *without: str) -> str:
     """The schema of rows without some columns, to be continued."""
     return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields if f.name not in without)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bpe, brown, flac, language, mixing, secret_scan, simhash, topk, toxicity, warc
+from docloom.llm import bpe, brown, flac, infill, language, mixing, packing, repair, secret_scan, simhash, topk, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixing.query,
         "op9_brown": brown.query,
         "op10_topk": topk.query,
+        "op11_repair": repair.query,
+        "op12_infill": infill.query,
+        "op13_packing": packing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.ORACLE, "op10_topk": topk.ORACLE}
+    return {"op1_warc": warc.ORACLE, "op10_topk": topk.ORACLE, "op12_infill": infill.ORACLE}

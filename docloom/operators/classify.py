@@ -50,22 +50,12 @@ def confidence(top: Column, second: Column, signals: Column) -> Column:
     return F.when(top <= 0, 0.2).otherwise(F.least(F.lit(0.99), 0.48 + 0.30 * F.least(F.lit(1.0), top / 20) + 0.17 * margin + 0.05 * F.least(F.lit(1.0), signals / 5)))
 
 
-def document_types(lines: str) -> list[tuple[str, list[str], list[str]]]:
-    """Types (name, strong phrases, supporting phrases) of lines ``name: a, b | c, d``."""
-    out = []
-    for line in lines.strip().splitlines():
-        name, _, phrases = line.partition(":")
-        strong, _, support = phrases.partition("|")
-        out.append((name.strip(), *[[p.strip() for p in part.split(",") if p.strip()] for part in (strong, support)]))
-    return out
-
-
 def privacy_type(docs: DataFrame, types: list[tuple[str, list[str], list[str]]] | None = None) -> DataFrame:
     """Type and confidence of rows (doc_id, text, filename): phrases score, strong ones are needed, and a close second is a draw.
 
     A type's file name phrases are its own name and its strong phrases. Of equal scores and signals the earlier type wins.
     """
-    types = types or document_types(PRIVACY_TYPES)
+    types = types or PRIVACY_TYPES
     scored = []
     for rank, (name, strong, support) in enumerate(types):
         s, p, f = _hits("plain", strong), _hits("plain", support), _hits("name", [name.replace("_", " "), *strong])

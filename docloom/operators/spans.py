@@ -102,16 +102,16 @@ def terms_not_found(terms: DataFrame, spans: DataFrame) -> DataFrame:
     return terms.withColumn("_key", key(F.col("term"))).join(seen, "_key", "left_anti").select("term")
 
 
-def external_owners(types: dict[str, str] = fixed.EXTERNAL_TYPES) -> dict[str, str]:
+def external_owners(types: dict[str, list[str]] = fixed.EXTERNAL_TYPES) -> dict[str, str]:
     """The label that owns each type of an outside detector; a type with two owners is an error."""
-    pairs = [(name, label) for label, names in types.items() for name in names.split()]
+    pairs = [(name, label) for label, names in types.items() for name in names]
     owners = dict(pairs)
     if len(owners) < len(pairs):
         raise ValueError("an external type has several owners")
     return owners
 
 
-def canonical_labels(findings: DataFrame, selected: list[str], types: dict[str, str] = fixed.EXTERNAL_TYPES) -> DataFrame:
+def canonical_labels(findings: DataFrame, selected: list[str], types: dict[str, list[str]] = fixed.EXTERNAL_TYPES) -> DataFrame:
     """Findings of an outside detector with the one label that owns their type; unknown and unselected owners drop them."""
     # a row per type of a fixed table: far below any broadcast limit
     owners = findings.sparkSession.createDataFrame(list(external_owners(types).items()), "_type string, _owner string")

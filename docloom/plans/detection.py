@@ -79,8 +79,8 @@ def name_values(c: DataFrame) -> DataFrame:
 
 NAMES_SQL = "SELECT c_custkey AS id, 'name' AS label, [c_name, upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)), 'Bank ' || c_mktsegment, left(c_name, 1), upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) || ' O''Neil-' || left(c_name, 8), 'pending', 'Ann XXX' || left(c_name, 3)][c_custkey % 7 + 1] AS value FROM customer"
 G.add("t15_name_like", "customer", lambda c: D.told_apart(name_values(c), lambda label, v: D.name_like(v)),
-      f"""SELECT *, regexp_full_match(value, '[A-Za-z][A-Za-z''.-]*( [A-Za-z][A-Za-z''.-]*)*') AND length(regexp_replace(value, '[^A-Za-z]', '', 'g')) >= 2 AND NOT regexp_matches(value, 'XXX') AND lower(regexp_replace(value, '[^A-Za-z0-9]', '', 'g')) NOT IN ('{"', '".join(fixed.PLACEHOLDERS.split())}')
-      AND NOT list_has_any(list_transform(string_split(lower(value), ' '), lambda w: trim(w, '.''-')), ['{"', '".join(fixed.NOT_NAMES.split())}']) AS fits FROM ({NAMES_SQL})""")
+      f"""SELECT *, regexp_full_match(value, '[A-Za-z][A-Za-z''.-]*( [A-Za-z][A-Za-z''.-]*)*') AND length(regexp_replace(value, '[^A-Za-z]', '', 'g')) >= 2 AND NOT regexp_matches(value, 'XXX') AND lower(regexp_replace(value, '[^A-Za-z0-9]', '', 'g')) NOT IN ('{"', '".join(fixed.PLACEHOLDERS)}')
+      AND NOT list_has_any(list_transform(string_split(lower(value), ' '), lambda w: trim(w, '.''-')), ['{"', '".join(fixed.NOT_NAMES)}']) AS fits FROM ({NAMES_SQL})""")
 KINDS = ["phone_number", "account_number", "national_id", "tax_id", "passport_number", "card_number"]
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators import extract as X
+from docloom.operators import layout as L
 from docloom.plans.registry import Group
 
 G = Group()
@@ -45,12 +46,12 @@ G.add("x5_requested_across_lines", "record_text", lambda d: X.requested(d, ["Del
 
 def delimiters(d: DataFrame) -> DataFrame:
     names = {"\t": "tab", "|": "pipe", ";": "semicolon", ",": "comma", None: "none"}
-    found = X.per_document(d, lambda ls: ((n, names[X.delimiter_of(line)]) for n, line in enumerate(ls, 1)), "line_number int, delimiter string")
+    found = X.per_document(d, lambda ls: ((n, names[line.mark]) for line in L.lines_of(ls) for n in [line.number]), "line_number int, delimiter string")
     return found.groupBy("delimiter").agg(F.count("*").alias("lines"))
 
 
 G.add("x6_detect_delimiter", "record_text", delimiters, f"SELECT CASE WHEN contains(line, chr(9)) THEN 'tab' ELSE 'none' END AS delimiter, count(*) AS lines FROM ({LINES}) GROUP BY 1")
-G.add("x7_tabular_groups", "documents", lambda d: X.per_document(d, lambda ls: ((g[0][0], len(g)) for g in X.table_groups(ls)), "first_line int, n int"))
+G.add("x7_tabular_groups", "documents", lambda d: X.per_document(d, lambda ls: ((run[0].number, len(run)) for run in L.runs(L.lines_of(ls))), "first_line int, n int"))
 G.add("x8_extract_tables", "record_text", lambda d: X.tables(d).select("doc_id", "table_index", "row_index", text().alias("record")),
       f"SELECT doc_id, 1 AS table_index, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_number) AS INTEGER) AS row_index, 'Amount=' || split_part(line, chr(9), 3) || ';Item=' || split_part(line, chr(9), 1) || ';Quantity=' || split_part(line, chr(9), 2) AS record FROM ({LINES}) WHERE contains(line, chr(9)) AND line NOT LIKE 'Item%'")
 G.add("x9_class_fields", "record_text", lambda d: X.class_fields(lines(d), "invoice").select("doc_id", "name", "value"),

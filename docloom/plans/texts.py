@@ -123,7 +123,7 @@ def _phrases(text: str, phrases: list[str]) -> str:
 def privacy_sql() -> str:
     """SQL: the same scores over the same table of phrases, on texts whose letters fold alike in both engines."""
     found = []
-    for rank, (name, strong, support) in enumerate(C.document_types(C.PRIVACY_TYPES)):
+    for rank, (name, strong, support) in enumerate(C.PRIVACY_TYPES):
         s, p, f = _phrases("plain", strong), _phrases("plain", support), _phrases("name", [name.replace("_", " "), *strong])
         open_ = "s > 0 OR p >= 2" if name == "correspondence" else "s > 0"
         if name == "academic_certificate":

@@ -52,7 +52,7 @@ OPERATORS = {
 def signal(spark):
     row = spark.createDataFrame([("r", ["clerk"])], "rule_id string, required array<string>")
     none = F.array().cast("array<string>")
-    return row.select("rule_id", F.lit("substring").alias("search_mode"), F.lit(False).alias("case_sensitive"), F.lit(20).alias("excerpt_window"), F.lit(5).alias("max_matches"), "required", none.alias("optional"), none.alias("prohibited"), *[F.lit(None).cast("string").alias(c) for c in ("on_missing", "on_partial", "on_prohibited")])
+    return row.select("rule_id", F.lit("substring").alias("search_mode"), F.lit(False).alias("case_sensitive"), F.lit(20).alias("excerpt_window"), F.lit(5).alias("max_matches"), "required", none.alias("optional"), none.alias("prohibited"), *[F.lit(None).cast("string").alias(c) for c in ("on_missing", "on_partial", "on_prohibited")], F.lit(1).alias("min_count"))
 
 
 @pytest.mark.parametrize("name", sorted(OPERATORS))

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from docloom.operators import classify, detect, extract, quality, rules, spans, words
+from docloom.operators import classify, detect, extract, layout, quality, rules, spans, words
 from docloom.sources import text as source
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -127,10 +127,10 @@ def test_fields_tables_records(spark):
     pairs = {r["name"] for r in extract.key_values(lines).collect()}
     assert pairs == {"Invoice No", "Date", "Invoice date", "Total", "site https"} or pairs == {"Invoice No", "Date", "Invoice date", "Total"}
     assert [r["values"] for r in extract.tables(docs).orderBy("row_index").collect()] == [{"column_1": "a", "column_2": "b"}, {"column_1": "c", "column_2": "d"}]
-    assert extract.unique_columns(["Name", "name", ""]) == ["Name", "name_2", "column_3"]
-    assert extract.repeated_records("Name: A\nRole: x\nName: B\n\nName: C".split("\n")) == [{"Name": "A", "Role": "x"}, {"Name": "B"}, {"Name": "C"}]
-    assert extract.repeated_records(["Name: A"]) == []
-    assert [extract.delimiter_of(x) for x in ("a\tb", "a | b", "k: a, b", "1,234", "a;b", "plain")] == ["\t", "|", None, None, ";", None]
+    assert layout.distinct_names(["Name", "name", "column_3"]) == ["Name", "name_2", "column_3"]
+    assert layout.repeated_records(layout.lines_of("Name: A\nRole: x\nName: B\n\nName: C".split("\n"))) == [{"Name": "A", "Role": "x"}, {"Name": "B"}, {"Name": "C"}]
+    assert layout.repeated_records(layout.lines_of(["Name: A"])) == []
+    assert [layout.line_of(1, x).mark for x in ("a\tb", "a | b", "k: a, b", "1,234", "a;b", "plain")] == ["\t", "|", None, None, ";", None]
 
 
 def test_rule_searches(spark):
@@ -188,7 +188,7 @@ def test_privacy_types(spark):
     rows = [(1, "This AGREEMENT, the parties agree; governing law", None), (2, "Carte d’identité, date of birth, surname", None), (3, "hello", "invoice.pdf")]
     got = {r["doc_id"]: r["document_type"] for r in classify.privacy_type(spark.createDataFrame(rows, "doc_id long, text string, filename string")).collect()}
     assert got == {1: "contract", 2: "id_document", 3: "general_document"}
-    types = classify.document_types(classify.PRIVACY_TYPES)
+    types = classify.PRIVACY_TYPES
     assert len(types) == len({t[0] for t in types}) == 30 and all(t[1] and t[2] for t in types)
     rows = [(i, ". ".join(t[1][:3] + t[2][:3]), None) for i, t in enumerate(types)]
     rows += [(100, "This is to certify that she, bachelor of arts, ... the Registrar", None), (101, "plain gizmo text", None)]
@@ -196,7 +196,7 @@ def test_privacy_types(spark):
     got = {r["doc_id"]: r["document_type"] for r in classify.privacy_type(made).collect()}
     assert [types[i][0] for i in range(30) if got[i] not in (types[i][0], "general_document")] == [] and sum(v == "general_document" for v in got.values()) <= 6
     assert got[100] == "academic_certificate" and got[101] == "general_document"
-    own = classify.privacy_type(made, classify.document_types("toy: gizmo | plain"))
+    own = classify.privacy_type(made, [("toy", ["gizmo"], ["plain"])])
     assert {r["doc_id"]: r["document_type"] for r in own.collect()}[101] == "toy"
     langs = classify.section_languages(spark.createDataFrame([(1, "a\nb")], "doc_id long, text string"), lambda s: {"en": 0.9, "fr": 0.1} if s == "a" else {"de": 0.5, "fr": 0.5})
     assert langs.select(F.array_join("languages", ",").alias("x")).first()["x"] == "en"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,16 +19,33 @@ def plan_rank() -> Column:
     return F.when(F.col("plan") == "enterprise", 3).when(F.col("plan") == "business", 2).otherwise(1)
 
 
-def merge_upsert(old: DataFrame, new: DataFrame, key: str, rules: dict[str, str]) -> DataFrame:
-    """Upsert rows by key: per column ``overwrite``, ``keep`` or ``greatest`` where both have a row."""
-    o, n = old.alias("o"), new.alias("n")
-    both = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full")
+@dataclass(frozen=True)
+class Reset:
+    """A rule of a column: ``to`` where a condition on the old row ``o`` and the new one ``n`` holds, else what was there.
+
+    A row that is new gets its own value, and a row without a new one keeps its.
+    """
+
+    when: str
+    to: object = None
+
+
+Rule = str | Reset
+
+
+def merge_upsert(old: DataFrame, new: DataFrame, key: str, rules: dict[str, Rule]) -> DataFrame:
+    """Upsert rows by key: per column ``overwrite``, ``keep``, ``greatest`` or a ``Reset`` where both have a row. A null key is a key."""
+    o, n = old.withColumn("_old", F.lit(True)).alias("o"), new.withColumn("_new", F.lit(True)).alias("n")
+    both = o.join(n, F.col(f"o.{key}").eqNullSafe(F.col(f"n.{key}")), "full")
+    met = F.col("o._old").isNotNull() & F.col("n._new").isNotNull()
 
-    def merged(c: str, rule: str) -> Column:
+    def merged(c: str, rule: Rule) -> Column:
         a, b = F.col(f"o.{c}"), F.col(f"n.{c}")
+        if isinstance(rule, Reset):
+            return F.when(met & F.expr(rule.when), F.lit(rule.to)).when(F.col("o._old").isNotNull(), a).otherwise(b).alias(c)
         return {"overwrite": F.coalesce(b, a), "keep": F.coalesce(a, b), "greatest": F.greatest(a, b)}[rule].alias(c)
 
-    return both.select(F.coalesce(f"o.{key}", f"n.{key}").alias(key), *[merged(c, r) for c, r in rules.items()])
+    return both.select(F.when(F.col("n._new").isNotNull(), F.col(f"n.{key}")).otherwise(F.col(f"o.{key}")).alias(key), *[merged(c, r) for c, r in rules.items()])
 
 
 def expand_ranges(plans: DataFrame, first: str, last: str, most: str) -> DataFrame:

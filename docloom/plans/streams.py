@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docloom.functions import udf
 from docloom.operators import extract
 from docloom.plans.registry import Group
+from docloom.streaming import devices as D
 from docloom.streaming import events as E
 from docloom.streaming import quotas as K
 
@@ -24,7 +25,7 @@ def keyed(e: DataFrame) -> DataFrame:
 G.add("k1_sliding_quota", "events", lambda e: K.admit(keyed(e), K.sliding_quota(3, 2 * 86_400)))
 G.add("k2_multi_bucket_quota", "events", lambda e: K.admit(keyed(e), K.multi_bucket_quota({"day": (6, 86_400), "week": (20, 7 * 86_400)})))
 G.add("k3_lease_limit", "events", lambda e: K.admit(keyed(e).withColumn("cost", F.when(F.col("cost") == 3, -1).otherwise(1)), K.lease_limit(2, 5 * 86_400)))
-G.add("k4_device_binding", "events", lambda e: K.admit(keyed(e).withColumn("cost", F.col("event_id") % 5), K.device_binding(3, 10 * 86_400)))
+G.add("k4_device_binding", "events", lambda e: D.bind(keyed(e).withColumn("device", F.col("event_id") * 7 % 61), 3, 10 * 86_400)[0])
 G.add("k5_replay_fresh", "events", lambda e: E.replay_fresh(keyed(e), "ts", F.lit(NOW), 5 * 86_400).where(F.col("ts") <= NOW).select("event_id"), f"SELECT event_id FROM events WHERE floor(epoch(ts)) > {NOW} - 5 * 86400 AND floor(epoch(ts)) <= {NOW}")
 G.add("k6_connection_counts", "events", lambda e: K.admit(keyed(e), K.connection_counts(3 * 86_400)))
 

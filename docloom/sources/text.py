@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.frames import map_frames
+from docloom.sources.files import arrow_uri, opened
 
 
 def read_text_corpus(spark: SparkSession, path: str, drop_mark: bool = False) -> DataFrame:
@@ -30,10 +31,10 @@ def write_text_corpus(rows: DataFrame, path: str, key: str, text: str) -> None:
 def write_named(files: DataFrame, root: str) -> DataFrame:
     """Write rows (path, content) to files under a root and list them (path, bytes); a file is replaced whole if a task runs again."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
+    arrow_uri(root)
 
-        system, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root.removeprefix('file:')}")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = opened(root)
         for b in batches:
             for path, content in zip(b["path"], b["content"]):
                 system.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)

@@ -1,133 +1,110 @@
-"""Sliding quotas, leases and devices: admission of events by keyed state, in batch and in streams.
+"""Sliding quotas, leases and connections: admission of events by keyed state, in batch and in streams.
 
 What is admitted depends on what was rejected before, so a key's events are taken in order: by
-time, then id. A stream keeps only what can still count.
+time, then id. Both forms keep only what can still count, as pairs of a time and an amount or a name.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docloom.operators.ordered import walk
+from docloom.streaming import state
+from docloom.streaming.state import ADMITTED, Held, Step
 
-ADMITTED = "key string, event_id long, ts long, admitted boolean, retry_s long"
 
+@dataclass(frozen=True)
+class Quota:
+    """A step from what is held and an event (id, time, cost) to (held, admitted, seconds to wait); how long an entry counts past its time; whether entries have names."""
 
-def sliding_quota(limit: int, window: int) -> Callable[[list, tuple], tuple[list, bool, int]]:
+    step: Step
+    keep: int
+    named: bool = False
+
+
+def sliding_quota(limit: int, window: int) -> Quota:
     """At most ``limit`` admitted events in a window; a rejected one is told when the oldest leaves it."""
 
-    def step(held: list, event: tuple) -> tuple[list, bool, int]:
+    def step(held: Held, event: tuple) -> tuple[Held, bool, int]:
         ts = event[1]
-        held = [t for t in held if t > ts - window]
+        held = [x for x in held if x[0] > ts - window]
         if len(held) < limit:
-            return [*held, ts], True, 0
-        return held, False, max(1, held[0] + window - ts)
+            return [*held, (ts, 1)], True, 0
+        return held, False, max(1, held[0][0] + window - ts)
 
-    return step
+    return Quota(step, window)
 
 
-def multi_bucket_quota(buckets: dict[str, tuple[int, int]]) -> Callable[[list, tuple], tuple[list, bool, int]]:
-    """Several buckets (limit, window) with the event's cost: all admit and are charged, or none is."""
+def multi_bucket_quota(buckets: dict[str, tuple[int, int]]) -> Quota:
+    """Several buckets (limit, window) with the event's cost: all admit and are charged, or none is; a rejected one waits for enough of the first full bucket to leave."""
+    longest = max(w for _, w in buckets.values())
 
-    def step(held: list, event: tuple) -> tuple[list, bool, int]:
+    def step(held: Held, event: tuple) -> tuple[Held, bool, int]:
         ts, cost = event[1], event[2]
-        longest = max(w for _, w in buckets.values())
         held = [x for x in held if x[0] > ts - longest]
         for limit, window in buckets.values():
             inside = [x for x in held if x[0] > ts - window]
-            if sum(x[1] for x in inside) + cost > limit:
-                return held, False, max(1, (inside[0][0] if inside else ts) + window - ts)
+            over = sum(x[1] for x in inside) + cost - limit
+            if over > 0:
+                for at, amount in inside:
+                    over -= amount
+                    if over <= 0:
+                        return held, False, max(1, at + window - ts)
+                return held, False, 1
         return [*held, (ts, cost)], True, 0
 
-    return step
+    return Quota(step, longest)
 
 
-def lease_limit(most: int, ttl: int) -> Callable[[list, tuple], tuple[list, bool, int]]:
+def lease_limit(most: int, ttl: int) -> Quota:
     """At most so many live leases; a release (cost below zero) frees the oldest."""
 
-    def step(held: list, event: tuple) -> tuple[list, bool, int]:
-        ts, cost = event[1], event[2]
-        held = [t for t in held if t > ts]
+    def step(held: Held, event: tuple) -> tuple[Held, bool, int]:
+        number, ts, cost = event
+        held = [x for x in held if x[0] > ts]
         if cost < 0:
             return held[1:], True, 0
         if len(held) < most:
-            return sorted([*held, ts + ttl]), True, 0
-        return held, False, max(1, held[0] - ts)
-
-    return step
-
+            return sorted([*held, (ts + ttl, number)]), True, 0
+        return held, False, max(1, held[0][0] - ts)
 
-def device_binding(most: int, ttl: int) -> Callable[[list, tuple], tuple[list, bool, int]]:
-    """The first devices (cost) of a user stay bound while they are used; others are refused."""
+    return Quota(step, 0, named=True)
 
-    def step(held: list, event: tuple) -> tuple[list, bool, int]:
-        ts, device = event[1], event[2]
-        live = [x for x in held if x[0] > ts]
-        others = [x for x in live if x[1] != device]
-        if len(others) == len(live) and len(live) >= most:
-            return live, False, max(1, min(x[0] for x in live) - ts)
-        return [*others, (ts + ttl, device)], True, 0
 
-    return step
+def connection_counts(ttl: int) -> Quota:
+    """Live connections (cost, closed if below zero) of a user; the number comes in place of the time to retry."""
 
-
-def connection_counts(ttl: int) -> Callable[[list, tuple], tuple[list, bool, int]]:
-    """Live connections (cost) of a user; the number comes in place of the time to retry."""
-
-    def step(held: list, event: tuple) -> tuple[list, bool, int]:
+    def step(held: Held, event: tuple) -> tuple[Held, bool, int]:
         ts, connection = event[1], event[2]
-        live = [x for x in held if x[0] > ts and x[1] != connection]
-        live = live if connection < 0 else [*live, (ts + ttl, connection)]
+        live = [x for x in held if x[0] > ts and x[1] != abs(connection)]
+        live = live if connection < 0 else sorted([*live, (ts + ttl, connection)])
         return live, True, len(live)
 
-    return step
-
+    return Quota(step, 0, named=True)
 
-def _walk(key: str, rows: pd.DataFrame, held: list, step) -> tuple[pd.DataFrame, list]:
-    out = []
-    for event in rows.sort_values(["ts", "event_id"])[["event_id", "ts", "cost"]].itertuples(index=False, name=None):
-        held, ok, retry = step(held, tuple(map(int, event)))
-        out.append((key, event[0], event[1], ok, retry))
-    return pd.DataFrame(out, columns=["key", "event_id", "ts", "admitted", "retry_s"]), held
 
-
-def admit(events: DataFrame, step) -> DataFrame:
+def admit(events: DataFrame, quota: Quota) -> DataFrame:
     """Batch: rows (key, event_id, ts, cost) with their admission; a task holds what can still count of one key.
 
     A null time counts as 0 and a null cost as none; a null key is a key, a null id stays null and comes first.
     """
 
-    def one(held: list, row: tuple) -> tuple[list, list[tuple]]:
+    def one(held: Held, row: tuple) -> tuple[Held, list[tuple]]:
         key, ts, event_id, cost = row
-        held, ok, retry = step(held, (event_id, ts or 0, cost or 0))
+        held, ok, retry = quota.step(held, (event_id, ts or 0, cost or 0))
         return held, [(key, event_id, ts, ok, retry)]
 
     return walk(events.select("key", "ts", "event_id", "cost"), ["key"], ["ts", "event_id"], list, one, ADMITTED)
 
 
-def admit_stream(events: DataFrame, step, idle_ms: int | None = None) -> DataFrame:
-    """Stream: the same, its state kept per key from batch to batch; a key that is idle for ``idle_ms`` is forgotten.
+def admit_stream(events: DataFrame, quota: Quota, late: str = "1 hour") -> DataFrame:
+    """Stream: the same, with what is held as a list, or as a map by name, per key.
 
-    A service sets ``idle_ms`` to its longest window, which bounds the keys that are held. A stream
-    with it never ends by itself, as it waits for keys to become idle.
+    Events of a micro-batch are taken in order, micro-batches as they come. When the watermark,
+    ``late`` behind the newest event, passes all that a key holds, its state is gone; an event that
+    comes when the watermark has passed it is dropped.
     """
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches))
-        held = [tuple(x) if isinstance(x, list) else x for x in json.loads(state.get[0])] if state.exists else []
-        out, held = _walk(key[0], rows, held, step)
-        state.update((json.dumps(held),))
-        if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
-        yield out
-
-    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return events.groupBy("key").applyInPandasWithState(run, ADMITTED, "held string", "append", timeout)
+    processor = (state.MapAdmission if quota.named else state.ListAdmission)(quota.step, quota.keep)
+    return state.admitted(events, processor, late)

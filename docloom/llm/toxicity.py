@@ -71,8 +71,14 @@ class Lexicon:
         folded = " ".join(folded_words(text))
         found = [(e + 1 - n, e + 1, w) for e, (n, w) in self._automaton().iter(folded)]
         found = [x for x in found if not x[0] or folded[x[0] - 1] == " "]
-        safe = [x for x in found if x[2] == 0.0 and folded[x[1] : x[1] + 1] in ("", " ")]
-        return [x for x in found if x[2] and not any(s[0] <= x[0] and x[1] <= s[1] for s in safe)]
+        out, reach = [], 0
+        # in order of their starts, phrases before words, so what is safe up to a start is its farthest end so far
+        for start, end, weight in sorted(found, key=lambda x: (x[0], x[2] != 0.0)):
+            if weight == 0.0:
+                reach = max(reach, end) if folded[end : end + 1] in ("", " ") else reach
+            elif end > reach:
+                out.append((start, end, weight))
+        return out
 
     def phrases(self, text: str) -> set[str]:
         """Pairs of neighbouring words of which one begins with a stem of the lexicon."""
@@ -119,7 +125,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows: int) -
             yield b[["_id", "toxic"]].assign(m1=[_first_shingle(t, 1) for t in b["text"]], m2=[_first_shingle(t, 2) for t in b["text"]])
 
     # at most LABELLED_ROWS ids are broadcast and come back
-    known = docs.where("text is not null").join(F.broadcast(chosen), "_id").select("_id", "toxic", "text")
+    known = scratch.write(docs.where("text is not null").join(F.broadcast(chosen), "_id").select("_id", "toxic", "text"), "known")
     marks = map_frames(known, shingled, kept_columns(known.select("_id")) + "toxic int, m1 long, m2 long")
     marks = marks.groupBy("_id", "toxic").agg(F.count("*").alias("n"), F.min("m1").alias("m1"), F.min("m2").alias("m2")).toPandas().sort_values("_id")
     marks = marks[~marks.duplicated(["toxic", "m1"]) & ~marks.duplicated(["toxic", "m2"])]

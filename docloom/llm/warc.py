@@ -9,12 +9,12 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.common import Scratch, map_frames, pick, table, with_key_value
+from docloom.sources.files import arrow_uri, opened
 
 #: Bytes of payload and records after which a task begins another archive.
 ARCHIVE_BYTES, ARCHIVE_RECORDS = 16_000_000, 20_000
@@ -76,15 +76,11 @@ def _gzip(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path)
-
-
 class _File:
     """A file that appears under its name when it is whole; a task that runs again replaces it by the same bytes."""
 
     def __init__(self, path: str):
-        self.fs, self.path = _open(path)
+        self.fs, self.path = opened(path)
         self.fs.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
         self.part = f"{self.path}.{uuid.uuid4().hex}.part"
         self.out = self.fs.open_output_stream(self.part)
@@ -94,10 +90,6 @@ class _File:
         self.fs.move(self.part, self.path)
 
 
-def _uri(folder: str) -> str:
-    return folder if "://" in folder else f"file://{folder}" if folder.startswith("/") else folder.replace("file:/", "file:///", 1)
-
-
 def _name(page) -> str:
     return "none" if page is None or page is pd.NA else str(page)
 
@@ -108,7 +100,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     A partition writes its own archives, named after it, so nothing is shuffled and a task that
     runs again writes the same files. Null html is an empty payload.
     """
-    folder = _uri(folder)
+    folder = arrow_uri(folder)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, n, file, gz = TaskContext.get().partitionId(), 0, None, None
@@ -163,7 +155,7 @@ def _sidecar(archive: str) -> str:
 
 
 def _read_all(path: str) -> Iterator[bytes]:
-    files, at = _open(path)
+    files, at = opened(path)
     with files.open_input_stream(at, compression=None) as f:
         while chunk := f.read(CHUNK):
             yield chunk
@@ -220,7 +212,7 @@ def read_archives(normalised: DataFrame) -> DataFrame:
 
     def members(archive: str) -> Iterator[tuple]:
         index = [json.loads(x) for x in b"".join(_read_all(_sidecar(archive))).splitlines()]
-        files, path = _open(archive)
+        files, path = opened(archive)
         with files.open_input_file(path) as f:
             for x in index:
                 f.seek(x["offset"])

@@ -10,8 +10,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from docloom.llm import brown, flac, language, topk, toxicity, warc
 from docloom.llm.common import Scratch
+from pyspark.sql import functions as F
 
 from tests.llm.fixtures import SCHEMA, odd_documents, write_documents
 
@@ -302,60 +304,99 @@ def test_brown_scores(spark, sf, odd, empty):
             assert sum(a for a, _ in held) > sum(b for _, b in held)
 
 
-def test_brown_model_is_a_distribution_and_joins_rare_words(spark, sf, monkeypatch):
-    monkeypatch.setattr(brown, "ANCHORS", 50)
-    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id as _id", "false as held_out", "cast(text as binary) as text")
+def brown_model(spark, docs, most, monkeypatch, anchors=50, classes=brown.CLASSES):
+    monkeypatch.setattr(brown, "ANCHORS", anchors)
     scratch = Scratch(spark, "t")
     vocab = scratch.write(brown.count_words(docs.select("text")), "w")
-    top, least = brown.numbered_words(vocab, 300)
-    assert 0 < len(top) <= 300
-    numbered = scratch.write(brown.number(docs, top["word"].tolist()), "n")
-    model = brown.train(numbered, vocab, top, least)
-    assert np.allclose((10 ** model["log_transition"]).sum(axis=1), 1)
-    place, end = {w: i for i, w in enumerate(top["word"])}, len(top)
+    top, least = brown.numbered_words(vocab, most)
+    numbered = scratch.write(brown.number(docs, top["word"].tolist()).withColumn("row", F.monotonically_increasing_id()), "n")
+    model, rare = brown.train(numbered, vocab, top, least, scratch, classes)
+    known = {r["h"]: r["class"] for r in rare.collect()}
+    number = {w: i for i, w in enumerate(top["word"])}
+
+    def of(w):
+        if w == b"" or w in number:
+            return int(model["class_of"][number.get(w, len(top))])
+        h = int(np.array([xxhash.xxh64_intdigest(w, 42)], np.uint64).view(np.int64)[0])
+        return int(known.get(h, model["endings"][brown.ending(w)]))
+
+    return vocab, numbered, model, rare, of, number
+
+
+def test_brown_model_is_a_distribution_and_joins_rare_words(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id as _id", "false as held_out", "cast(text as binary) as text")
+    vocab, numbered, model, rare, of, number = brown_model(spark, docs, 300, monkeypatch)
+    assert 0 < len(number) <= 300 and np.allclose((10 ** model["log_transition"]).sum(axis=1), 1)
     n = {bytes(r["word"]): r["n"] for r in vocab.collect()}
-    of = lambda w: model["class_of"][end if w == b"" else place[w] if w in place else end + 1 + brown.ending(w)]
     mass = defaultdict(float)
     for w, k in n.items():
         mass[of(w)] += (k + 0.1) / 10 ** model["log_class"][of(w)]
     for k, m in mass.items():
         assert abs(m + 0.1 / 10 ** model["log_class"][k] - 1) < 1e-9
     texts = {r["_id"]: bytes(r["text"]) for r in docs.collect()}
-    for r in brown.score(numbered, vocab, model, scratch).limit(30).collect():
+    other = spark.createDataFrame([(-1, False, b"never seen befored words anded oftheandin the")], "_id long, held_out boolean, text binary")
+    more = numbered.unionByName(brown.number(other, list(number)).withColumn("row", F.lit(-1).cast("long")))
+    texts[-1] = b"never seen befored words anded oftheandin the"
+    for r in brown.score(more, rare, model).collect():
         tokens = [*brown.words(texts[r["_id"]]), b""]
         before = [b"", *tokens[:-1]]
         want = sum(model["log_transition"][of(a), of(b)] + math.log10(n.get(b, 0) + 0.1) - model["log_class"][of(b)] for a, b in zip(before, tokens))
-        assert abs(r["score"] - want) < 1e-6 * max(1, -want)
+        assert abs(r["score"] - want) < 1e-6 * max(1, -want) and r["n_known"] == sum(w in n for w in tokens)
 
 
-def test_words_move_to_the_classes_of_their_contexts(spark):
-    """All words beyond the first are moved as one pass over their neighbours by hand moves them."""
+def alternating(spark, rare=0):
+    """Words of two kinds in turn; with ``rare``, so many words that occur once or twice, each where its kind belongs."""
     rng = random.Random(2)
-    texts = [" ".join(x for _ in range(20) for x in (f"a{min(rng.randrange(60), rng.randrange(60))}", f"b{min(rng.randrange(60), rng.randrange(60))}")) for _ in range(120)]
-    docs = spark.createDataFrame([(i, False, t.encode()) for i, t in enumerate(texts)], "_id long, held_out boolean, text binary").repartition(3)
+    texts = [[x for _ in range(20) for x in (f"a{min(rng.randrange(60), rng.randrange(60))}", f"b{min(rng.randrange(60), rng.randrange(60))}")] for _ in range(120)]
+    for i in range(rare):
+        at = 2 * rng.randrange(18) + i % 2
+        texts[i % 120][at] = f"{'xy'[rng.randrange(2)]}{i:04d}zzz"
+    return spark.createDataFrame([(i, False, " ".join(t).encode()) for i, t in enumerate(texts)], "_id long, held_out boolean, text binary").repartition(3), texts
+
+
+def test_words_move_to_the_classes_of_their_contexts(spark):
+    """All numbered words are placed as one pass over their neighbours by hand places them, rare ones too."""
+    docs, texts = alternating(spark, 60)
     scratch = Scratch(spark, "moves")
     vocab = scratch.write(brown.count_words(docs.select("text")), "w")
     top, least = brown.numbered_words(vocab, 80)
     numbered = scratch.write(brown.number(docs, top["word"].tolist()), "n")
     end, k = len(top), 3
-    class_of = np.full(end + 1 + brown.ENDINGS, -1)
+    class_of = np.full(end + 1, -1)
     class_of[:20], class_of[end] = [int(w.startswith(b"b")) for w in top["word"][:20]], 2
     n = np.array([[1.0, 90.0, 1.0], [80.0, 1.0, 9.0], [9.0, 1.0, 0.0]])
-    got = brown.move(numbered, class_of, n, 20, end, 2)
     unit = {w: i for i, w in enumerate(top["word"])}
     table = defaultdict(lambda: np.zeros(2 * k))
     for t in texts:
-        ids = [end, *[unit.get(w, end + 1 + brown.ending(w)) for w in t.encode().split()], end]
-        for left, x, right in zip(ids, ids[1:], ids[2:]):
-            for c, at in ((class_of[left], 0), (class_of[right], k)):
-                if x >= 20 and c >= 0:
-                    table[x][at + c] += 1
-    for x, row in table.items():
-        assert got[x] == brown.place(row[None, :], n, 2)[0]
-    assert np.array_equal(got[:20], class_of[:20])
-    whole = brown.train(numbered, vocab, top, least, classes=2)["class_of"]
-    sides = [{whole[i] for w, i in unit.items() if w.startswith(side)} for side in (b"a", b"b")]
+        told = ["", *t, ""]
+        c = [2 if w == "" else class_of[unit[w.encode()]] if w.encode() in unit else -1 for w in told]
+        for i, w in enumerate(told):
+            for near, at in ((i - 1, 0), (i + 1, k)):
+                if w and c[near] >= 0:
+                    table[w.encode()][at + c[near]] += 1
+    for rare in (False, True):
+        got = {r["word"]: r["class"] for r in brown.placed(brown.contexts(numbered, class_of, end, 2, rare, 8), n, 2).collect()}
+        key = lambda w: int(np.array([xxhash.xxh64_intdigest(w, 42)], np.uint64).view(np.int64)[0]) // brown.NEAR if rare else unit[w]
+        mine = {key(w): brown.place(row[None, :], n, 2)[0] for w, row in table.items() if (w not in unit) == rare}
+        assert got == mine and got
+
+
+def test_the_likelihood_rises_and_rare_words_find_their_class(spark, monkeypatch):
+    docs, texts = alternating(spark, 100)
+    monkeypatch.setattr(brown, "ANCHORS", 20)
+    vocab, numbered, model, rare, of, number = brown_model(spark, docs, 125, monkeypatch, 20, 2)
+    told = []
+    class_of, n = brown.cluster(numbered, len(number), 2, 4, told)
+    assert told and all(a < b for a, b in zip(told, told[1:])) and np.array_equal(class_of, model["class_of"])
+    sides = [{of(w) for w in number if w.startswith(side)} for side in (b"a", b"b")]
     assert all(len(x) == 1 for x in sides) and sides[0] != sides[1]
+    # a rare word stands where its kind does, whatever its letters are
+    for t in texts:
+        for i, w in enumerate(t):
+            if w.endswith("zzz"):
+                assert of(w.encode()) == of(b"ab"[i % 2 : i % 2 + 1] + b"0")
+    flat = [[of(w.encode()) for w in ["", *t, ""]] for t in texts]
+    assert len(flat) == 120 and brown.likelihood(n) == told[-1]
 
 
 def test_exchange_finds_alternating_classes():

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,50 +30,77 @@ SCRIPT_NAMES = ("Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Han", "Hiraga
 
 def squeeze(text: str) -> str:
     """Accents off, lower case, anything but letters and digits as one blank."""
-    plain = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    plain = text if text.isascii() else "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
     return re.sub(r"[^a-z0-9]+", " ", plain.lower()).strip()
 
 
-def squeezed(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "plain": [f" {squeeze(t or '')} " for t in b["text"]], "name": [f" {squeeze(n or '')} " for n in b["filename"]]})
-
-    return map_frames(docs.select("doc_id", "text", "filename"), run, "doc_id long, plain string, name string")
-
-
-def _hits(text: str, phrases: list[str]) -> Column:
-    return F.size(F.filter(F.array(*[F.lit(f" {p} ") for p in phrases]), lambda p: F.col(text).contains(p)))
-
-
 def confidence(top: Column, second: Column, signals: Column) -> Column:
     """How sure a class is: by its score, its lead and its signals."""
     margin = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (top - second) / F.greatest(top, F.lit(1.0))))
     return F.when(top <= 0, 0.2).otherwise(F.least(F.lit(0.99), 0.48 + 0.30 * F.least(F.lit(1.0), top / 20) + 0.17 * margin + 0.05 * F.least(F.lit(1.0), signals / 5)))
 
 
+class TypeScores:
+    """Scores of document types by the phrases that a text and its file name have, all looked for in one pass."""
+
+    STRONG, SUPPORT, NAMED, EXTRA = "strong", "support", "named", "extra"
+
+    def __init__(self, types: list[tuple[str, list[str], list[str]]]):
+        self.types = types
+        self.roles: dict[str, list[tuple[int | str, object]]] = {}
+        for rank, (name, strong, support) in enumerate(types):
+            for role, phrases in ((self.STRONG, strong), (self.SUPPORT, support), (self.NAMED, [name.replace("_", " "), *strong])):
+                for p in dict.fromkeys(phrases):
+                    self.roles.setdefault(p, []).append((role, rank))
+        for n, phrases in enumerate([*CERTIFICATE, *VETOES.values()]):
+            for p in phrases:
+                self.roles.setdefault(p, []).append((self.EXTRA, n))
+        self._found: ahocorasick.Automaton | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_found": None}
+
+    def phrases(self, plain: str) -> set[str]:
+        """The phrases in a squeezed text, as whole words; they may share words."""
+        if self._found is None:
+            self._found = ahocorasick.Automaton()
+            for p in self.roles:
+                self._found.add_word(f" {p} ", p)
+            self._found.make_automaton()
+        return {p for _, p in self._found.iter(f" {plain} ")}
+
+    def best(self, plain: str, filename: str) -> tuple[str, float, float, int]:
+        """The type of the highest score, that score, the next one, and the signals of the type; of equals the earlier type."""
+        counts: Counter = Counter(role for p in self.phrases(plain) for role in self.roles[p] if role[0] != self.NAMED)
+        counts.update(role for p in self.phrases(filename) for role in self.roles[p] if role[0] == self.NAMED)
+        certified = all(counts[self.EXTRA, n] for n in range(len(CERTIFICATE)))
+        vetoed = {name for n, name in enumerate(VETOES, len(CERTIFICATE)) if counts[self.EXTRA, n]}
+        scores = []
+        for rank, (name, _, _) in enumerate(self.types):
+            s, p, f = (counts[role, rank] for role in (self.STRONG, self.SUPPORT, self.NAMED))
+            enough = s > 0 or name == "correspondence" and p >= 2 or name == "academic_certificate" and certified
+            if enough and name not in vetoed:
+                scores.append((6.0 * min(s, 4) + 1.75 * min(p, 7) + min(f, 2), s + p + f, -rank, name))
+        scores = sorted(scores, reverse=True) + [(0.0, 0, 0, self.types[0][0])] * 2
+        (top, signals, _, name), (second, *_) = scores[:2]
+        return name, top, second, signals
+
+
 def privacy_type(docs: DataFrame, types: list[tuple[str, list[str], list[str]]] | None = None) -> DataFrame:
     """Type and confidence of rows (doc_id, text, filename): phrases score, strong ones are needed, and a close second is a draw.
 
-    A type's file name phrases are its own name and its strong phrases. Of equal scores and signals the earlier type wins.
+    A text is folded and read once, whatever the number of phrases. A type's file name phrases are
+    its own name and its strong phrases. Of equal scores and signals the earlier type wins. A null text is an empty one.
     """
-    types = types or PRIVACY_TYPES
-    scored = []
-    for rank, (name, strong, support) in enumerate(types):
-        s, p, f = _hits("plain", strong), _hits("plain", support), _hits("name", [name.replace("_", " "), *strong])
-        open_ = s > 0
-        if name == "correspondence":
-            open_ = open_ | (p >= 2)
-        if name == "academic_certificate":
-            open_ = open_ | ((_hits("plain", CERTIFICATE[0]) > 0) & (_hits("plain", CERTIFICATE[1]) > 0) & (_hits("plain", CERTIFICATE[2]) > 0))
-        if name in VETOES:
-            open_ = open_ & (_hits("plain", VETOES[name]) == 0)
-        score = 6.0 * F.least(s, F.lit(4)) + 1.75 * F.least(p, F.lit(7)) + F.least(f, F.lit(2))
-        scored.append(F.struct(F.when(open_, score).otherwise(0.0).alias("score"), F.when(open_, s + p + f).otherwise(0).alias("signals"), F.lit(-rank).alias("priority"), F.lit(name).alias("name")))
-    rows = squeezed(docs).select("doc_id", F.sort_array(F.array(*scored), asc=False).alias("s"))
-    top, second = F.get("s", F.lit(0)), F.get("s", F.lit(1))
-    draw = (top["score"] < 4) | ((second["score"] >= 4) & (top["score"] - second["score"] < 1.5))
-    return rows.select("doc_id", F.when(draw, "general_document").otherwise(top["name"]).alias("document_type"), confidence(top["score"], second["score"], top["signals"]).alias("confidence"))
+    scores = TypeScores(types or PRIVACY_TYPES)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
+        for b in batches:
+            yield [(i, *scores.best(squeeze(t or ""), squeeze(n or ""))) for i, t, n in zip(b["doc_id"], b["text"], b["filename"])]
+
+    rows = map_frames(docs.select("doc_id", "text", "filename"), run, "doc_id long, name string, top double, second double, signals int")
+    draw = (F.col("top") < 4) | ((F.col("second") >= 4) & (F.col("top") - F.col("second") < 1.5))
+    return rows.select("doc_id", F.when(draw, "general_document").otherwise(F.col("name")).alias("document_type"), confidence(F.col("top"), F.col("second"), F.col("signals")).alias("confidence"))
 
 
 def question_scale(docs: DataFrame) -> DataFrame:
@@ -89,15 +118,22 @@ def observed_scripts(text: Column) -> Column:
 
 
 def section_languages(docs: DataFrame, detector: Callable[[str], dict[str, float]], least: float = 0.70, lead: float = 0.15) -> DataFrame:
-    """Languages of each text's sections that a detector is sure of, and all it knows if it is sure of none."""
+    """Rows (doc_id, languages): those of each text's sections that a detector is sure of, and all it knows if it is sure of none.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Sections are told within the document. A text without a section, null included, has no languages.
+    """
+
+    def languages(text: str) -> list[str]:
+        sure, every = set(), set()
+        for section in filter(str.strip, re.split(r"\n+", text)):
+            scores = sorted(((v, k) for k, v in detector(section).items()), reverse=True)
+            every.update(k for _, k in scores)
+            if scores and scores[0][0] >= least and scores[0][0] - (scores[1][0] if len(scores) > 1 else 0.0) >= lead:
+                sure.add(scores[0][1])
+        return sorted(sure or every)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
         for b in batches:
-            yield [(i, n, k, v) for i, t in zip(b["doc_id"], b["text"]) for n, s in enumerate(re.split(r"\n+", t or "")) if s.strip() for k, v in detector(s).items()]
-
-    scores = map_frames(docs.select("doc_id", "text"), run, "doc_id long, section int, language string, score double")
-    top = scores.groupBy("doc_id", "section").agg(F.sort_array(F.collect_list(F.struct("score", "language")), asc=False).alias("s"))
-    best, second = F.get("s", F.lit(0)), F.get("s", F.lit(1))
-    sure = F.when((best["score"] >= least) & (best["score"] - F.coalesce(second["score"], F.lit(0.0)) >= lead), best["language"])
-    per = top.groupBy("doc_id").agg(F.sort_array(F.collect_set(sure)).alias("sure"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("s", lambda x: x["language"]))))).alias("every"))
-    return per.select("doc_id", F.when(F.size("sure") > 0, F.col("sure")).otherwise(F.col("every")).alias("languages"))
+            yield [(i, languages(t or "")) for i, t in zip(b["doc_id"], b["text"])]
+
+    return map_frames(docs.select("doc_id", "text"), run, "doc_id long, languages array<string>")

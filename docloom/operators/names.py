@@ -8,7 +8,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docloom.operators.fixed import KEY_VALUE, NO_KEY_VALUE
+from docloom.operators.fixed import BOUNDARIES, KEY_VALUE, NO_KEY_VALUE
 
 
 def normal_name(c: Column) -> Column:
@@ -22,7 +22,7 @@ def normal_name_py(name: str) -> str:
 
 def parse_key_value(line: str) -> tuple[str, str] | None:
     m = re.match(KEY_VALUE, line)
-    if not m or re.match(NO_KEY_VALUE, line.strip()):
+    if not m or re.match(NO_KEY_VALUE, line.strip()) or line.strip().startswith(BOUNDARIES):
         return None
     key, value = " ".join(m[1].strip().strip(":-–—|").split()), " ".join(m[2].split())
     return (key, value) if value and any(map(str.isalnum, key)) and len(key) <= 70 and key.count(" ") <= 10 else None

@@ -173,44 +173,6 @@ def keyset_page_composite(rows: DataFrame, cursor_s: int, cursor_id: int, size:
     return rows.where(F.struct("created_s", "id") < F.struct(F.lit(cursor_s).alias("created_s"), F.lit(cursor_id).alias("id"))).orderBy(F.desc("created_s"), F.desc("id")).limit(size + 1)
 
 
-def parse_search(text: str) -> list[list[tuple[bool, list[str]]]]:
-    """Web-search syntax: groups joined by OR of (wanted, words) terms, a quoted term having several words."""
-    import re
-
-    groups: list[list[tuple[bool, list[str]]]] = [[]]
-    for minus, quoted, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', text):
-        if not minus and word == "or" or word == "OR":
-            groups.append([])
-        elif words := re.findall(r"\w+", (quoted or word).lower()):
-            groups[-1].append((not minus, words))
-    return [g for g in groups if g]
-
-
-def _same(word: str):
-    return lambda x: (x == word).cast("int")
-
-
-def message_search(messages: DataFrame, members: DataFrame, user: str, text: str) -> DataFrame:
-    """Live messages of a member's conversations that match, with a rank: matches per words of the message.
-
-    The rank stands for the cover density of a search server and isn't its number.
-    """
-    tokens = F.filter(F.split(F.lower("body"), r"[^\p{L}\p{N}_]+"), lambda x: x != "")
-    padded = F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" "))
-    has = lambda words: padded.contains(" " + " ".join(words) + " ")
-    match, hits = F.lit(False), F.lit(0)
-    for group in parse_search(text):
-        fits = F.lit(True)
-        for wanted, words in group:
-            fits = fits & (has(words) if wanted else ~has(words))
-            if wanted:
-                hits = hits + F.size(F.array_remove(F.transform("tokens", _same(words[0])), 0))
-        match = match | fits
-    mine = members.where((F.col("user_id") == user) & (F.col("status") == "active")).select("conversation_id")
-    rows = messages.where("not deleted and message_type = 'text'").join(mine, "conversation_id", "left_semi").withColumn("tokens", tokens).where(match)
-    return rows.select("id", "conversation_id", (hits / (F.size("tokens") + 1)).alias("rank"))
-
-
 def schedule_order(links: DataFrame, now: Column, include_past: bool = True) -> DataFrame:
     """Upcoming links first, soonest first; then past ones, latest first; then by id, largest first."""
     end = F.col("start_s") + F.col("duration_minutes") * 60

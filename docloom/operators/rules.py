@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import islice
 
 import ahocorasick
 import pandas as pd
@@ -12,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.frames import map_frames
+from docloom.operators.phrases import Phrases
 
 RULE = """rule_id string, version string, title string, regulatory_domain string, strategy string, search_mode string, case_sensitive boolean, excerpt_window int,
 max_matches int, min_count int, on_missing string, on_partial string, on_prohibited string, required array<string>, optional array<string>, prohibited array<string>, actions array<string>"""
@@ -140,10 +143,37 @@ def heading_like(line: str) -> bool:
     return line.endswith(":") or line.isupper() and len(line) <= 80 or len(words) <= 10 and sum(w[0].isupper() for w in words) >= max(1, len(words) // 2)
 
 
+class Sections:
+    """The lines of a text that aren't blank, indexed once for all matches in it."""
+
+    BACK, LONGEST = 8, 200
+
+    def __init__(self, text: str):
+        self.text, self.starts, self.lines, at = text, [], [], 0
+        for line in text.splitlines(keepends=True):
+            if line.strip():
+                self.starts.append(at)
+                self.lines.append(line.strip())
+            at += len(line)
+        self.headings: dict[str, bool] = {}
+
+    def _heading(self, line: str) -> bool:
+        if line not in self.headings:
+            self.headings[line] = heading_like(line)
+        return self.headings[line]
+
+    def label(self, at: int) -> str | None:
+        """The nearest heading among the last lines before a place, of which the last may be the beginning of a line."""
+        n = bisect_left(self.starts, at)
+        open_ = self.text[self.starts[n - 1] : at].splitlines()[:1] if n else []
+        last = [open_[0].strip()] if open_ and open_[0].strip() else []
+        back = [*last, *reversed(self.lines[max(0, n - 1 - self.BACK) : max(0, n - 1)])][: self.BACK]
+        return next((x[: self.LONGEST] for x in back if self._heading(x)), None)
+
+
 def section_label(text: str, at: int) -> str | None:
     """The nearest heading among the last eight lines that aren't blank."""
-    lines = [x.strip() for x in text[:at].splitlines() if x.strip()][-8:]
-    return next((x[:200] for x in reversed(lines) if heading_like(x)), None)
+    return Sections(text).label(at)
 
 
 MATCH = "doc_set string, doc_id long, page_number int, signal string, start int, end int, locator string, excerpt string, section string"
@@ -158,29 +188,53 @@ def _signal_list(rules: DataFrame) -> list[tuple]:
     return [(x["signal"], x["search_mode"], x["case_sensitive"], x["w"], x["m"]) for x in sorted(rows, key=str)]
 
 
+class Search:
+    """The distinct searches of a run, ready for texts: phrases and words in one pass, expressions one by one.
+
+    ``matches`` gives, for each signal, its first matches that don't overlap, as a search of it alone would.
+    """
+
+    def __init__(self, signals: list[tuple], timeout: float):
+        self.signals, self.timeout = signals, timeout
+        compiled = [regex.compile(expression(s, mode), 0 if case else regex.IGNORECASE) for s, mode, case, _, _ in signals]
+        self.patterns = {i: p for i, p in enumerate(compiled) if signals[i][1] == "regex"}
+        self.together = [i for i in range(len(signals)) if i not in self.patterns]
+        self.phrases = Phrases([(signals[i][0], compiled[i]) for i in self.together])
+
+    def matches(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """Rows (number of the signal, start, end)."""
+        hits = sorted((self.together[i], start, end) for start, end, i in self.phrases.find(text))
+        for i, pattern in self.patterns.items():
+            hits += ((i, *m.span()) for m in islice(pattern.finditer(text, timeout=self.timeout), self.signals[i][4]))
+        signal, n, reach = None, 0, 0
+        for i, start, end in hits:
+            if i != signal:
+                signal, n, reach = i, 0, 0
+            if start >= reach and n < self.signals[i][4]:
+                n, reach = n + 1, end
+                yield i, start, end
+
+
 def search(pages: DataFrame, rules: DataFrame, timeout: float = 0.2) -> DataFrame:
     """Matches of all signals in rows (doc_set, doc_id, page_number, text), the first of each signal in a page.
 
-    Signals go to the tasks as a bounded list; a text isn't joined with them. A search that takes
-    longer than its time fails the run.
+    Signals go to the tasks as a bounded list; a text isn't joined with them, and is read once for all
+    signals but expressions. A search that takes longer than its time fails the run.
     """
     signals = _signal_list(rules)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = [(s, regex.compile(expression(s, mode), 0 if case else regex.IGNORECASE), mode == "substring" and not case and s.isascii(), w, m) for s, mode, case, w, m in signals]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
+        found = Search(signals, timeout)
         for b in batches:
             rows = []
             for doc_set, doc, page, text in zip(b["doc_set"], b["doc_id"], b["page_number"], b["text"]):
-                low = (text or "").lower()
-                for s, pattern, plain, window, most in compiled:
-                    if not text or plain and s not in low:
-                        continue
-                    for n, m in enumerate(pattern.finditer(text, timeout=timeout)):
-                        if n >= most:
-                            break
-                        if not m[0].strip():
-                            raise ValueError(f"signal {s!r} matches nothing")
-                        rows.append((doc_set, doc, page, s, m.start(), m.end(), m[0].strip(), excerpt(text, m.start(), m.end(), window), section_label(text, m.start())))
+                hits = list(found.matches(text)) if text else []
+                sections = Sections(text) if hits else None
+                for i, start, end in hits:
+                    signal, window, quote = signals[i][0], signals[i][3], text[start:end].strip()
+                    if not quote:
+                        raise ValueError(f"signal {signal!r} matches nothing")
+                    rows.append((doc_set, doc, page, signal, start, end, quote, excerpt(text, start, end, window), sections.label(start)))
             yield rows
 
     return map_frames(pages.select("doc_set", "doc_id", "page_number", "text"), run, MATCH)
@@ -203,28 +257,18 @@ def dedupe_references(hits: DataFrame) -> DataFrame:
     return hits.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-#: Signals that are put into one expression; more are searched by an automaton in each task.
-FEW_SIGNALS = 200
-
-
 def signal_hits(docs: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rows (doc_set, signal) of substring signals that occur in a set; texts are folded once and sets are aggregated where they are."""
+    """Rows (doc_set, signal) of substring signals that occur in a set: one pass of an automaton over each text, folded once where it is read."""
     signals = [s for s, mode, case, _, _ in _signal_list(rules) if mode == "substring"]
-    if len(signals) > FEW_SIGNALS:
-        return _many_hits(docs, signals)
-    low = F.lower("text")
-    has = docs.groupBy("doc_set").agg(*[F.bool_or(low.contains(s)).alias(f"s{i}") for i, s in enumerate(signals)])
-    return has.select("doc_set", F.explode(F.array_compact(F.array(*[F.when(F.col(f"s{i}"), F.lit(s)) for i, s in enumerate(signals)]).cast("array<string>"))).alias("signal"))
-
 
-def _many_hits(docs: DataFrame, signals: list[str]) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
         found = ahocorasick.Automaton()
         for s in signals:
             found.add_word(s, s)
-        found.make_automaton()
+        if signals:
+            found.make_automaton()
         for b in batches:
-            yield list({(doc_set, s) for doc_set, text in zip(b["doc_set"], b["low"]) for _, s in found.iter(text or "")})
+            yield list({(doc_set, s) for doc_set, text in zip(b["doc_set"], b["low"]) if signals for _, s in found.iter(text or "")})
 
     return map_frames(docs.select("doc_set", F.lower("text").alias("low")), run, "doc_set string, signal string").distinct()
 

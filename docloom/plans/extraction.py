@@ -27,14 +27,14 @@ def lines(d: DataFrame) -> DataFrame:
 
 
 def fields(d: DataFrame) -> DataFrame:
-    return X.merge_fields(X.class_fields(lines(d), "invoice"), X.key_values(lines(d)))
+    return X.document_fields(d, "invoice")
 
 
 G.add("x1_explode_lines", "documents", lambda d: lines(d).groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.length("line") * F.col("line_number")).alias("check")),
       r"SELECT doc_id, count(*) AS lines, CAST(sum(length(trim(line, ' ')) * n) AS BIGINT) AS check FROM (SELECT doc_id, generate_subscripts(l, 1) AS n, unnest(l) AS line FROM (SELECT doc_id, string_split(regexp_replace(text, '\n\z', ''), chr(10)) AS l FROM documents)) GROUP BY 1")
-G.add("x2_key_value_fields", "record_text", lambda d: X.key_values(lines(d)).select("doc_id", "name", "value", "line_number"),
+G.add("x2_key_value_fields", "record_text", lambda d: X.key_values(d).select("doc_id", "name", "value", "line_number"),
       f"SELECT doc_id, name, value, CAST(min(line_number) AS INTEGER) AS line_number FROM (SELECT doc_id, line_number, trim(split_part(line, ':', 1)) AS name, first_value(trim(split_part(line, ':', 2))) OVER (PARTITION BY doc_id, split_part(line, ':', 1) ORDER BY line_number) AS value FROM ({LINES}) WHERE contains(line, ':')) GROUP BY 1, 2, 3")
-G.add("x2_review_values", "record_text", lambda d: X.key_values(lines(d), all_values=True).select("doc_id", "name", "value"),
+G.add("x2_review_values", "record_text", lambda d: X.key_values(d, all_values=True).select("doc_id", "name", "value"),
       f"SELECT DISTINCT doc_id, trim(split_part(line, ':', 1)) AS name, trim(split_part(line, ':', 2)) AS value FROM ({LINES}) WHERE contains(line, ':')")
 G.add("x3_normalize_field_name", "pages", lambda p: p.select("page_id", X.normal_name(F.col("url")).alias("name")), r"SELECT page_id, trim(regexp_replace(lower(trim(url)), '[^\w]+', '_', 'g'), '_') AS name FROM pages")
 G.add("x4_repeated_records", "record_text", lambda d: X.records(d).select("doc_id", "record_index", text().alias("record")),
@@ -54,10 +54,10 @@ G.add("x6_detect_delimiter", "record_text", delimiters, f"SELECT CASE WHEN conta
 G.add("x7_tabular_groups", "documents", lambda d: X.per_document(d, lambda ls: ((run[0].number, len(run)) for run in L.runs(L.lines_of(ls))), "first_line int, n int"))
 G.add("x8_extract_tables", "record_text", lambda d: X.tables(d).select("doc_id", "table_index", "row_index", text().alias("record")),
       f"SELECT doc_id, 1 AS table_index, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_number) AS INTEGER) AS row_index, 'Amount=' || split_part(line, chr(9), 3) || ';Item=' || split_part(line, chr(9), 1) || ';Quantity=' || split_part(line, chr(9), 2) AS record FROM ({LINES}) WHERE contains(line, chr(9)) AND line NOT LIKE 'Item%'")
-G.add("x9_class_fields", "record_text", lambda d: X.class_fields(lines(d), "invoice").select("doc_id", "name", "value"),
+G.add("x9_class_fields", "record_text", lambda d: X.class_fields(d, "invoice").select("doc_id", "name", "value"),
       f"SELECT doc_id, 'invoice_number' AS name, substr(line, 13) AS value FROM ({LINES}) WHERE line LIKE 'Invoice No%' UNION ALL SELECT doc_id, 'invoice_date', substr(line, 7) FROM ({LINES}) WHERE line LIKE 'Date:%' UNION ALL SELECT doc_id, 'total', substr(min_by(line, line_number), 8) FROM ({LINES}) WHERE line LIKE 'Total:%' GROUP BY doc_id")
 for cls in ("receipt", "bank_statement", "kyc_document", "procurement_document", "hr_record", "ticket", "memo"):
-    G.add(f"x9_{cls}", "record_text forms", lambda r, f, cls=cls: X.class_fields(lines(r.unionByName(f).withColumn("text", F.concat("text", F.lit("\nStatus: open\nPriority: high")))), cls))
+    G.add(f"x9_{cls}", "record_text forms", lambda r, f, cls=cls: X.class_fields(r.unionByName(f).withColumn("text", F.concat("text", F.lit("\nStatus: open\nPriority: high"))), cls))
 ITEM = r"'^(Widget.*?)\s+(\d+)\s+([0-9.]+)\s+([0-9.]+)$'"
 G.add("x10_line_items", "record_text", lambda d: X.typed_rows(lines(d), "line_item").select("doc_id", "line_number", text().alias("record")),
       f"SELECT doc_id, line_number, 'amount=' || regexp_extract(line, {ITEM}, 4) || ';description=' || regexp_extract(line, {ITEM}, 1) || ';quantity=' || regexp_extract(line, {ITEM}, 2) || ';unit_price=' || regexp_extract(line, {ITEM}, 3) AS record FROM ({LINES}) WHERE regexp_matches(line, {ITEM})")
@@ -71,12 +71,12 @@ G.add("x14_merge_fields", "record_text", lambda d: fields(d).select("doc_id", "n
       f"""SELECT doc_id, 'invoice_number' AS norm, substr(line, 13) AS value, 0.92::DOUBLE AS confidence FROM ({LINES}) WHERE line LIKE 'Invoice No%' UNION ALL SELECT doc_id, 'invoice_date', substr(line, 7), 0.92 FROM ({LINES}) WHERE line LIKE 'Date:%'
       UNION ALL SELECT doc_id, norm, min_by(value, line_number), CASE WHEN norm = 'total' THEN 0.92 ELSE 0.88 END FROM ({KEYS}) GROUP BY 1, 2""")
 REVIEW = f"SELECT doc_id, norm, CASE WHEN count(DISTINCT value) > 1 THEN 'needs_review' ELSE 'found' END AS status, CASE WHEN count(DISTINCT value) = 1 THEN min(value) ELSE '' END AS value, string_agg(DISTINCT value, '|' ORDER BY value) AS candidates FROM ({KEYS}) GROUP BY 1, 2"
-G.add("x15_field_review_status", "record_text", lambda d: X.review_status(X.key_values(lines(d), all_values=True)), REVIEW)
+G.add("x15_field_review_status", "record_text", X.document_review, REVIEW)
 
 
 def best(d: DataFrame) -> DataFrame:
     wanted = d.sparkSession.createDataFrame([("customer",), ("total",), ("absent",)], "norm string")
-    return X.best_status(X.review_status(X.key_values(lines(d), all_values=True)), wanted)
+    return X.best_status(X.review_status(X.key_values(d, all_values=True)), wanted)
 
 
 G.add("x16_best_field_status", "record_text", best,
@@ -105,12 +105,12 @@ G.add("x20_attach_provenance", "record_text", lambda d: X.attach_provenance(X.ta
 G.add("x21_reserved_column_rename", "orders", lambda o: o.select("o_orderkey", text_of(X.rename_reserved(F.create_map(F.lit("Line Number"), F.col("o_orderstatus"), F.lit("price"), F.lit("1")))).alias("record")), "SELECT o_orderkey, 'field_Line Number=' || o_orderstatus || ';price=1' AS record FROM orders")
 G.add("x22_project_records", "record_text", lambda d: X.project_values(X.tables(d), ["ITEM", "amount"]).select("doc_id", "row_index", text().alias("record")),
       f"SELECT doc_id, CASE WHEN line LIKE 'bolt%' THEN 1 ELSE 2 END AS row_index, 'Amount=' || split_part(line, chr(9), 3) || ';Item=' || split_part(line, chr(9), 1) AS record FROM ({LINES}) WHERE line LIKE 'bolt%' OR line LIKE 'nut%'")
-G.add("x23_with_document_fields", "record_text", lambda d: X.with_document_fields(X.tables(d), X.key_values(lines(d)).withColumn("norm", X.normal_name(F.col("name"))).where("norm in ('customer', 'total')")).select("doc_id", "row_index", text().alias("record")),
+G.add("x23_with_document_fields", "record_text", lambda d: X.with_document_fields(X.tables(d), X.key_values(d).withColumn("norm", X.normal_name(F.col("name"))).where("norm in ('customer', 'total')")).select("doc_id", "row_index", text().alias("record")),
       f"SELECT doc_id, row_index, {RECORD} || ';customer=' || c || ';total=' || t AS record FROM ({CELLS}) JOIN (SELECT doc_id, min_by(value, line_number) FILTER (norm = 'customer') AS c, min_by(value, line_number) FILTER (norm = 'total') AS t FROM ({KEYS}) GROUP BY 1) USING (doc_id)")
 G.add("x24_shape_output", "record_text", lambda d: X.pivot_fields(fields(d), ["invoice_number", "customer", "total"]),
       f"SELECT doc_id, max(CASE WHEN line LIKE 'Invoice%' THEN substr(line, 13) END) AS invoice_number, max(CASE WHEN line LIKE 'Customer%' THEN substr(line, 11) END) AS customer, substr(min_by(line, line_number) FILTER (line LIKE 'Total%'), 8) AS total FROM ({LINES}) GROUP BY 1")
 G.add("x25_corpus_totals", "record_text", lambda d: X.tables(d).agg(F.count_distinct("doc_id").alias("documents"), F.count("*").alias("rows"), F.sum(F.size("values")).alias("cells")), "SELECT count(*) AS documents, count(*) * 2 AS rows, count(*) * 6 AS cells FROM record_text")
-G.add("x26_quality_summary", "record_text", lambda d: X.review_status(X.key_values(lines(d), all_values=True)).groupBy("doc_id").agg(F.round(F.count_if(F.col("value") != "") / F.count("*"), 4).alias("populated"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("status") != "found", F.col("norm")))), ",").alias("attention")),
+G.add("x26_quality_summary", "record_text", lambda d: X.review_status(X.key_values(d, all_values=True)).groupBy("doc_id").agg(F.round(F.count_if(F.col("value") != "") / F.count("*"), 4).alias("populated"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("status") != "found", F.col("norm")))), ",").alias("attention")),
       f"SELECT doc_id, round(count(*) FILTER (value <> '') / count(*), 4) AS populated, coalesce(string_agg(norm, ',' ORDER BY norm) FILTER (status <> 'found'), '') AS attention FROM ({REVIEW}) GROUP BY 1")
 G.add("x27_project_fields", "record_text", lambda d: X.attach_provenance(X.pivot_fields(fields(d), ["customer", "name", "role"]), d).drop("checksum"), "SELECT doc_id, 'C' || regexp_extract(text, 'Customer: C(\\d+)', 1) AS customer, 'Ann' AS name, 'clerk' AS role, 'doc-' || doc_id || '.txt' AS filename FROM record_text")
 G.add("x28_project_record_table", "record_text", lambda d: X.typed_rows(lines(d), "line_item").select("doc_id", *[F.col("values")[n].alias(n) for n in X.ROWS["line_item"][1]]), f"SELECT doc_id, description, quantity, unit_price, amount FROM ({LINE_ITEMS})")
@@ -128,9 +128,9 @@ G.add("x30_typed_values", "orders", typed,
       """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey * 1000 + 0.5::DOUBLE END AS number, CASE WHEN o_orderkey % 4 = 1 OR (o_orderkey % 4 = 2 AND (day(o_orderdate) > 12 OR day(o_orderdate) = month(o_orderdate))) THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders""")
 G.add("x31_bounded_preview", "documents", lambda d: X.bounded_preview(d, 200, 150_000, "n_chars", "doc_id").select("doc_id", "shortened"),
       "SELECT doc_id, count(*) OVER () < (SELECT least(count(*), 201) FROM documents) AS shortened FROM (SELECT doc_id, sum(n_chars) OVER (ORDER BY doc_id) AS b, row_number() OVER (ORDER BY doc_id) AS n FROM documents) WHERE n <= 200 AND b <= 150000")
-G.add("x32_complete_export_rows", "record_text", lambda d: X.tables(d).select("doc_id", F.lit("table").alias("kind"), "row_index", text().alias("record")).unionByName(X.key_values(lines(d)).select("doc_id", F.lit("field").alias("kind"), F.concat_ws("=", "name", "value").alias("record"), "confidence"), allowMissingColumns=True),
+G.add("x32_complete_export_rows", "record_text", lambda d: X.tables(d).select("doc_id", F.lit("table").alias("kind"), "row_index", text().alias("record")).unionByName(X.key_values(d).select("doc_id", F.lit("field").alias("kind"), F.concat_ws("=", "name", "value").alias("record"), "confidence"), allowMissingColumns=True),
       f"SELECT doc_id, 'table' AS kind, row_index, {RECORD} AS record, NULL::DOUBLE AS confidence FROM ({CELLS}) UNION ALL SELECT doc_id, 'field', NULL, min_by(name, line_number) || '=' || min_by(value, line_number), 0.88 FROM ({KEYS}) GROUP BY doc_id, norm")
-G.add("x33_review_summary", "record_text", lambda d: X.review_status(X.key_values(lines(d), all_values=True)).groupBy("norm", "status").agg(F.count("*").alias("n")), f"SELECT norm, status, count(*) AS n FROM ({REVIEW}) GROUP BY 1, 2")
+G.add("x33_review_summary", "record_text", lambda d: X.review_status(X.key_values(d, all_values=True)).groupBy("norm", "status").agg(F.count("*").alias("n")), f"SELECT norm, status, count(*) AS n FROM ({REVIEW}) GROUP BY 1, 2")
 G.add("s12_neutralize_formula", "record_text", lambda d: X.tables(d).select("doc_id", "row_index", X.neutral_cell(F.col("values")["Amount"]).alias("cell")),
       f"SELECT doc_id, CASE WHEN line LIKE 'bolt%' THEN 1 ELSE 2 END AS row_index, CASE WHEN line LIKE 'bolt%' THEN '''=5' ELSE split_part(line, chr(9), 3) END AS cell FROM ({LINES}) WHERE line LIKE 'bolt%' OR line LIKE 'nut%'")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.operators import relational as R
+from docloom.operators import search as S
 from docloom.operators.business import plan_rank
 from docloom.plans.registry import Group
 
@@ -142,10 +143,18 @@ G.add("p7_best_per_user", "subscriptions", lambda s: s.where("status = 'active'"
 G.add("p8_conversation_recency", "rooms", lambda r: r.select("id", F.coalesce("last_message_s", "updated_s").alias("recent_s"), F.row_number().over(Window.partitionBy("organization_id").orderBy(F.coalesce("last_message_s", "updated_s").desc(), "id")).alias("place")),
       "SELECT id, coalesce(last_message_s, updated_s) AS recent_s, CAST(row_number() OVER (PARTITION BY organization_id ORDER BY coalesce(last_message_s, updated_s) DESC, id) AS INTEGER) AS place FROM rooms")
 WORDS_SQL = r"' ' || trim(regexp_replace(lower(body), '[^\p{L}\p{N}_]+', ' ', 'g')) || ' '"
-G.add("p9_message_search", "messages conversation_members", lambda m, c: R.message_search(m, c, "observer", 'the and -"of the" OR "in the"').select("id", "conversation_id"),
+G.add("p9_message_search", "messages conversation_members", lambda m, c: S.message_search(m, c, "observer", 'the and -"of the" OR "in the"').select("id", "conversation_id"),
       f"""SELECT id, m.conversation_id FROM messages m WHERE NOT deleted AND message_type = 'text' AND EXISTS (SELECT 1 FROM conversation_members c WHERE c.conversation_id = m.conversation_id AND c.user_id = 'observer' AND c.status = 'active')
       AND ((contains({WORDS_SQL}, ' the ') AND contains({WORDS_SQL}, ' and ') AND NOT contains({WORDS_SQL}, ' of the ')) OR contains({WORDS_SQL}, ' in the '))""")
 
+COUNT_SQL = r"len(list_filter(string_split_regex(lower(body), '[^\p{L}\p{N}_]+'), lambda w: w = 'the'))"
+MINE_SQL = "SELECT * FROM messages m WHERE NOT deleted AND message_type = 'text' AND EXISTS (SELECT 1 FROM conversation_members c WHERE c.conversation_id = m.conversation_id AND c.user_id = 'observer' AND c.status = 'active')"
+G.add("p9_search_rank", "messages conversation_members", lambda m, c: S.message_search(m, c, "observer", "the").select("id", F.round("rank", 6).alias("rank")),
+      f"SELECT id, round(0.1 * {COUNT_SQL}, 6) AS rank FROM ({MINE_SQL}) WHERE {COUNT_SQL} > 0")
+G.add("p9_search_page", "messages conversation_members", lambda m, c: S.ranked_page(S.message_search(m, c, "observer", "the").withColumn("rank", F.round("rank", 6)), 50, (0.4, 60_000)).select("id", "rank"),
+      f"SELECT id, rank FROM (SELECT id, round(0.1 * {COUNT_SQL}, 6) AS rank FROM ({MINE_SQL}) WHERE {COUNT_SQL} > 0) WHERE rank < 0.4 OR (rank = 0.4 AND id < 60000) ORDER BY rank DESC, id DESC LIMIT 50")
+G.add("p9_search_covers", "messages conversation_members", lambda m, c: S.message_search(m, c, "observer", '"of the" and OR in the').select("id", F.round("rank", 6).alias("rank")))
+
 
 def schedule(links: DataFrame, clock: DataFrame) -> DataFrame:
     both = links.crossJoin(F.broadcast(clock.limit(1)))

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions import udf
+from docloom.functions import strategies, udf
 from docloom.operators import extract
 from docloom.plans.registry import Group
 from docloom.streaming import devices as D
@@ -47,7 +47,7 @@ G.add("k12_notification_claim", "outbox", lambda o: E.claim(o, F.lit(NOW), 40).s
 
 def own_class(d: DataFrame) -> DataFrame:
     udf.register_extraction_class("order_slip", {"customer": [r"customer\s*[:\-]?\s*(C\d+)"]})
-    return extract.class_fields(extract.explode_lines(d), "order_slip").select("doc_id", "value")
+    return extract.class_fields(d, "order_slip").select("doc_id", "value")
 
 
 def codes(text: str):
@@ -65,5 +65,30 @@ def own_model(d: DataFrame) -> DataFrame:
 
 
 G.add("v1_register_extraction_class", "record_text", own_class, r"SELECT doc_id, regexp_extract(text, 'Customer: (C\d+)', 1) AS value FROM record_text")
+
+
+def order_lines(text: str, lines: list[str], wanted: frozenset[str]) -> strategies.Extraction:
+    """Customer and total of an order, its items as rows, and a warning where two totals differ."""
+    found, totals = strategies.Extraction(), set()
+    for n, line in enumerate(lines, 1):
+        if m := re.match(r"(Customer|Total): (\S+)", line):
+            found.fields += [] if m[1] == "Total" and totals else [(m[1].lower(), m[2], 0.9, n)]
+            totals |= {m[2]} if m[1] == "Total" else set()
+        elif m := re.match(r"(bolt|nut)\t(\d+)\t", line):
+            found.rows.append((n, {"item": m[1], "quantity": m[2]}))
+    if len(totals) > 1:
+        found.warnings.append("totals differ")
+    return found
+
+
+def own_strategy(d: DataFrame) -> DataFrame:
+    strategies.register_strategy("order_lines", order_lines)
+    return strategies.extract_with(d, "order_lines").select("doc_id", "kind", "name", "value", "row_index", F.col("record")["item"].alias("item"), "warning")
+
+
+G.add("v1_strategy", "record_text", own_strategy,
+      r"""SELECT doc_id, 'field' AS kind, unnest(['customer', 'total']) AS name, unnest([regexp_extract(text, 'Customer: (\S+)', 1), regexp_extract(text, 'Total: (\S+)', 1)]) AS value, NULL::INTEGER AS row_index, NULL AS item, NULL AS warning FROM record_text
+      UNION ALL SELECT doc_id, 'row', NULL, NULL, unnest([1, 2]), unnest(['bolt', 'nut']), NULL FROM record_text
+      UNION ALL SELECT doc_id, 'warning', NULL, NULL, NULL, NULL, 'totals differ' FROM record_text WHERE doc_id % 2 = 1""")
 G.add("v2_register_detector", "record_text", own_detector, r"SELECT doc_id, regexp_extract(text, 'INV-\d+') AS quote FROM record_text")
 G.add("v3_register_text_model", "record_text", own_model, "SELECT doc_id, split_part(text, chr(10), 1) AS output FROM record_text")

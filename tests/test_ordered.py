@@ -29,14 +29,6 @@ def test_state_is_carried_over_batches(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
-def test_many_signals_are_found_by_an_automaton(spark, sf, monkeypatch):
-    docs = screening.sets(tables.load(spark, sf, "documents"))
-    table = screening.table(spark)
-    few = sorted(R.signal_hits(docs, table).collect())
-    monkeypatch.setattr(R, "FEW_SIGNALS", 1)
-    assert sorted(R.signal_hits(docs, table).collect()) == few and few
-
-
 def test_too_many_rules_are_refused(spark, sf, monkeypatch):
     import pytest
 

@@ -122,9 +122,9 @@ def test_merge_redact_and_mask(spark):
 def test_fields_tables_records(spark):
     docs = spark.createDataFrame([(1, "Invoice No: A-1\nDate: 1/2/2024\nInvoice date: 3/2/2024\nsite https://x.example\nTotal: $1,234.5\nTotal: $9\n\na;b\nc;d\nNot, really. A table.")], "doc_id long, text string")
     lines = extract.explode_lines(docs)
-    got = {r["name"]: r["value"] for r in extract.class_fields(lines, "invoice").collect()}
+    got = {r["name"]: r["value"] for r in extract.class_fields(docs, "invoice").collect()}
     assert got == {"invoice_number": "A-1", "invoice_date": "3/2/2024", "total": "$1,234.5"}
-    pairs = {r["name"] for r in extract.key_values(lines).collect()}
+    pairs = {r["name"] for r in extract.key_values(docs).collect()}
     assert pairs == {"Invoice No", "Date", "Invoice date", "Total", "site https"} or pairs == {"Invoice No", "Date", "Invoice date", "Total"}
     assert [r["values"] for r in extract.tables(docs).orderBy("row_index").collect()] == [{"column_1": "a", "column_2": "b"}, {"column_1": "c", "column_2": "d"}]
     assert layout.distinct_names(["Name", "name", "column_3"]) == ["Name", "name_2", "column_3"]

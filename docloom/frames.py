@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -28,6 +29,13 @@ def plain_rows(frame: pd.DataFrame) -> Iterator[tuple]:
     return zip(*[c.astype(object).where(c.notna(), None) for c in columns])
 
 
+def give_back() -> None:
+    """Return memory that a task no longer uses to the system, as a worker lives on and shares its machine with others."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def map_frames(rows: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame | list[tuple]]], schema: str) -> DataFrame:
     """``mapInPandas`` whose integer columns stay integers beside nulls, whatever their size.
 
@@ -45,5 +53,6 @@ def map_frames(rows: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator
                 yield pa.RecordBatch.from_arrays(columns, schema=made)
             else:
                 yield from pa.Table.from_pandas(out, schema=made, preserve_index=False).combine_chunks().to_batches()
+        give_back()
 
     return rows.mapInArrow(over, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.frames import map_frames
+from docloom.operators.ordered import walk
 from docloom.sources.files import arrow_uri, opened
 
 
@@ -98,17 +100,20 @@ def tokens_to_text(tokens: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.array_join(F.transform(whole, lambda x: x["t"]), "\n").alias("text"))
 
 
-def grid_of(tokens: pd.DataFrame) -> list[str]:
+Token = namedtuple("Token", "left top width height text")
+
+
+def grid_of(tokens: list[Token]) -> list[str]:
     """Lines of tab-separated cells: tokens of one baseline are a line, a wide gap parts cells, and cells stand under anchors."""
     rows: list[list] = []
-    for t in tokens.sort_values(["top", "left"]).itertuples():
+    for t in sorted(tokens, key=lambda t: (t.top, t.left)):
         middle = t.top + t.height / 2
         row = next((r for r in rows if abs(r[0] - middle) <= t.height * 0.6), None)
         if row is None:
             rows.append([middle, [t]])
         else:
             row[1].append(t)
-    widths = [t.width / len(t.text) for t in tokens.itertuples() if t.text]
+    widths = [t.width / len(t.text) for t in tokens if t.text]
     gap = max(18.0, 3.5 * sorted(widths)[len(widths) // 2]) if widths else 18.0
     cells = []
     for _, row in sorted(rows, key=lambda r: r[0]):
@@ -137,13 +142,19 @@ def grid_of(tokens: pd.DataFrame) -> list[str]:
 
 
 def tokens_to_grid(tokens: DataFrame) -> DataFrame:
-    """Rows (doc_id, page, row, text) of the tokens of a page, laid out as a grid."""
+    """Rows (doc_id, page, row, text) of the tokens of a page, laid out as a grid; a task holds the tokens of one page."""
+
+    def step(page: list[Token], row: tuple) -> tuple[list[Token], list[tuple]]:
+        token = Token(*row[2:])
+        if token.text and token.text.strip():
+            page.append(token)
+        return page, []
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        lines = grid_of(rows[rows["text"].str.strip() != ""])
-        return pd.DataFrame({"doc_id": rows["doc_id"].iloc[0], "page": rows["page"].iloc[0], "row": range(1, len(lines) + 1), "text": lines})
+    def end(page: list[Token], row: tuple) -> list[tuple]:
+        return [(row[0], row[1], n, line) for n, line in enumerate(grid_of(page), 1)]
 
-    return tokens.groupBy("doc_id", "page").applyInPandas(run, "doc_id long, page int, row int, text string")
+    rows = tokens.select("doc_id", "page", "left", "top", "width", "height", "text")
+    return walk(rows, ["doc_id", "page"], ["top", "left", "text"], list, step, "doc_id long, page int, row int, text string", end)
 
 
 def best_pass(tokens: DataFrame) -> DataFrame:

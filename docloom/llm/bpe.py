@@ -24,7 +24,7 @@ PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\
 USUAL = re.compile(r" ?[^\W\d_]++|'(?:[sdmt]|ll|ve|re)| ?\d++| ?(?:[^\s\w]|_)++|\s+(?!\S)|\s++")
 ODD = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and not c.isalpha()) | frozenset("\x1c\x1d\x1e\x1f")
 #: Words and pairs that a worker remembers; beyond, it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 #: Words up to this length are merged side by side.
 SIDE_BY_SIDE = 32
 UNSET = 1 << 30

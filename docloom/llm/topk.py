@@ -133,11 +133,14 @@ def visits(packs: DataFrame, pages: DataFrame, width: int) -> DataFrame:
     """Rows (page, pack): the pages of which a block's bound reaches what some query of the pack needs.
 
     A pack meets the summaries of the pages, CHUNK of them in a row; no forward index takes part.
+    Of many packs, CHUNK in a group meet a copy of the row, so no task gets all packs of a chunk.
     """
-    chunks = max(1, -(-pages.count() // CHUNK))
+    chunks, groups = max(1, -(-pages.count() // CHUNK)), max(1, -(-packs.count() // CHUNK))
     at = F.pmod(F.xxhash64("n"), F.lit(chunks)).cast("int")
     parts = pages.groupBy(at.alias("chunk")).agg(F.collect_list(F.struct("n", "low", "high", "centre", "radius")).alias("p"))
-    met = packs.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).join(parts, "chunk")
+    parts = parts.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    each = packs.withColumn("group", F.pmod(F.xxhash64("n"), F.lit(groups)).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    met = each.join(parts, ["chunk", "group"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -21,7 +21,7 @@ HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y",
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 #: Zero-width characters that hide a word.
 DROPPED = ["​", "‌", "‍", "⁠", "­", "﻿"]
-FOLD = str.maketrans(HOMOGLYPHS | SUBSTITUTES | dict.fromkeys(DROPPED, ""))
+FOLD = HOMOGLYPHS | SUBSTITUTES | dict.fromkeys(DROPPED, "")
 #: The lexicon is fitted on this many labelled documents at most, those with the smallest hash of their id.
 LABELLED_ROWS = 20_000
 STEMS = range(3, 10)
@@ -33,7 +33,10 @@ TOXIC_AT = 0.7
 
 
 def fold(text: str) -> str:
-    return text.lower().translate(FOLD)
+    text = text.lower()
+    for sign in FOLD.keys() & set(text):  # few signs are there; what they become is none of them
+        text = text.replace(sign, FOLD[sign])
+    return text
 
 
 def folded_words(text: str) -> list[str]:
@@ -58,9 +61,9 @@ class Lexicon:
         if self.found is None:
             self.found = ahocorasick.Automaton()
             for stem, weight in self.weights.items():
-                self.found.add_word(stem, (len(stem), weight))
+                self.found.add_word(f" {stem}", (len(stem), weight))
             for phrase in self.exceptions:
-                self.found.add_word(phrase, (len(phrase), 0.0))
+                self.found.add_word(f" {phrase}", (len(phrase), 0.0))
             self.found.make_automaton()
         return self.found
 
@@ -69,8 +72,8 @@ class Lexicon:
         if not self.weights:
             return []
         folded = " ".join(folded_words(text))
-        found = [(e + 1 - n, e + 1, w) for e, (n, w) in self._automaton().iter(folded)]
-        found = [x for x in found if not x[0] or folded[x[0] - 1] == " "]
+        # every entry begins with the blank before its word, so nothing inside a word matches
+        found = [(e - n, e, w) for e, (n, w) in self._automaton().iter(f" {folded}")]
         out, reach = [], 0
         # in order of their starts, phrases before words, so what is safe up to a start is its farthest end so far
         for start, end, weight in sorted(found, key=lambda x: (x[0], x[2] != 0.0)):

@@ -35,3 +35,16 @@ def test_nothing_is_shuffled(spark):
     again = X.review_status(X.key_values(docs, all_values=True)).select("norm", "status", "value", "candidates")
     assert again.exceptAll(X.document_review(docs).select("norm", "status", "value", "candidates")).count() == 0
     assert X.key_values(docs).where(F.col("doc_id") == 2).count() == 0
+
+
+def test_letters_that_a_signal_needs():
+    assert [X.literal_in(p) for p in (r"\binvoice\b", r"\binv(?:oice)?\s*(?:no\.?|number|#)", r"\b(?:kyc|know\s+your)\b", r"(?m)^\s*to\s*[:\-]", r"driver'?s\s+licen[cs]e", r"ab?c", "a|b", r"\bdue\s+date\b", "x(a(b|c))yz")] == ["invoice", "inv", "", "to", "driver", "a", "", "date", "yz"]
+
+
+def test_signals_match_where_their_letters_are():
+    import re
+
+    texts = ["an invoice, invoice no 5, due date today", "purchase order, vendor x", "know your customer kyc", "to: a\nfrom: b\nsubject: c", "driver's license and passport", "amount due", ""]
+    for signals, alone in X.SIGNALS.values():
+        for p in [*signals, *([alone] if alone else [])]:
+            assert all(X.literal_in(p) in t for t in texts if re.search(p, t)), p

@@ -10,11 +10,36 @@ from pyspark.sql import functions as F
 from docloom.functions import billing as B
 
 DAY = 86_400
-#: Credits of a feature on the free plan and on paid ones, and factors of batches.
-USAGE_COSTS = {"click": (1, 0), "view": (0, 1), "purchase": (3, 5), "signup": (2, 2), "error": (4, 5)}
+# Credits of a feature without a plan, credits of a feature on a paid plan (others cost none there), factors of batches by plan.
+FREE_CREDITS = {
+    "convert": 1, "generate_questions": 2, "generate_answers": 2, "transcribe": 3, "text_to_speech": 3, "vault": 1, "redact": 2, "data_mask": 2, "compliance": 4,
+    "structured_extract": 3, "e_signature": 2, "edit_pdf": 1, "combine_pdf": 1, "compress_pdf": 1, "lock_pdf": 1, "split_pdf": 1,
+}
+PAID_CREDITS = {
+    "summarize": 1, "explain": 1, "translate": 1, "grammar_correct": 1, "generate_questions": 3, "generate_answers": 3, "transcribe": 5, "text_to_speech": 5,
+    "redact": 2, "data_mask": 2, "compliance": 5, "structured_extract": 4,
+}
 BATCH_FACTORS = {"personal": 10, "business": 25, "enterprise": 50}
 
 
+def usage_cost(requests: DataFrame, free: dict[str, int] = FREE_CREDITS, paid: dict[str, int] = PAID_CREDITS, factors: dict[str, int] = BATCH_FACTORS) -> DataFrame:
+    """Requests (.., feature, plan, batch, light, auxiliary) with ``counted`` and ``credits``, what they count against a total and a heavy quota.
+
+    An auxiliary request is free. Without a plan a light one counts once, another as much as its
+    feature costs, one if it is not listed. On a plan only listed features cost, and more in a batch.
+    The cost tables are broadcast, a row per feature or plan.
+    """
+    spark = requests.sparkSession
+    costs = spark.createDataFrame([(k, free.get(k), paid.get(k)) for k in sorted(free.keys() | paid.keys())], "feature string, _free int, _paid int")
+    plans = spark.createDataFrame(sorted(factors.items()), "plan string, _factor int")
+    rows = requests.join(F.broadcast(costs), "feature", "left").join(F.broadcast(plans), "plan", "left")
+    own = F.coalesce("_free", F.lit(1))
+    by_plan = F.coalesce("_paid", F.lit(0)) * F.when(F.col("batch"), F.coalesce("_factor", F.lit(1))).otherwise(1)
+    credits = F.when(F.col("auxiliary"), 0).when(F.col("plan").isNotNull(), by_plan).when(F.col("light"), 0).otherwise(own)
+    counted = F.when(F.col("auxiliary"), 0).when(F.col("plan").isNull() & F.col("light"), 1).otherwise(credits)
+    return rows.select(*requests.columns, counted.alias("counted"), credits.alias("credits"))
+
+
 def plan_rank() -> Column:
     return F.when(F.col("plan") == "enterprise", 3).when(F.col("plan") == "business", 2).otherwise(1)
 

@@ -18,7 +18,7 @@ def role_rank() -> Column:
 
 
 def batch_enrich(parents: DataFrame, children: DataFrame, key: str, fields: list[str], name: str) -> DataFrame:
-    """Parents with an ordered array of their children's fields, empty where there are none."""
+    """Parents with an ordered array of their children's fields, empty where there are none. For children that a row of their parent can hold, as attachments of a message; others are joined as rows."""
     rows = children.groupBy(F.col(key).alias("_key")).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
     return parents.join(rows, parents["id"] == rows["_key"], "left").drop("_key").withColumn(name, F.coalesce(name, F.array()))
 
@@ -55,7 +55,7 @@ def unread_counts(messages: DataFrame, members: DataFrame, read_state: DataFrame
 
 
 def members_json(members: DataFrame) -> DataFrame:
-    """Organisation members as an ordered JSON array: by role, then by age."""
+    """Organisation members as an ordered JSON array: by role, then by age. An organisation is one row, so it must have no more members than a row can hold; ``organization_members`` themselves are the form without that limit."""
     s = F.struct(role_rank().alias("rank"), "created_s", "id", "user_id", "role")
     rows = members.where("status <> 'removed'").groupBy("organization_id").agg(F.sort_array(F.collect_list(s)).alias("m"))
     line = F.transform("m", lambda x: F.concat_ws(":", x["user_id"].cast("string"), x["role"]))

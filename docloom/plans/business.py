@@ -48,19 +48,30 @@ G.add("e7_restore_deadline", "subscriptions clock", lambda s, c: clocked(s, c).s
 G.add("e8_tombstone_id", "customer", lambda c: c.select("c_custkey", B.tombstone(F.col("c_custkey")).alias("name")), "SELECT c_custkey, 'deleted:' || substr(sha256(CAST(c_custkey AS VARCHAR)), 1, 32) AS name FROM customer")
 
 
-def usage_cost(events: DataFrame) -> DataFrame:
-    costs = events.sparkSession.createDataFrame([(k, f, p) for k, (f, p) in O.USAGE_COSTS.items()], "event_type string, free_cost int, paid_cost int")
-    factor = F.when(F.col("event_id") % 10 == 0, F.element_at(F.create_map(*[F.lit(x) for kv in O.BATCH_FACTORS.items() for x in kv]), F.element_at(F.array(F.lit("personal"), F.lit("business"), F.lit("enterprise")), (F.col("user_id") % 3 + 1).cast("int")))).otherwise(1)
-    paid = F.col("user_id") % 2 == 0
-    rows = events.join(F.broadcast(costs), "event_type", "left")
-    cost = F.when(paid, F.coalesce("paid_cost", F.lit(0)) * factor).otherwise(F.coalesce("free_cost", F.lit(1)))
-    return rows.groupBy("user_id").agg(F.sum(cost).alias("credits"))
-
-
-CASES = lambda i: " ".join(f"WHEN '{k}' THEN {v[i]}" for k, v in O.USAGE_COSTS.items())
-G.add("e9_usage_cost", "events", usage_cost,
-      f"""SELECT user_id, CAST(sum(CASE WHEN user_id % 2 = 0 THEN CASE event_type {CASES(1)} ELSE 0 END * CASE WHEN event_id % 10 = 0 THEN CASE user_id % 3 WHEN 0 THEN 10 WHEN 1 THEN 25 ELSE 50 END ELSE 1 END
-      ELSE CASE event_type {CASES(0)} ELSE 1 END END) AS BIGINT) AS credits FROM events GROUP BY 1""")
+FEATURES = sorted(O.FREE_CREDITS.keys() | O.PAID_CREDITS.keys() | {"pin"})
+
+
+def requests(events: DataFrame) -> DataFrame:
+    """Events as requests for features, half of them on a plan, some in batches, light or auxiliary."""
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    i, user = F.col("event_id"), F.col("user_id")
+    plan = F.when(user % 2 == 0, pick(list(O.BATCH_FACTORS), user))
+    return events.select("event_id", "user_id", pick(FEATURES, i * 7).alias("feature"), plan.alias("plan"), (i % 10 == 0).alias("batch"), (i % 6 == 1).alias("light"), (i % 11 == 2).alias("auxiliary"))
+
+
+def _listed(values) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in values) + "]"
+
+
+def _told(costs: dict[str, int], of: str, other: int) -> str:
+    return f"CASE {of} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in costs.items()) + f" ELSE {other} END"
+
+
+REQUESTS_SQL = f"""SELECT user_id, {_listed(FEATURES)}[CAST(event_id * 7 % {len(FEATURES)} + 1 AS INTEGER)] AS feature, CASE WHEN user_id % 2 = 0 THEN {_listed(O.BATCH_FACTORS)}[CAST(user_id % 3 + 1 AS INTEGER)] END AS plan,
+      event_id % 10 = 0 AS batch, event_id % 6 = 1 AS light, event_id % 11 = 2 AS auxiliary FROM events"""
+G.add("e9_usage_cost", "events", lambda e: O.usage_cost(requests(e)).groupBy("user_id").agg(F.sum("counted").alias("counted"), F.sum("credits").alias("credits")),
+      f"""SELECT user_id, CAST(sum(CASE WHEN auxiliary THEN 0 WHEN plan IS NULL AND light THEN 1 ELSE c END) AS BIGINT) AS counted, CAST(sum(c) AS BIGINT) AS credits FROM (SELECT *, CASE WHEN auxiliary THEN 0
+      WHEN plan IS NOT NULL THEN {_told(O.PAID_CREDITS, "feature", 0)} * CASE WHEN batch THEN {_told(O.BATCH_FACTORS, "plan", 1)} ELSE 1 END WHEN light THEN 0 ELSE {_told(O.FREE_CREDITS, "feature", 1)} END AS c FROM ({REQUESTS_SQL})) GROUP BY 1""")
 G.add("e10_backoff_seconds", "outbox", lambda o: o.select("id", B.backoff_seconds(F.col("attempts") * 2).alias("delay_s"), B.push_backoff_seconds(F.col("attempts")).alias("push_s")),
       "SELECT id, CAST(least(pow(2, least(greatest(attempts * 2 - 1, 0), 8)), 300) AS BIGINT) AS delay_s, CAST(least(3600, 30 * pow(2, least(attempts, 7))) AS BIGINT) AS push_s FROM outbox")
 G.add("e11_word_count", "documents", lambda d: d.select("doc_id", F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("words")), r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS INTEGER) AS words FROM documents")

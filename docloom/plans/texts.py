@@ -30,10 +30,18 @@ def pairs(d: DataFrame) -> DataFrame:
     return d.select("doc_id", F.col("text").alias("source"), changed().alias("output"))
 
 
-G.add("q1_source_units", "documents", lambda d: Q.pieces(d, Q.source_units).groupBy("doc_id").agg(F.sum(F.length("piece")).alias("characters")), "SELECT doc_id, length(text) AS characters FROM documents WHERE text <> ''")
+def whole(pieces: DataFrame, words: int, chars: int) -> DataFrame:
+    """The digest of a document's pieces put together again, and whether each is within its bounds."""
+    parts = F.array_sort(F.collect_list(F.struct("n", "piece")))
+    fits = F.max((Q.words_of(F.col("piece")) > words) | (F.length("piece") > chars))
+    return pieces.groupBy("doc_id").agg(F.sha2(F.array_join(F.transform(parts, lambda x: x["piece"]), ""), 256).alias("digest"), (~fits).alias("bounded"))
+
+
+G.add("q1_source_units", "documents", lambda d: whole(Q.pieces(d, Q.source_units), Q.UNIT_WORDS, Q.UNIT_CHARS), "SELECT doc_id, sha256(text) AS digest, true AS bounded FROM documents WHERE text <> ''")
 G.add("q2_pack_units", "documents", lambda d: Q.pack_units(Q.pieces(d, lambda t: Q.source_units(t, 60, 400)), 200, 1_500))
-G.add("q3_partition_exact", "documents", lambda d: Q.pieces(d, lambda t: Q.partition_exact(t, 500)).groupBy("doc_id").agg(F.sum(F.length("piece")).alias("characters"), (F.max(F.length("piece")) <= 500).alias("bounded")), "SELECT doc_id, length(text) AS characters, true AS bounded FROM documents")
-G.add("q4_protected_values", "pages", lambda p: Q.protected_values(p, "page_id", "url"), r"SELECT page_id, regexp_replace(url, '[.,;]+$', '') AS value, 1 AS n FROM pages")
+G.add("q3_partition_exact", "documents", lambda d: whole(Q.pieces(d, lambda t: Q.partition_exact(t, 500)), 500, 500), "SELECT doc_id, sha256(text) AS digest, true AS bounded FROM documents")
+G.add("q4_protected_values", "documents", lambda d: Q.protected_values(d, "doc_id", "text"),
+      rf"SELECT doc_id, regexp_replace(v, '[.,;]+$', '') AS value, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{Q.PROTECTED[1:-1]}')) AS v FROM documents) GROUP BY 1, 2")
 G.add("q5_grammar_gate", "documents", lambda d: Q.grammar_gate(pairs(d)),
       rf"""SELECT doc_id, CASE WHEN trim(o) = '' THEN 'empty' WHEN contains(o, '```') AND NOT contains(text, '```') THEN 'fence' WHEN list_sort(v) <> list_sort(w) THEN 'protected' WHEN n > 25 AND m < n * 0.65 THEN 'omitted' END AS reason FROM (SELECT doc_id, text, o, list_transform(regexp_extract_all(text, '{Q.PROTECTED}', 1), lambda x: regexp_replace(x, '[.,;]+$', '')) AS v, list_transform(regexp_extract_all(o, '{Q.PROTECTED}', 1), lambda x: regexp_replace(x, '[.,;]+$', '')) AS w,
       len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS n, len(list_filter(regexp_split_to_array(o, '\s+'), lambda x: x <> '')) AS m FROM (SELECT *, {CHANGED} AS o FROM documents))""")

@@ -40,16 +40,34 @@ def confidence(top: Column, second: Column, signals: Column) -> Column:
     return F.when(top <= 0, 0.2).otherwise(F.least(F.lit(0.99), 0.48 + 0.30 * F.least(F.lit(1.0), top / 20) + 0.17 * margin + 0.05 * F.least(F.lit(1.0), signals / 5)))
 
 
+#: A type of documents: its name, strong phrases, supporting phrases and, if it has its own, phrases of file names.
+Type = tuple[str, list[str], list[str]] | tuple[str, list[str], list[str], list[str]]
+
+
+def types_of(table: DataFrame) -> list[Type]:
+    """Types of a table (name, priority, role, phrase) of a user, of bounded size: roles are strong, support and named.
+
+    Phrases are squeezed as texts are. A type without phrases of file names has its name and its strong ones.
+    """
+    found: dict[tuple, dict[str, list[str]]] = {}
+    for r in table.select("priority", "name", "role", "phrase").collect():
+        if phrase := squeeze(r["phrase"] or ""):
+            found.setdefault((r["priority"], r["name"]), {}).setdefault(r["role"], []).append(phrase)
+    of = lambda roles, role: sorted(roles.get(role, []))
+    return [(name, of(roles, "strong"), of(roles, "support"), *([of(roles, "named")] if "named" in roles else [])) for (_, name), roles in sorted(found.items())]
+
+
 class TypeScores:
     """Scores of document types by the phrases that a text and its file name have, all looked for in one pass."""
 
     STRONG, SUPPORT, NAMED, EXTRA = "strong", "support", "named", "extra"
 
-    def __init__(self, types: list[tuple[str, list[str], list[str]]]):
-        self.types = types
-        self.roles: dict[str, list[tuple[int | str, object]]] = {}
-        for rank, (name, strong, support) in enumerate(types):
-            for role, phrases in ((self.STRONG, strong), (self.SUPPORT, support), (self.NAMED, [name.replace("_", " "), *strong])):
+    def __init__(self, types: list[Type]):
+        self.names = [name for name, *_ in types]
+        self.roles: dict[str, list[tuple[str, int]]] = {}
+        for rank, (name, strong, support, *named) in enumerate(types):
+            of_files = named[0] if named else [name.replace("_", " "), *strong]
+            for role, phrases in ((self.STRONG, strong), (self.SUPPORT, support), (self.NAMED, of_files)):
                 for p in dict.fromkeys(phrases):
                     self.roles.setdefault(p, []).append((role, rank))
         for n, phrases in enumerate([*CERTIFICATE, *VETOES.values()]):
@@ -76,21 +94,21 @@ class TypeScores:
         certified = all(counts[self.EXTRA, n] for n in range(len(CERTIFICATE)))
         vetoed = {name for n, name in enumerate(VETOES, len(CERTIFICATE)) if counts[self.EXTRA, n]}
         scores = []
-        for rank, (name, _, _) in enumerate(self.types):
+        for rank, name in enumerate(self.names):
             s, p, f = (counts[role, rank] for role in (self.STRONG, self.SUPPORT, self.NAMED))
             enough = s > 0 or name == "correspondence" and p >= 2 or name == "academic_certificate" and certified
             if enough and name not in vetoed:
                 scores.append((6.0 * min(s, 4) + 1.75 * min(p, 7) + min(f, 2), s + p + f, -rank, name))
-        scores = sorted(scores, reverse=True) + [(0.0, 0, 0, self.types[0][0])] * 2
+        scores = sorted(scores, reverse=True) + [(0.0, 0, 0, self.names[0])] * 2
         (top, signals, _, name), (second, *_) = scores[:2]
         return name, top, second, signals
 
 
-def privacy_type(docs: DataFrame, types: list[tuple[str, list[str], list[str]]] | None = None) -> DataFrame:
+def privacy_type(docs: DataFrame, types: list[Type] | None = None) -> DataFrame:
     """Type and confidence of rows (doc_id, text, filename): phrases score, strong ones are needed, and a close second is a draw.
 
     A text is folded and read once, whatever the number of phrases. A type's file name phrases are
-    its own name and its strong phrases. Of equal scores and signals the earlier type wins. A null text is an empty one.
+    its own name and its strong phrases, unless it brings some. Of equal scores and signals the earlier type wins. A null text is an empty one.
     """
     scores = TypeScores(types or PRIVACY_TYPES)
 

@@ -198,5 +198,9 @@ def test_privacy_types(spark):
     assert got[100] == "academic_certificate" and got[101] == "general_document"
     own = classify.privacy_type(made, [("toy", ["gizmo"], ["plain"])])
     assert {r["doc_id"]: r["document_type"] for r in own.collect()}[101] == "toy"
+    table = spark.createDataFrame([("toy", 2, "strong", "Gizmo!"), ("toy", 2, "named", "toy list"), ("toy", 2, "support", "plain"), ("tool", 1, "strong", "hammer"), ("tool", 1, "strong", "  ")], "name string, priority int, role string, phrase string")
+    assert classify.types_of(table) == [("tool", ["hammer"], []), ("toy", ["gizmo"], ["plain"], ["toy list"])]
+    files = spark.createDataFrame([(1, "a gizmo", "toy_list.pdf"), (2, "a gizmo", "gizmo.pdf"), (3, "x", "hammer.pdf")], "doc_id long, text string, filename string")
+    assert {r["doc_id"]: (r["document_type"], round(r["confidence"], 4)) for r in classify.privacy_type(files, classify.types_of(table)).collect()} == {1: ("toy", 0.775), 2: ("toy", 0.75), 3: ("general_document", 0.2)}
     langs = classify.section_languages(spark.createDataFrame([(1, "a\nb")], "doc_id long, text string"), lambda s: {"en": 0.9, "fr": 0.1} if s == "a" else {"de": 0.5, "fr": 0.5})
     assert langs.select(F.array_join("languages", ",").alias("x")).first()["x"] == "en"

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from docloom.llm import common, jaccard, simhash
 from pyspark.sql import functions as F
 
@@ -118,3 +119,18 @@ def test_components_against_brute_force(spark):
     got = common.components(spark.createDataFrame(pairs, "a long, b long"), common.Scratch(spark, "random"))
     nodes = {x for a, b in pairs if a != b for x in (a, b)}
     assert {r["node"]: r["component"] for r in got.collect()} == {x: least[x] for x in nodes}
+
+
+def test_signs_never_part_similar_sets(spark):
+    """Folded sketches allow every pair that the sketches themselves allow, and rule out pairs that are far apart."""
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(-(2**63), 2**63, 400))
+    sets = [np.unique(np.concatenate((base[rng.permutation(len(base))[: len(base) - k]], rng.integers(-(2**63), 2**63, k)))) for k in (0, 10, 20, 40, 80, 160) for _ in range(4)]
+    sets += [np.unique(rng.integers(-(2**63), 2**63, n)) for n in (1, 5, 70, 130)]
+    rows = [(i, len(s), bytearray(jaccard.sketch(s))) for i, s in enumerate(sets)]
+    about = spark.createDataFrame(rows, "fp long, n int, sketch binary")
+    live = about.select(F.lit(1).cast("long").alias("key"), "fp", "n", F.lit(0).alias("pos"), F.col("fp").alias("of")).join(jaccard.signs(about), "fp")
+    got = {tuple(r) for r in jaccard.paired(live, (4, 5), signed=True).collect()}
+    every = {tuple(r) for r in jaccard.paired(live, (4, 5)).collect()}
+    similar = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))}
+    assert similar and similar <= got < every

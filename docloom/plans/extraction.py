@@ -91,11 +91,10 @@ G.add("x17_row_fingerprint", "record_text", lambda d: X.tables(d).select("doc_id
 def bags(d: DataFrame) -> DataFrame:
     """Line items and the tables' own rows, first rows twice, beside the tables: what is left over one for one."""
     rows = X.tables(d)
-    own = rows.unionByName(rows.where("row_index = 1")).select("doc_id", "line_number", "values")
+    own = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.when(F.col("row_index") == 1, 2).otherwise(1)))).select("doc_id", "line_number", "values")
     return X.bag_merge(rows, X.typed_rows(lines(d), "line_item").drop("record_type").unionByName(own))
 
 
-
 LINE_ITEMS = f"SELECT doc_id, line_number, regexp_extract(line, {ITEM}, 1) AS description, regexp_extract(line, {ITEM}, 2) AS quantity, regexp_extract(line, {ITEM}, 3) AS unit_price, regexp_extract(line, {ITEM}, 4) AS amount FROM ({LINES}) WHERE regexp_matches(line, {ITEM})"
 G.add("x18_bag_merge_rows", "record_text", lambda d: bags(d).select("doc_id", "line_number", text().alias("record")),
       f"SELECT doc_id, line_number, 'amount=' || amount || ';description=' || description || ';quantity=' || quantity || ';unit_price=' || unit_price AS record FROM ({LINE_ITEMS}) UNION ALL SELECT doc_id, line_number, {RECORD} FROM ({CELLS}) WHERE row_index = 1")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.sources.tables import TEXTS, load, spread, with_sql
+from docloom.sources.tables import TEXTS, load, with_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,7 +21,7 @@ class Group:
         names = tables.split()
 
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return make(*[spread(load(spark, sf_dir, t)) if t in TEXTS else load(spark, sf_dir, t) for t in names])
+            return make(*[load(spark, sf_dir, t, deal=t in TEXTS) for t in names])
 
         self.queries[name] = query
         if sql:

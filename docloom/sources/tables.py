@@ -63,13 +63,14 @@ DERIVED = {
 NEEDS = {"read_state": ["conversation_members"], "calls": ["messages"], "call_participants": ["calls", "conversation_members"]}
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table, or a derived one."""
+def load(spark: SparkSession, sf_dir: str, name: str, deal: bool = False) -> DataFrame:
+    """A base table, or a derived one; to ``deal`` it out is to deal out the rows that it is made of, which are shorter."""
     if name in BASE:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spread(rows) if deal else rows
     text = _seconds(DERIVED[name], "unix_seconds(CAST({} AS TIMESTAMP))").replace("SHA256(", "sha2_256(")
     text = _calls(text, "sha2_256", "sha2({}, 256)")
-    used = {t: load(spark, sf_dir, t) for t in [*BASE, *DERIVED] if t != name and _reads(text, t)}
+    used = {t: load(spark, sf_dir, t, deal) for t in [*BASE, *DERIVED] if t != name and _reads(text, t)}
     for t in sorted(used, key=len, reverse=True):
         text = _rename(text, t, "{" + t + "}")
     return spark.sql(text, **used)

@@ -46,7 +46,7 @@ G.add("q5_grammar_gate", "documents", lambda d: Q.grammar_gate(pairs(d)),
       rf"""SELECT doc_id, CASE WHEN trim(o) = '' THEN 'empty' WHEN contains(o, '```') AND NOT contains(text, '```') THEN 'fence' WHEN list_sort(v) <> list_sort(w) THEN 'protected' WHEN n > 25 AND m < n * 0.65 THEN 'omitted' END AS reason FROM (SELECT doc_id, text, o, list_transform(regexp_extract_all(text, '{Q.PROTECTED}', 1), lambda x: regexp_replace(x, '[.,;]+$', '')) AS v, list_transform(regexp_extract_all(o, '{Q.PROTECTED}', 1), lambda x: regexp_replace(x, '[.,;]+$', '')) AS w,
       len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS n, len(list_filter(regexp_split_to_array(o, '\s+'), lambda x: x <> '')) AS m FROM (SELECT *, {CHANGED} AS o FROM documents))""")
 G.add("q6_summary_gate", "documents", lambda d: pairs(d).select("doc_id", Q.summary_gate(F.col("source"), F.col("output")).alias("fine")), f"SELECT doc_id, NOT (length(text) > 400 AND length({CHANGED}) >= length(text) * 0.95) AS fine FROM documents")
-G.add("q7_protected_tokens_missing", "documents", lambda d: Q.per_pair(pairs(d), lambda s, o: sum((Q.protected_tokens(s) - Q.protected_tokens(o)).values()), "missing int"))
+G.add("q7_protected_tokens_missing", "documents", lambda d: Q.per_pair(pairs(d), Q.missing_tokens, "missing int"))
 G.add("q8_target_script_gate", "documents", lambda d: Q.per_pair(pairs(d), lambda s, o: Q.script_gate(s, o, "ru"), "reason string"))
 G.add("q9_chinese_orthography_gate", "documents", lambda d: d.select("doc_id", Q.orthography_gate(F.concat("text", F.when(F.col("doc_id") % 3 == 0, "們這國").otherwise("们")), "zh-Hans").alias("fine")), "SELECT doc_id, doc_id % 3 <> 0 AS fine FROM documents")
 

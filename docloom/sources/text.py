@@ -10,8 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.frames import map_frames
-from docloom.operators.ordered import walk
+from docloom.frames import map_frames, plain_rows
 from docloom.sources.files import arrow_uri, opened
 
 
@@ -94,10 +93,12 @@ def html_visible_text(pages: DataFrame) -> DataFrame:
 
 def tokens_to_text(tokens: DataFrame) -> DataFrame:
     """Recognised tokens (doc_id, page, block, line, n, text) as text; another page, block or line breaks the line."""
-    line = F.sort_array(F.collect_list(F.struct("n", "text")))
-    lines = tokens.where("trim(text) <> ''").groupBy("doc_id", "page", "block", "line").agg(F.array_join(F.transform(line, lambda x: x["text"]), " ").alias("t"))
-    whole = F.sort_array(F.collect_list(F.struct("page", "block", "line", "t")))
-    return lines.groupBy("doc_id").agg(F.array_join(F.transform(whole, lambda x: x["t"]), "\n").alias("text"))
+    # gathered once by document: a task has the tokens of a document on end, so few rows are shuffled
+    whole = F.sort_array(F.collect_list(F.struct("page", "block", "line", "n", "text")))
+    docs = tokens.where("trim(text) <> ''").groupBy("doc_id").agg(whole.alias("_all"))
+    place = lambda x: F.struct(x["page"], x["block"], x["line"])
+    parts = F.transform("_all", lambda x, i: F.concat(F.when(i == 0, "").when(place(F.get("_all", i - 1)).eqNullSafe(place(x)), " ").otherwise("\n"), x["text"]))
+    return docs.select("doc_id", F.array_join(parts, "").alias("text"))
 
 
 Token = namedtuple("Token", "left top width height text")
@@ -144,17 +145,17 @@ def grid_of(tokens: list[Token]) -> list[str]:
 def tokens_to_grid(tokens: DataFrame) -> DataFrame:
     """Rows (doc_id, page, row, text) of the tokens of a page, laid out as a grid; a task holds the tokens of one page."""
 
-    def step(page: list[Token], row: tuple) -> tuple[list[Token], list[tuple]]:
-        token = Token(*row[2:])
-        if token.text and token.text.strip():
-            page.append(token)
-        return page, []
+    names = ["top", "left", "text", "width", "height"]
+    pages = tokens.where("text is not null").groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("_all"))
 
-    def end(page: list[Token], row: tuple) -> list[tuple]:
-        return [(row[0], row[1], n, line) for n, line in enumerate(grid_of(page), 1)]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
+        for b in batches:
+            for doc, page, top, left, text, width, height in plain_rows(b):
+                found = [Token(*t) for t in zip(left, top, width, height, text) if t[4].strip()]
+                yield [(doc, page, n, line) for n, line in enumerate(grid_of(found), 1)]
 
-    rows = tokens.select("doc_id", "page", "left", "top", "width", "height", "text")
-    return walk(rows, ["doc_id", "page"], ["top", "left", "text"], list, step, "doc_id long, page int, row int, text string", end)
+    rows = pages.select("doc_id", "page", *[F.col(f"_all.{name}") for name in names])
+    return map_frames(rows, run, "doc_id long, page int, row int, text string")
 
 
 def best_pass(tokens: DataFrame) -> DataFrame:

@@ -52,7 +52,10 @@ def parse_key_value(line: str) -> tuple[str, str] | None:
     if not parted:
         return None
     key, value = " ".join(parted[0].strip(":-–—|").split()), " ".join(parted[1].split())
-    if not value or len(key) > 70 or not any(map(str.isalnum, key)) or key.count(" ") > 10:
+    if not value or len(key) > 70 or not (key[:1].isalnum() or any(map(str.isalnum, key))) or key.count(" ") > 10:
         return None
     plain = line.strip()
-    return None if plain.startswith(BOUNDARIES) or _NO_KEY_VALUE.match(plain) else (key, value)
+    if plain[0] == "[" and plain.startswith(BOUNDARIES):
+        return None
+    # an address or a path has a slash behind a colon, a network address five colons
+    return None if (":/" in plain or ":\\" in plain or plain.count(":") > 4) and _NO_KEY_VALUE.match(plain) else (key, value)

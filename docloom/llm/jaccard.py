@@ -8,7 +8,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import Scratch, components, kept_columns, map_frames
@@ -27,6 +27,8 @@ FILTER_BITS = 2**24
 SKETCH_BITS, LEAST_BITS = 4, 256
 #: Places that sketches are folded to, to be compared inside a join.
 FOLDED = {"a": 256, "b": 1024}
+#: Buckets before a bucket of a set, in the order of shingles, by which a pair is seen to have met already.
+BEFORE = 8
 #: Rounds in which the sets of a bucket are held against two of them, before pairs are.
 ROUNDS = 2
 
@@ -191,14 +193,28 @@ def _signs_allow(x: str, y: str, least: tuple[int, int]) -> Column:
 
 
 def paired(live: DataFrame, least: tuple[int, int], signed: bool = False) -> DataFrame:
-    """Pairs (a, b) of the sets of a bucket that may be similar, of rows (key, fp, n, pos, of): those of equal ``of`` are connected already.
+    """Pairs (a, b) of the sets of a bucket that may be similar, of rows (key, fp, n, pos, of): those of equal ``of`` are connected already."""
+    return met_pairs(live, least, signed).distinct()
 
-    With signs in the rows, pairs whose folded sketches are too far apart don't leave the join.
+
+def met_pairs(live: DataFrame, least: tuple[int, int], signed: bool = False) -> DataFrame:
+    """The pairs as they leave the join, once for each bucket at most.
+
+    With signs in the rows, pairs whose folded sketches are too far apart don't leave it. Nor do, where rows
+    have ``before``, those that met in a bucket before: similar sets do meet in that of the first shingle that they share.
     """
     x, y = live.alias("x"), live.alias("y")
     meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.of") != F.col("y.of"))
+    meet = meet & _may_meet("x", "y", least)
     meet = meet & _signs_allow("x", "y", least) if signed else meet
-    return x.join(y, meet & _may_meet("x", "y", least)).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
+    meet = meet & ~F.arrays_overlap("x.before", "y.before") if "before" in live.columns else meet
+    return x.join(y, meet).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+
+
+def with_before(live: DataFrame) -> DataFrame:
+    """Rows of buckets with the keys of up to BEFORE buckets of the same set that stand before theirs in the order."""
+    ahead = Window.partitionBy("fp").orderBy("pos").rowsBetween(-BEFORE, -1)
+    return live.withColumn("before", F.collect_list("key").over(ahead))
 
 
 def starred(live: DataFrame, least: tuple[int, int], turn: int) -> DataFrame:
@@ -324,7 +340,7 @@ def links(rows: DataFrame, about: DataFrame, scratch: Scratch, width: int = WIDT
             pairs = starred(live, least, turn)
         else:
             told = signs(about.join(live.select("fp").distinct(), "fp", "left_semi"))
-            pairs = paired(scratch.write(live.join(told, "fp"), "signed"), least, signed=True)
+            pairs = paired(scratch.write(with_before(live).join(told, "fp"), "signed"), least, signed=True)
         found.connect(found.close(pairs))
         scratch.drop(live)
     return found.edges if found.edges is not None else about.where("false").select(F.col("fp").alias("a"), F.col("fp").alias("b"))

@@ -134,3 +134,20 @@ def test_signs_never_part_similar_sets(spark):
     every = {tuple(r) for r in jaccard.paired(live, (4, 5)).collect()}
     similar = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))}
     assert similar and similar <= got < every
+
+
+def test_a_pair_leaves_one_bucket_of_those_it_shares(spark):
+    """The pairs of large buckets are all there, and a pair that shares many shingles comes out of the first bucket alone."""
+    rng = np.random.default_rng(6)
+    base = np.unique(rng.integers(-(2**63), 2**63, 120))
+    sets = [np.unique(np.concatenate((base[rng.permutation(len(base))[:116]], rng.integers(-(2**63), 2**63, 4)))) for _ in range(12)]
+    about = spark.createDataFrame([(i, len(s), bytearray(jaccard.sketch(s))) for i, s in enumerate(sets)], "fp long, n int, sketch binary")
+    dealt = [(int(k), i, len(s), at, i) for i, s in enumerate(sets) for at, k in enumerate(s[: len(s) // 5 + 1])]
+    live = jaccard.with_before(spark.createDataFrame(dealt, "key long, fp long, n int, pos int, of long")).join(jaccard.signs(about), "fp")
+    rows = [tuple(r) for r in jaccard.met_pairs(live, (4, 5), signed=True).collect()]
+    every = {tuple(r) for r in jaccard.paired(live, (4, 5)).collect()}
+    similar = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))}
+    assert similar and similar <= set(rows) <= every
+    shared = sum(len({k for k, f, *_ in dealt if f == i} & {k for k, f, *_ in dealt if f == j}) for i, j in similar)
+    assert shared > 10 * len(similar)
+    assert len(rows) < 1.2 * len(set(rows))

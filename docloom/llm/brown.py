@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -80,20 +81,13 @@ def numbered_words(vocab: DataFrame, most: int = NUMBERED) -> tuple[pd.DataFrame
     return top.assign(word=[bytes(w) for w in top["word"]]).sort_values(["n", "word"], ascending=[False, True], ignore_index=True), least
 
 
-class Numbers(dict):
-    """Numbers of the frequent words; -1 for others."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
 _loaded: dict[str, object] = {}
 
 
-def _numbers(words_: list[bytes]) -> Numbers:
-    """The lookup table of a broadcast word list, built once per worker."""
+def _numbers(words_: list[bytes]) -> dict[bytes, int]:
+    """Numbers of the words of a broadcast list, and behind them the end's, built once per worker."""
     if _loaded.get("words") is not words_:
-        _loaded.update(words=words_, numbers=Numbers((w, i) for i, w in enumerate(words_)))
+        _loaded.update(words=words_, numbers={w: i for i, w in enumerate([*words_, END])})
     return _loaded["numbers"]
 
 
@@ -110,21 +104,30 @@ def number(rows: DataFrame, top: list[bytes]) -> DataFrame:
     shared, end = rows.sparkSession.sparkContext.broadcast(top), len(top)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        look = _numbers(shared.value).__getitem__
+        number_of = _numbers(shared.value).get
         for b in batches:
-            units, hashes, endings = [], [], []
+            flat, stops = [], []
             for t in b["text"]:
-                w = words(t)
-                ids = np.full(len(w) + 1, end, np.int32)
-                ids[:-1] = np.fromiter(map(look, w), np.int32, len(w))
-                rare = np.flatnonzero(ids < 0).tolist()
-                seen = dict.fromkeys(w[i] for i in rare)
-                at = {x: end + 1 + i for i, x in enumerate(seen)}
-                ids[rare] = [at[w[i]] for i in rare]
-                units.append(ids.tobytes())
-                hashes.append(np.array([xxhash.xxh64_intdigest(x, 42) for x in seen], np.uint64).view(np.int64))
-                endings.append(np.array([ending(x) for x in seen], np.int16).tobytes())
-            yield b.drop(columns="text").assign(units=units, h=hashes, e=endings)
+                flat += words(t)
+                flat.append(END)
+                stops.append(len(flat))
+            ids = np.fromiter(map(number_of, flat, repeat(-1)), np.int32, len(flat))
+            at = np.flatnonzero(ids < 0)
+            rare = [flat[i] for i in at.tolist()]
+            hashes = np.array([xxhash.xxh64_intdigest(x, 42) for x in rare], np.uint64).view(np.int64)
+            text = np.searchsorted(stops, at, side="right")
+            order = np.lexsort((hashes, text))
+            new = np.ones(len(at), bool)  # the first of its word in its text, in the order by text and hash
+            new[1:] = (np.diff(text[order]) != 0) | (np.diff(hashes[order]) != 0)
+            first = order[new]
+            bounds = np.searchsorted(text[first], np.arange(1, len(stops)))
+            begins = np.concatenate(([0], bounds))
+            place_ = np.empty(len(at), np.int64)
+            place_[order] = np.cumsum(new) - 1
+            ids[at] = end + 1 + place_ - begins[text]
+            endings = np.array([ending(rare[i]) for i in first.tolist()], np.int16)
+            units = [u.tobytes() for u in np.split(ids, stops[:-1])]
+            yield b.drop(columns="text").assign(units=units, h=np.split(hashes[first], bounds), e=[e.tobytes() for e in np.split(endings, bounds)])
 
     return map_frames(rows, run, kept_columns(rows, "text") + "units binary, h array<bigint>, e binary")
 
@@ -214,18 +217,32 @@ NEAR_BITS = 7
 NEAR = 1 << NEAR_BITS
 
 
+#: Keys below this, those of the most frequent words, are counted in an array of that size.
+COUNTED = 2**21
+
+
 class _Contexts:
     """Counts of contexts of a task, added up as they come."""
 
     def __init__(self):
-        self.keys, self.counts, self.raw, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+        self.keys, self.counts, self.raw, self.size, self.dense = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0, None
 
     def add(self, keys: np.ndarray) -> None:
         self.raw.append(keys)
         self.size += len(keys)
         if self.size > HELD:
-            self.merge(*np.unique(np.concatenate(self.raw), return_counts=True))
-            self.raw, self.size = [], 0
+            self._count()
+
+    def _count(self) -> None:
+        """Add up the raw keys: frequent words by their place, others by order."""
+        raw = np.concatenate([*self.raw, np.zeros(0, np.int64)])
+        self.raw, self.size = [], 0
+        often = (raw >= 0) & (raw < COUNTED)
+        if 4 * np.count_nonzero(often) > len(raw):
+            found = np.bincount(raw[often], minlength=COUNTED)
+            self.dense = found if self.dense is None else self.dense + found
+            raw = raw[~often]
+        self.merge(*np.unique(raw, return_counts=True))
 
     def merge(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.keys, at = np.unique(np.concatenate((self.keys, keys)), return_inverse=True)
@@ -233,7 +250,11 @@ class _Contexts:
 
     def dealt(self, slots: int) -> pd.DataFrame:
         """The counts as a row for each part that has some: words are dealt out by their key."""
-        self.merge(*np.unique(np.concatenate([*self.raw, np.zeros(0, np.int64)]), return_counts=True))
+        self._count()
+        if self.dense is not None:
+            at = np.flatnonzero(self.dense)
+            self.merge(at, self.dense[at])
+            self.dense = None
         slot = self.keys // NEAR % slots
         order = np.argsort(slot, kind="stable")
         has, starts = np.unique(slot[order], return_index=True)
@@ -241,8 +262,12 @@ class _Contexts:
         return pd.DataFrame({"slot": has, "keys": [self.keys[p].tobytes() for p in parts], "counts": [self.counts[p].tobytes() for p in parts]})
 
 
-def placed(near: DataFrame, n: np.ndarray, classes: int) -> DataFrame:
-    """Rows (word, class) of rows (slot, keys, counts): the counts of a word meet in its part, where its class is chosen."""
+def placed(near: DataFrame, n: np.ndarray, classes: int, steps: bool = False) -> DataFrame:
+    """Rows (word, class) of rows (slot, keys, counts): the counts of a word meet in its part, where its class is chosen.
+
+    With ``steps`` also rows (word, class, n) whose word is null: how often neighbours are of two classes,
+    a code of both, where the word has the class chosen and its neighbour had one already.
+    """
     k = classes + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -255,9 +280,33 @@ def placed(near: DataFrame, n: np.ndarray, classes: int) -> DataFrame:
             words_, row = np.unique(found.keys // NEAR, return_inverse=True)
             table_ = np.zeros((len(words_), 2 * k))
             table_[row, found.keys % NEAR] = found.counts
-            yield pd.DataFrame({"word": words_, "class": place(table_, n, classes).astype("int32")})
+            chosen = place(table_, n, classes)
+            yield pd.DataFrame({"word": pd.array(words_, "Int64"), "class": chosen.astype("int32")} | ({"n": pd.array([None] * len(words_), "Int64")} if steps else {}))
+            if steps:
+                by_class = np.zeros((k, 2 * k))
+                np.add.at(by_class, chosen, table_)
+                both = (by_class[:, :k].T + by_class[:, k:]).ravel().astype(np.int64)
+                at = np.flatnonzero(both)
+                yield pd.DataFrame({"word": pd.array([None] * len(at), "Int64"), "class": at.astype("int32"), "n": pd.array(both[at], "Int64")})
+
+    return map_frames(near.repartition("slot"), run, "word long, class int" + (", n long" if steps else ""))
+
+
+def rare_pairs(numbered: DataFrame, end: int) -> DataFrame:
+    """Rows (a, b, n): how often a rare word, told by its hash, stands before another one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            flat = _flat(b["units"], end)
+            hashes = [np.asarray(h, np.int64) for h in b["h"]]
+            starts = np.repeat(np.cumsum([0, *map(len, hashes)])[:-1], [len(u) // 4 for u in b["units"]])
+            rare = flat > end
+            at = np.flatnonzero(rare[:-1] & rare[1:])
+            joined = np.concatenate([*hashes, np.zeros(0, np.int64)])
+            of = lambda i: joined[starts[i - 1] + flat[i] - end - 1]
+            yield pd.DataFrame({"a": of(at), "b": of(at + 1)}).groupby(["a", "b"], as_index=False).size()
 
-    return map_frames(near.repartition("slot"), run, "word long, class int")
+    return map_frames(numbered.select("units", "h"), run, "a long, b long, size long").groupBy("a", "b").agg(F.sum("size").alias("n"))
 
 
 def contexts(numbered: DataFrame, class_of: np.ndarray, end: int, classes: int, rare: bool, slots: int) -> DataFrame:
@@ -345,42 +394,51 @@ def rare_words(numbered: DataFrame, vocab: DataFrame, model: dict, scratch: Scra
 
     A rare word's class is where its own neighbours over all training texts fit best, as that of any
     word. One whose neighbours are all rare, and a word that training texts don't have, go with most
-    words of their ending. The table is as large as the vocabulary and is joined, never gathered.
+    words of their ending. What stands beside rare words is added to the model's ``steps``, the transitions of numbered words. The table is as large as the vocabulary and is joined, never gathered.
     """
     tail = F.when(F.length("word") > 3, F.substring("word", -3, 3)).otherwise(F.col("word"))
     named = vocab.where((F.length("word") > 0) & ((F.col("n") < model["least"]) | (F.length("word") > NUMBERED_BYTES)))
     rare = scratch.write(named.groupBy(F.xxhash64("word").alias("h")).agg(F.max("n").alias("n"), F.max(F.crc32(tail) % ENDINGS).cast("int").alias("e")), "rare")
     slots = max(SLOTS, rare.count() // SLOT_WORDS)
     near = contexts(numbered, model["class_of"], model["end"], model["classes"], True, slots)
-    chosen = placed(near, model["n_classes"], model["classes"])
+    chosen = scratch.write(placed(near, model["n_classes"], model["classes"], True), "placed")
+    for r in chosen.where("word is null").groupBy("class").agg(F.sum("n").alias("n")).collect():
+        model["steps"].ravel()[r["class"]] += r["n"]
+    chosen = chosen.where("word is not null").select("word", "class")
     told = scratch.write(rare.join(chosen, F.shiftright("h", NEAR_BITS) == F.col("word"), "left").drop("word"), "told")
     votes = told.where("class is not null").groupBy("e", "class").agg(F.count("*").alias("votes"))
     by_ending = np.zeros(ENDINGS, np.int64)
     for r in votes.groupBy("e").agg(F.max_by("class", F.struct("votes", -F.col("class"))).alias("class")).collect():
         by_ending[r["e"]] = r["class"]
     own = F.element_at(F.array(*[F.lit(int(c)) for c in by_ending]), F.col("e") + 1)
-    return scratch.write(told.select("h", "n", F.coalesce("class", own).alias("class")), "classed"), by_ending
+    classed = scratch.write(told.select("h", "n", F.coalesce("class", own).alias("class")), "classed")
+    of = lambda c: scratch.again(classed).select(F.col("h").alias(c), F.col("class").alias(f"of_{c}"))
+    both = rare_pairs(numbered, model["end"]).join(of("a"), "a").join(of("b"), "b")
+    for r in both.groupBy("of_a", "of_b").agg(F.sum("n").alias("n")).collect():
+        model["steps"][r["of_a"], r["of_b"]] += r["n"]
+    return classed, by_ending
 
 
 def train(numbered: DataFrame, vocab: DataFrame, top: pd.DataFrame, least: int, scratch: Scratch, classes: int = CLASSES) -> tuple[dict, DataFrame]:
     """The model of numbered training texts, and the table of its rare words (h, n, class).
 
     The model has a class for each numbered word and each group of endings, log10 of transitions and
-    of emissions: bounded by its parameters. Counts are over all training texts; transitions are those of neighbours
-    that both have a number.
+    of emissions: bounded by its parameters. Counts are over all training texts; transitions are those of all neighbours,
+    of rare words by the classes that these are given.
     """
     totals = vocab.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.length("word") == 0, F.col("n")))).first()
     count, types, ends = (int(x or 0) for x in totals)
     end, k = len(top), classes + 1
     class_of, n = cluster(numbered, end, classes)
-    model = {"classes": classes, "end": end, "n": top["n"].to_numpy(np.int64), "least": least, "tokens": count, "types": types, "ends": ends, "class_of": class_of, "n_classes": n}
+    model = {"classes": classes, "end": end, "n": top["n"].to_numpy(np.int64), "least": least, "tokens": count, "types": types, "ends": ends, "class_of": class_of, "n_classes": n, "steps": n.copy()}
     rare, model["endings"] = rare_words(numbered, vocab, model, scratch)
     sizes, mass = (np.bincount(class_of[:end], w, minlength=k).astype(float) for w in (None, model["n"]))
     for r in rare.groupBy("class").agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect():
         sizes[r["class"]] += r["words"]
         mass[r["class"]] += r["n"]
     sizes[classes], mass[classes] = 1, ends
-    model["log_transition"] = np.log10((n + SMOOTH) / (n.sum(axis=1, keepdims=True) + SMOOTH * k))
+    steps = model.pop("steps")
+    model["log_transition"] = np.log10((steps + SMOOTH) / (steps.sum(axis=1, keepdims=True) + SMOOTH * k))
     model["log_class"] = np.log10(mass + SMOOTH * (sizes + 1))
     model["log_base"] = float(np.log10(count + SMOOTH * (types + 1)))
     return model, rare

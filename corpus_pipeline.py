@@ -18,7 +18,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: they share four fifths of their shingles of five words."""
+    """One document of each group of near copies stays: they share four fifths of their shingles of five words.
+
+    Fingerprints linked by pivot tables are verified first; an exact join of the sets finds the near copies that fingerprints don't.
+    """
     return simhash.keep_one(docs, jaccard.groups)
 
 

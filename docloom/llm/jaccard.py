@@ -1,4 +1,4 @@
-"""Near copies by the exact Jaccard similarity of word shingles, joined by prefixes of the shingle sets."""
+"""Near copies by the exact Jaccard similarity of word shingles: fingerprints link first, a join by prefixes of the shingle sets the rest."""
 
 from __future__ import annotations
 
@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch, components, kept_columns, map_frames
+from docloom.llm import simhash
+from docloom.llm.common import Scratch, components, kept_columns, map_frames, with_key_value
 
 #: Words of a shingle; similarity from which two texts are near copies, as a fraction.
 WIDTH, SEED, LEAST = 5, 42, (4, 5)
@@ -52,6 +53,11 @@ def _fp(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).astype(np.int64)) if len(s) else 0
 
 
+def fingerprint(s: np.ndarray) -> int:
+    """SimHash of a set of shingles, signed; 0 for the empty one."""
+    return simhash._signed(simhash.majority(s.astype(">i8").view(np.uint8).reshape(-1, 8))) if len(s) else 0
+
+
 def sketch(s: np.ndarray) -> bytes:
     """For every bit place how many shingles fall there, odd or even; a power of two of places, several a shingle."""
     places = 1 << max(LEAST_BITS - 1, SKETCH_BITS * len(s) - 1).bit_length()
@@ -69,14 +75,29 @@ def apart(x: bytes, y: bytes) -> int:
 
 
 def summaries(rows: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Replace the column text of rows by its set's hash fp (0 for none), size n and parity sketch; the other columns stay."""
+    """Replace the column text of rows by its set's hash fp (0 for none), size n, parity sketch and SimHash sim; the other columns stay."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = [shingles(t, width) for t in b["text"]]
-            yield b.drop(columns="text").assign(fp=[_fp(s) for s in sets], n=[len(s) for s in sets], sketch=[sketch(s) for s in sets])
+            yield b.drop(columns="text").assign(fp=[_fp(s) for s in sets], n=[len(s) for s in sets], sketch=[sketch(s) for s in sets], sim=[fingerprint(s) for s in sets])
+
+    return map_frames(rows, run, kept_columns(rows, "text") + "fp long, n int, sketch binary, sim long")
 
-    return map_frames(rows, run, kept_columns(rows, "text") + "fp long, n int, sketch binary")
+
+def fingerprint_pairs(about: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of sets (fp, sim) whose fingerprints the pivot tables link, for their whole sets to verify.
+
+    The sets of a fingerprint go with the smallest of them, and those of linked fingerprints with each other, so pairs are as many as sets and links.
+    """
+    sets = about.where("fp <> 0").select("fp", "sim")
+    sized = scratch.write(with_key_value(sets, "sim", F.xxhash64("fp"), {"least": F.min("fp")}, {"least": F.min("least")}), "fingerprints")
+    same = sized.where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    firsts = sized.where("fp = least")
+    linked = simhash.links(firsts.select(F.col("sim").alias("fp")), scratch)
+    end = lambda c, to: firsts.select(F.col("sim").alias(c), F.col("fp").alias(to))
+    near = linked.join(end("a", "x"), "a").join(end("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return same.unionByName(near)
 
 
 def _filter(wanted: DataFrame) -> np.ndarray:
@@ -297,11 +318,12 @@ class _Links:
         pairs = self.scratch.write(pairs, "pairs")  # written first, so that a small table is seen to be small
         return self.scratch.write(alike(pairs, self.about, self.least), "close")
 
-    def connect(self, close: DataFrame) -> None:
-        """Verify pairs (a, b): at first one for each set, which connects most; then those that are left."""
-        if self.of is None and not close.isEmpty():
-            self._add(self.scratch.write(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first"))
+    def connect(self, close: DataFrame, first: bool = False) -> None:
+        """Verify the pairs (a, b) that aren't connected yet; if told so, ``first`` one for each set, which connects most, then those that are left."""
         rest = self.scratch.write(self._apart(close), "rest")
+        if first and not rest.isEmpty():
+            self._add(self.scratch.write(rest.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first"))
+            rest = self.scratch.write(self._apart(rest), "rest")
         if not rest.isEmpty():
             self._add(rest)
 
@@ -313,9 +335,10 @@ class _Links:
 
 
 def links(rows: DataFrame, about: DataFrame, scratch: Scratch, width: int = WIDTH, least: tuple[int, int] = LEAST) -> DataFrame:
-    """Edges (a, b) that connect all similar sets of rows (text), given the distinct ones as (fp, n, sketch).
+    """Edges (a, b) that connect all similar sets of rows (text), given the distinct ones as (fp, n, sketch, sim).
 
-    Similar sets meet in a bucket. Sizes, places in the order and sketches discard pairs, and whole
+    Fingerprints that the pivot tables link are verified and connected first. They are a part of the
+    similar sets only, so an exact join finds the rest: similar sets meet in a bucket. Sizes, places in the order and sketches discard pairs, and whole
     sets verify the rest. The sets of a bucket are held against two of them first; sets that are
     connected need no further comparison, so a group of near copies makes pairs by its size and
     not by its square. What is not connected in a small bucket then is paired; a large one has a
@@ -324,9 +347,11 @@ def links(rows: DataFrame, about: DataFrame, scratch: Scratch, width: int = WIDT
     met, found = meetings(rows, scratch, width, least), _Links(about, scratch, least)
     small, large = met.where(F.col("rows") <= BUCKET_ROWS), met.where(F.col("rows") > BUCKET_ROWS)
     of = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("fp"))
+    near = found.close(fingerprint_pairs(about, scratch))
     close = found.close(starred(found.marked(small), least, ROUNDS))
-    found.read(rows, large.select("fp").unionByName(of(close)), width)
-    found.connect(close)
+    found.read(rows, large.select("fp").unionByName(of(near)).unionByName(of(close)), width)
+    found.connect(near)
+    found.connect(close, first=True)
     rest = found.close(paired(found.marked(small), least))
     found.read(rows, of(rest), width)
     found.connect(rest)
@@ -349,6 +374,6 @@ def links(rows: DataFrame, about: DataFrame, scratch: Scratch, width: int = WIDT
 def groups(rows: DataFrame, scratch: Scratch, width: int = WIDTH, least: tuple[int, int] = LEAST) -> DataFrame:
     """Rows (.., root) of rows (.., text): documents of equal root are connected by near copies. Texts without words are linked."""
     told = scratch.write(summaries(rows, width), "summaries")
-    about = scratch.write(told.groupBy("fp").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "unique")
+    about = scratch.write(told.groupBy("fp").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("sim").alias("sim")), "unique")
     linked = components(links(rows, about, scratch, width, least), scratch)
-    return told.drop("n", "sketch").join(linked, F.col("fp") == linked["node"], "left").withColumn("root", F.coalesce("component", "fp")).drop("fp", "node", "component")
+    return told.drop("n", "sketch", "sim").join(linked, F.col("fp") == linked["node"], "left").withColumn("root", F.coalesce("component", "fp")).drop("fp", "node", "component")

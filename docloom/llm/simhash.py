@@ -36,7 +36,11 @@ def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int
     starts = np.concatenate(([0], ends[:-1]))[: len(words) - width + 1].tolist()
     stops = (ends[width - 1 :] - 1).tolist()
     digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(joined[s:e], seed) for s, e in zip(starts, stops)]), np.uint8).reshape(-1, 8)
+    return majority(np.frombuffer(b"".join([digest(joined[s:e], seed) for s, e in zip(starts, stops)]), np.uint8).reshape(-1, 8))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of hashes, rows of eight bytes: each bit that over half of them have."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 200):  # counts of 200 rows fit in a byte
         ones += np.unpackbits(hashes[i : i + 200], axis=1).sum(axis=0, dtype=np.uint8)

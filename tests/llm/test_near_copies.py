@@ -151,3 +151,24 @@ def test_a_pair_leaves_one_bucket_of_those_it_shares(spark):
     shared = sum(len({k for k, f, *_ in dealt if f == i} & {k for k, f, *_ in dealt if f == j}) for i, j in similar)
     assert shared > 10 * len(similar)
     assert len(rows) < 1.2 * len(set(rows))
+
+
+def test_fingerprints_link_near_copies_before_the_join(spark, monkeypatch):
+    """Pairs by pivot tables are those at two bits, up to connection, and connect near copies by themselves; a pair that is not similar is not linked."""
+    rng = random.Random(8)
+    long = rng.choices([f"w{i}" for i in range(3000)], k=2000)
+    texts = [(i, " ".join(edited(rng, long, n))) for i, n in enumerate([0, 1, 1, 2, 2, 3])] + [(9, "alone")]
+    sets = {i: jaccard.shingles(t) for i, t in texts}
+    near = {(i, j) for i in sets for j in sets if i < j and (jaccard.fingerprint(sets[i]) ^ jaccard.fingerprint(sets[j])).bit_count() <= simhash.NEAR}
+    assert near and jaccard.fingerprint(sets[9]) == simhash._signed(simhash.fingerprint("alone", 5))
+    rows = spark.createDataFrame(texts, "_id long, text string")
+    scratch = common.Scratch(spark, "t")
+    told = scratch.write(jaccard.summaries(rows), "told")
+    names = {r["fp"]: r["_id"] for r in told.collect()}
+    got = {tuple(sorted((names[r["a"]], names[r["b"]]))) for r in jaccard.fingerprint_pairs(told, scratch).collect()}
+    assert got and got <= near
+    asked = []
+    monkeypatch.setattr(jaccard, "starred", lambda live, *_: asked.append(1) or live.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false"))
+    monkeypatch.setattr(jaccard, "paired", jaccard.starred)
+    roots = {r["_id"]: r["root"] for r in jaccard.groups(rows, scratch).collect()}
+    assert asked and all(roots[i] == roots[j] for i, j in near) and roots[9] not in {roots[i] for i in range(6)}

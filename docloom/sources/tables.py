@@ -63,14 +63,14 @@ DERIVED = {
 NEEDS = {"read_state": ["conversation_members"], "calls": ["messages"], "call_participants": ["calls", "conversation_members"]}
 
 
-def load(spark: SparkSession, sf_dir: str, name: str, deal: bool = False) -> DataFrame:
+def load(spark: SparkSession, sf_dir: str, name: str, deal: bool = False, short: bool = False) -> DataFrame:
     """A base table, or a derived one; to ``deal`` it out is to deal out the rows that it is made of, which are shorter."""
     if name in BASE:
         rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        return spread(rows) if deal else rows
+        return spread(rows, short) if deal else rows
     text = _seconds(DERIVED[name], "unix_seconds(CAST({} AS TIMESTAMP))").replace("SHA256(", "sha2_256(")
     text = _calls(text, "sha2_256", "sha2({}, 256)")
-    used = {t: load(spark, sf_dir, t, deal) for t in [*BASE, *DERIVED] if t != name and _reads(text, t)}
+    used = {t: load(spark, sf_dir, t, deal, True) for t in [*BASE, *DERIVED] if t != name and _reads(text, t)}
     for t in sorted(used, key=len, reverse=True):
         text = _rename(text, t, "{" + t + "}")
     return spark.sql(text, **used)
@@ -84,14 +84,25 @@ TEXTS = ("documents", "forms", "record_text", "pages", "conversations")
 SMALL_FILES, SMALL_BYTES = 64, 256 * 2**20
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Texts of a small table dealt out over the cores; larger ones are split by the reader and stay where they are."""
+#: Bytes in the files to a part, where short rows of which texts are made are dealt out.
+SHORT_BYTES = 4 * 2**20
+
+
+def spread(rows: DataFrame, short: bool = False) -> DataFrame:
+    """Texts of a small table dealt out over the cores; larger ones are split by the reader and stay where they are.
+
+    ``short`` rows, of which texts are made later, are dealt out whatever the size: what the reader
+    takes at once of them makes texts for one core many times as long.
+    """
     spark, files = rows.sparkSession, rows.inputFiles()
     if len(files) > SMALL_FILES:
         return rows
     path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
     size = sum(path(f).getFileSystem(conf).getFileStatus(path(f)).getLen() for f in files)
-    return rows.repartition(min(spark.sparkContext.defaultParallelism, 64)) if size <= SMALL_BYTES else rows
+    parts = min(spark.sparkContext.defaultParallelism, 64)
+    if short:
+        parts = max(parts, -(-size // SHORT_BYTES))
+    return rows.repartition(parts) if short or size <= SMALL_BYTES else rows
 
 
 def _reads(text: str, table: str) -> bool:

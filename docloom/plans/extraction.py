@@ -99,7 +99,7 @@ G.add("x18_bag_merge_rows", "record_text", lambda d: bags(d).select("doc_id", "l
       f"SELECT doc_id, line_number, 'amount=' || amount || ';description=' || description || ';quantity=' || quantity || ';unit_price=' || unit_price AS record FROM ({LINE_ITEMS}) UNION ALL SELECT doc_id, line_number, {RECORD} FROM ({CELLS}) WHERE row_index = 1")
 G.add("x19_derive_records", "record_text documents", lambda r, d: X.derive_records(r.unionByName(d.select("doc_id", "text").withColumn("doc_id", -F.col("doc_id") - 1)), X.tables(r.where("doc_id % 3 = 0")), X.typed_rows(lines(r.where("doc_id % 3 = 1")), "line_item"), fields(r)).groupBy("record_type").agg(F.count("*").alias("n")),
       "SELECT CASE WHEN doc_id < 0 THEN 'empty' WHEN doc_id % 3 = 0 THEN 'table' WHEN doc_id % 3 = 1 THEN 'line_item' ELSE 'fields' END AS record_type, sum(CASE WHEN doc_id >= 0 AND doc_id % 3 = 0 THEN 2 ELSE 1 END)::BIGINT AS n FROM (SELECT doc_id FROM record_text UNION ALL SELECT -doc_id - 1 FROM documents) GROUP BY 1")
-G.add("x20_attach_provenance", "record_text", lambda d: X.tables(X.with_provenance(d), "filename", "checksum").select("doc_id", "row_index", "filename", "checksum"), "SELECT doc_id, unnest([1, 2]) AS row_index, 'doc-' || doc_id || '.txt' AS filename, sha256(text) AS checksum FROM record_text")
+G.add("x20_attach_provenance", "record_text", lambda d: X.table_cells(X.with_provenance(d), [], "filename", "checksum").drop("table_index"), "SELECT doc_id, unnest([1, 2]) AS row_index, 'doc-' || doc_id || '.txt' AS filename, sha256(text) AS checksum FROM record_text")
 G.add("x21_reserved_column_rename", "orders", lambda o: o.select("o_orderkey", text_of(X.rename_reserved(F.create_map(F.lit("Line Number"), F.col("o_orderstatus"), F.lit("price"), F.lit("1")))).alias("record")), "SELECT o_orderkey, 'field_Line Number=' || o_orderstatus || ';price=1' AS record FROM orders")
 G.add("x22_project_records", "record_text", lambda d: X.project_records(d, ["ITEM", "amount"], text=True).select("doc_id", "row_index", "record"),
       f"SELECT doc_id, CASE WHEN line LIKE 'bolt%' THEN 1 ELSE 2 END AS row_index, 'Amount=' || split_part(line, chr(9), 3) || ';Item=' || split_part(line, chr(9), 1) AS record FROM ({LINES}) WHERE line LIKE 'bolt%' OR line LIKE 'nut%'")
